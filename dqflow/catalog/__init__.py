@@ -4,7 +4,7 @@ import importlib
 
 from dqflow.catalog.base import ORACLES, QUERIES
 
-MODULES = ["validators"]
+MODULES = ["validators", "quality", "tables", "joins"]
 
 for _m in MODULES:
     importlib.import_module(f"dqflow.catalog.{_m}")

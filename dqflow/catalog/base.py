@@ -50,6 +50,8 @@ FROM (SELECT *, l_orderkey * 7 + l_partkey AS k, l_extendedprice::decimal(18,2)
 SELECT * FROM claims UNION ALL
 SELECT * REPLACE (claim_id || '-R' AS claim_id, created_date + 1 AS created_date, submission_date + (k % 60)::int AS submission_date)
 FROM claims WHERE k % 29 = 0""",
+    "raw_claims": """
+SELECT *, CASE WHEN k % 61 <> 0 THEN claim_id END AS record_id, TIMESTAMP '2001-12-01' - to_hours((k % 60)::int) AS _ingestion_timestamp FROM claims_feed""",
     "order_span": "SELECT o_custkey, min(o_orderdate)::date AS lo, max(o_orderdate)::date AS hi FROM orders GROUP BY o_custkey",
     "eligibility": """
 SELECT 'M' || lpad(o_custkey::varchar, 9, '0') AS member_id, lo AS start_date, (lo + ((hi - lo) // 2)::int)::date AS end_date, 'ACTIVE' AS status FROM order_span

@@ -26,6 +26,7 @@ MEMBER_ID_SILVER_PATTERNS = (r"^[0-9]{9,12}$", r"^[A-Z]{1,3}[0-9]{6,9}$")
 ICD10_STRICT = r"^[A-TV-Z][0-9][A-Z0-9](\.[A-Z0-9]{1,4})?$"
 ICD10_LOOSE = r"^[A-TV-Z][0-9][A-Z0-9](\.[A-Z0-9]{0,4})?$"
 ICD9 = r"^\d{3}(\.\d{1,2})?$"
+ICD9_LOOSE = r"^[0-9]{3}(\.[0-9]{0,2})?$"
 CPT = r"^[0-9]{5}$"
 HCPCS = r"^[A-HJKLMNP-V][0-9]{4}$"
 HCPCS_WIDE = r"^[A-V][0-9]{4}$"
@@ -163,6 +164,11 @@ def is_diagnosis_loose(c) -> Column:
     return is_true(col_of(c).rlike(ICD10_LOOSE))
 
 
+def is_diagnosis_silver(c) -> Column:
+    c = col_of(c)
+    return is_true(c.rlike(ICD10_LOOSE) | c.rlike(ICD9_LOOSE))
+
+
 def validate_icd10_extended(c) -> Column:
     clean = F.upper(F.trim(col_of(c)))
     dot = F.instr(clean, ".")

@@ -1,47 +1,58 @@
 """Exact percentiles without gathering a group's values in one task.
 
-The values are first reduced to a histogram of distinct values, whose shuffle
-key includes the value.  A small sketch of the distinct values cuts each group
-into slices of similar size; counts per slice tell which slices hold the wanted
-ranks, and only those slices are sorted.  The sketch decides where the cuts
-fall, never the answer.
+The values are first reduced to a histogram of distinct values per group, whose
+shuffle key includes the value.  One small sketch over all distinct values cuts
+the value axis into slices of similar size, so no (group, slice) pair can hold
+more than that share of the histogram, however large its group.  Counts per
+slice tell which slices hold the wanted ranks, and only those are sorted.  The
+sketch decides where the cuts fall, never the answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dqflow.operators.skew import all_not_null, hot_from_counts, join_unique
+from dqflow.operators.skew import as_list
 
+BLOCK = 16
 
-def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, slices: int = 64) -> DataFrame:
+
+def _cuts(hist: DataFrame) -> DataFrame:
+    """One row: the cut points as blocks and the first point of each later block."""
+    steps = [i / (BLOCK * BLOCK) for i in range(1, BLOCK * BLOCK)]
+    points = hist.agg(F.array_distinct(F.percentile_approx("_v", steps, 10000)).alias("p"))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.slice("p", i * BLOCK + 1, BLOCK))
+    return points.select(F.filter(blocks, lambda b: F.size(b) > 0).alias("b")).select(
+        F.struct("b", F.transform(F.slice("b", 2, BLOCK), lambda x: x[0]).alias("heads"))
+    )
+
+
+def _slice_of(cuts: Column, v: Column) -> Column:
+    """Number of cut points below ``v``, found in two short steps."""
+    outer = F.size(F.filter(cuts["heads"], lambda x: x < v))
+    inner = F.size(F.filter(F.coalesce(F.get(cuts["b"], outer), F.array().cast("array<double>")), lambda x: x < v))
+    # Never NULL, so that the join on the slice adds no filter that would be
+    # evaluated on the raw rows below the aggregation.
+    return F.coalesce(outer * BLOCK + inner, F.lit(0))
+
+
+def exact_percentiles(df: DataFrame, by, value: str, wanted: dict) -> DataFrame:
     """One row per group with a double column per entry of ``wanted``.
 
     ``wanted`` maps an output name to a fraction; ranks between two values are
     interpolated linearly.  NULL values are ignored.  ``_n`` holds the number of
     values.
     """
-    by = [by] if isinstance(by, str) else list(by)
+    by = as_list(by)
     hist = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*[F.col(c) for c in by], F.col(value).alias("_v"))
+        .groupBy(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    steps = [i / slices for i in range(1, slices)]
-    cuts = hist.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx("_v", steps, slices * 20)).alias("_cuts"),
-        F.count(F.lit(1)).alias("_d"),
-    )
-    if by:
-        hot = hot_from_counts(cuts.where(all_not_null(by)), "_d")
-        hist = join_unique(hist, cuts.drop("_d"), by, "inner", hot=hot)
-    else:
-        hist = hist.withColumn("_cuts", cuts.select("_cuts").scalar())
-    sliced = hist.select(
-        *by, "_v", "_c", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_slice")
-    )
+    cut = hist.withColumn("_cuts", _cuts(hist).scalar())
+    sliced = cut.withColumn("_slice", _slice_of(F.col("_cuts"), F.col("_v"))).drop("_cuts")
     counts = sliced.groupBy(*by, "_slice").agg(F.sum("_c").alias("_sc"))
     part = W.partitionBy(*by)
     upto = part.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -67,10 +78,9 @@ def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, slices: int =
         .withColumn("_stop", F.col("_start") + F.sum("_c").over(inner))
         .withColumn("_begin", F.col("_stop") - F.col("_c"))
     )
-    v = F.col("_v").cast("double")
     aggs = [F.max("_n").alias("_n")]
     for name, lo, hi, frac in ranks:
-        low = F.max(F.when(holds(lo, F.col("_begin"), F.col("_stop")), v))
-        high = F.max(F.when(holds(hi, F.col("_begin"), F.col("_stop")), v))
+        low = F.max(F.when(holds(lo, F.col("_begin"), F.col("_stop")), F.col("_v")))
+        high = F.max(F.when(holds(hi, F.col("_begin"), F.col("_stop")), F.col("_v")))
         aggs.append((low + (high - low) * F.max(frac)).alias(name))
     return picked.groupBy(*by).agg(*aggs)

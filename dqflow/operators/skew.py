@@ -1,10 +1,14 @@
 """Joins and lookups that stay even when one key holds a third of all rows.
 
-A key is hot when it holds more than ``share`` of all rows, so at most
-``1 / share`` keys can be hot: that list, and the matching rows of a side that
-is unique per key, have a proven size bound and may be broadcast.  Rows of hot
-keys never travel through the key shuffle; the others do, and no task of that
-shuffle can receive more than ``share`` of the data for a single key.
+The ``HOT_LIMIT`` most frequent keys are looked up by broadcast: a fixed number
+of rows, one per key.  Any other key holds at most ``1 / HOT_LIMIT`` of all
+rows, so no task of the remaining shuffle join can receive much for one key.
+Rows of hot keys, and rows whose key is NULL, only pass through that shuffle
+under a salt that spreads them evenly; they find no partner there.
+
+The salt is the number of the task that reads the row: a hot key ends up on as
+many reducers as tasks hold it, and a lost task that is computed again sends
+its rows where they went before.
 """
 
 from __future__ import annotations
@@ -14,85 +18,79 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1.0 / 2000
+HOT_LIMIT = 2000
 HOT_MIN_ROWS = 1_000_000
 
 
-def hot_from_counts(counts: DataFrame, rows: str, share=HOT_SHARE, min_rows=HOT_MIN_ROWS) -> DataFrame:
-    total = counts.agg(F.sum(rows)).scalar()
-    return counts.where(F.col(rows) > F.greatest(F.lit(float(min_rows)), total * F.lit(share)))
-
-
-def hot_keys(df: DataFrame, keys, share=HOT_SHARE, min_rows=HOT_MIN_ROWS) -> DataFrame:
-    """At most ``1/share`` keys that hold more than ``share`` of the rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_from_counts(_not_null(counts, keys), "_rows", share, min_rows).select(*keys)
+def as_list(keys) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
 
 
 def all_not_null(keys) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def _not_null(df: DataFrame, keys) -> DataFrame:
-    return df.where(all_not_null(keys))
+def hottest(counted: DataFrame, rows: str, min_rows=None) -> DataFrame:
+    """The most frequent keys among those with at least ``min_rows`` rows."""
+    floor = HOT_MIN_ROWS if min_rows is None else min_rows
+    return counted.where(F.col(rows) >= floor).orderBy(F.desc(rows)).limit(HOT_LIMIT)
 
 
-def _any_null(keys) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+def hot_keys(df: DataFrame, keys, min_rows=None) -> DataFrame:
+    keys = as_list(keys)
+    counts = df.where(all_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return hottest(counts, "_rows", min_rows).select(*keys)
 
 
-def join_unique(fact: DataFrame, dim: DataFrame, keys, how="left", hot: DataFrame | None = None,
-                share=HOT_SHARE, min_rows=HOT_MIN_ROWS) -> DataFrame:
-    """Equi-join a large table with a side holding one row per key.
+def _probe(fact: DataFrame, hot_dim: DataFrame, dim: DataFrame, keys, extra, how: str) -> DataFrame:
+    packed = hot_dim.select(*keys, F.struct(F.lit(True).alias("__m"), *extra).alias("__hot"))
+    spread = F.spark_partition_id().cast("long") + 1
+    rows = fact.join(F.broadcast(packed), keys, "left").withColumn(
+        "__salt", F.when(F.col("__hot").isNotNull() | ~all_not_null(keys), spread).otherwise(F.lit(0).cast("long"))
+    )
+    # Always 0, but not a literal: the optimizer would fold a literal out of the
+    # join keys and the salt would no longer take part in the shuffle.
+    unsalted = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("__salt")
+    cold = dim.select(*keys, unsalted, F.struct(F.lit(True).alias("__m"), *extra).alias("__cold"))
+    both = rows.join(cold, [*keys, "__salt"], "left").withColumn("__pick", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        both = both.where("__pick.__m")
+    return both.select(*fact.columns, *[F.col("__pick")[c].alias(c) for c in extra])
 
-    ``how`` is ``left`` or ``inner``.  NULL keys match nothing and, in a left
-    join, are passed through without a shuffle.
+
+def join_unique(fact: DataFrame, dim: DataFrame, keys, how="left", source: DataFrame | None = None,
+                min_rows=None) -> DataFrame:
+    """Equi-join a large table with a side that holds one row per key.
+
+    ``how`` is ``left`` or ``inner``.  ``source`` is a cheaper table with the
+    same key column to count hot keys on, for a fact that is itself a join.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(fact, keys, share, min_rows) if hot is None else hot
+    keys = as_list(keys)
     extra = [c for c in dim.columns if c not in keys]
-    hot_dim = hot.select(*keys).join(dim, keys, "left" if how == "left" else "inner").select(
-        *keys, *extra, F.lit(True).alias("_hot")
-    )
-    cold = _not_null(fact, keys).join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    cold = cold.join(dim, keys, how).select(*fact.columns, *extra)
-    if how == "inner":
-        direct = fact.join(F.broadcast(hot_dim), keys, "inner").select(*fact.columns, *extra)
-    else:
-        direct = (
-            fact.join(F.broadcast(hot_dim), keys, "left")
-            .where(F.col("_hot") | _any_null(keys))
-            .select(*fact.columns, *extra)
-        )
-    return direct.unionByName(cold)
+    hot = hot_keys(fact if source is None else source, keys, min_rows)
+    hot_dim = dim.join(F.broadcast(hot), keys, "inner")
+    return _probe(fact, hot_dim, dim, keys, extra, how)
 
 
-def attach_stats(df: DataFrame, keys, aggs, share=HOT_SHARE, min_rows=HOT_MIN_ROWS) -> DataFrame:
+def attach_stats(df: DataFrame, keys, aggs, source: DataFrame | None = None, min_rows=None) -> DataFrame:
     """Group aggregates joined back onto every row of the group.
 
     The aggregation combines map-side, so a hot group reaches the reducer as
-    one partial row per task; the join back uses the same counts to find the
-    hot keys.  ``aggs`` are aliased aggregate columns.
+    one partial row per task; the hottest groups of that same aggregate are the
+    ones joined back by broadcast.  ``aggs`` are aliased aggregate columns.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    stats = _not_null(df, keys).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"))
-    hot = hot_from_counts(stats, "_rows", share, min_rows)
-    return join_unique(df, stats.drop("_rows"), keys, "left", hot=hot)
-
-
-def semi(fact: DataFrame, keys_df: DataFrame, keys, anti=False, **kw) -> DataFrame:
-    """Rows of ``fact`` with (or without) a partner, duplicates on the right removed."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    dim = _not_null(keys_df.select(*keys).distinct(), keys).withColumn("_found", F.lit(True))
-    out = join_unique(fact, dim, keys, "left", **kw)
-    found = F.coalesce(F.col("_found"), F.lit(False))
-    return out.where(~found if anti else found).drop("_found")
+    keys = as_list(keys)
+    base = df if source is None else source
+    stats = base.where(all_not_null(keys)).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"))
+    extra = [c for c in stats.columns if c not in keys and c != "_rows"]
+    # The filter keeps the count in use so that both sides share one aggregation.
+    return _probe(df, hottest(stats, "_rows", min_rows), stats.where("_rows > 0"), keys, extra, "left")
 
 
 def flag_member(fact: DataFrame, keys_df: DataFrame, keys, name: str, **kw) -> DataFrame:
     """Add a boolean column telling whether the key occurs in ``keys_df``."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    dim = _not_null(keys_df.select(*keys).distinct(), keys).withColumn(name, F.lit(True))
+    keys = as_list(keys)
+    dim = keys_df.select(*keys).where(all_not_null(keys)).distinct().withColumn(name, F.lit(True))
     return join_unique(fact, dim, keys, "left", **kw).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
@@ -103,14 +101,16 @@ def first_per_key(df: DataFrame, keys, order: list) -> DataFrame:
     every ordering column are told apart by the remaining columns, so exactly
     one survives even among full copies.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_best"))
-    return best.select(*keys, "_best.*").select(*df.columns)
+    return _extreme_per_key(df, keys, order, F.min)
 
 
 def last_per_key(df: DataFrame, keys, order: list) -> DataFrame:
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    """One row per key, the largest by ``order``."""
+    return _extreme_per_key(df, keys, order, F.max)
+
+
+def _extreme_per_key(df, keys, order, pick):
+    keys = as_list(keys)
     rest = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
+    best = df.groupBy(*keys).agg(pick(F.struct(*order, *rest)).alias("_best"))
     return best.select(*keys, "_best.*").select(*df.columns)

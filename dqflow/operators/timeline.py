@@ -11,16 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dqflow.operators.skew import attach_stats, join_unique
-
-
-def _as_list(keys):
-    return [keys] if isinstance(keys, str) else list(keys)
+from dqflow.operators.skew import as_list, attach_stats, join_unique
 
 
 def trailing_count(df: DataFrame, keys, day: str, days: int, name: str) -> DataFrame:
     """Rows per key in the ``days`` ending at each active day, one row per day."""
-    keys = _as_list(keys)
+    keys = as_list(keys)
     daily = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("long")
     frame = W.partitionBy(*keys).orderBy(number).rangeBetween(-days, 0)
@@ -34,10 +30,10 @@ def trailing_distinct(df: DataFrame, keys, day: str, value: str, days: int, name
     cover at the value's next appearance leaves disjoint spells, so the distinct
     count is a running sum of spell starts minus ends.
     """
-    keys = _as_list(keys)
+    keys = as_list(keys)
     seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value, day).agg(F.count(F.lit(1)).alias("_n"))
-    nxt = F.lead(day).over(W.partitionBy(*keys, value).orderBy(day))
-    stop = F.least(F.coalesce(nxt, F.date_add(day, days + 1)), F.date_add(day, days + 1))
+    seen = seen.withColumn("_next", F.lead(day).over(W.partitionBy(*keys, value).orderBy(day)))
+    stop = F.least(F.coalesce("_next", F.date_add(day, days + 1)), F.date_add(day, days + 1))
     spells = seen.select(
         *keys,
         F.explode(
@@ -62,7 +58,7 @@ def interval_cover(df: DataFrame, keys, start: str, end: str, open_end) -> DataF
     NULL ends become ``open_end``.  Folding to one row per key and start day
     first bounds every key by the number of days in the calendar.
     """
-    keys = _as_list(keys)
+    keys = as_list(keys)
     folded = (
         df.where(F.col(start).isNotNull())
         .groupBy(*keys, F.col(start).alias("_s"))
@@ -82,10 +78,10 @@ def covered(cover: Column, day: Column) -> Column:
     return F.coalesce(F.exists(cover, lambda i: (day >= i["s"]) & (day <= i["e"])), F.lit(False))
 
 
-def flag_covered(fact: DataFrame, intervals: DataFrame, keys, day, start, end, open_end, name) -> DataFrame:
+def flag_covered(fact: DataFrame, intervals: DataFrame, keys, day, start, end, open_end, name, **kw) -> DataFrame:
     """Boolean: some interval of the key contains the row's day."""
     cover = interval_cover(intervals, keys, start, end, open_end)
-    out = join_unique(fact, cover, keys, "left")
+    out = join_unique(fact, cover, keys, "left", **kw)
     return out.withColumn(name, covered(F.col("cover"), F.col(day))).drop("cover")
 
 
@@ -98,7 +94,7 @@ def flag_earlier_within(df: DataFrame, keys, at: str, days: int, name: str, coun
     ``ident`` only strictly earlier days count.  Works on one row per key and
     day, joined back on key and day.
     """
-    keys = _as_list(keys)
+    keys = as_list(keys)
     eligible = df if counts is None else df.where(counts)
     daily = eligible.groupBy(*keys, at).agg(
         F.min(ident or F.lit(0)).alias("_lo"), F.max(ident or F.lit(0)).alias("_hi")
@@ -122,7 +118,7 @@ def flag_earlier_within(df: DataFrame, keys, at: str, days: int, name: str, coun
 
 def flag_not_first(df: DataFrame, keys, order: list, name: str, **kw) -> DataFrame:
     """True for rows that have a strictly smaller row (by ``order``) of the same key."""
-    keys = _as_list(keys)
+    keys = as_list(keys)
     out = attach_stats(df, keys, [F.min(F.struct(*order)).alias("_first")], **kw)
     return out.withColumn(name, F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_first")
 
@@ -134,7 +130,7 @@ def lag_in_slots(df: DataFrame, keys, at: str, slot: Column, order: list, value:
     the last value of the key's previous non-empty slot, found on one summary row
     per key and slot.
     """
-    keys = _as_list(keys)
+    keys = as_list(keys)
     rows = df.withColumn("_slot", slot)
     inner = W.partitionBy(*keys, "_slot").orderBy(*order)
     rows = rows.withColumns({"_lag": F.lag(value).over(inner), "_pos": F.row_number().over(inner)})

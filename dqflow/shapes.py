@@ -90,6 +90,17 @@ def claims_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(again)
 
 
+def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as it lands: record ids with gaps and an ingestion time."""
+    landed = F.lit(dt.datetime.combine(CLAIMS_AS_OF, dt.time())).cast("timestamp_ntz")
+    return claims_feed(spark, sf_dir).withColumns(
+        {
+            "record_id": F.when(F.col("k") % 61 != 0, F.col("claim_id")),
+            "_ingestion_timestamp": landed - F.make_dt_interval(hours=(F.col("k") % 60).cast("int")),
+        }
+    )
+
+
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two intervals per member: first to middle order, and an open or closed tail."""
     o = table(spark, sf_dir, "orders")
