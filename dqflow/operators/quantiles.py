@@ -38,18 +38,18 @@ def _slice_of(cuts: Column, v: Column) -> Column:
     return F.coalesce(outer * BLOCK + inner, F.lit(0))
 
 
-def exact_percentiles(df: DataFrame, by, value: str, wanted: dict) -> DataFrame:
+def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, weight: str | None = None) -> DataFrame:
     """One row per group with a double column per entry of ``wanted``.
 
     ``wanted`` maps an output name to a fraction; ranks between two values are
     interpolated linearly.  NULL values are ignored.  ``_n`` holds the number of
-    values.
+    values.  With ``weight`` a row stands for that many equal values.
     """
     by = as_list(by)
     hist = (
         df.where(F.col(value).isNotNull())
         .groupBy(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
     cut = hist.withColumn("_cuts", _cuts(hist).scalar())
     sliced = cut.withColumn("_slice", _slice_of(F.col("_cuts"), F.col("_v"))).drop("_cuts")

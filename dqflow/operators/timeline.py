@@ -140,3 +140,47 @@ def lag_in_slots(df: DataFrame, keys, at: str, slot: Column, order: list, value:
     return out.withColumn(name, F.when(F.col("_pos") == 1, F.col("_before")).otherwise(F.col("_lag"))).drop(
         "_slot", "_lag", "_pos", "_before"
     )
+
+
+def sequence_in_slots(df: DataFrame, keys, slot: Column, order: list, name: str) -> DataFrame:
+    """Row number per key in the given order, numbered slot by slot."""
+    keys = as_list(keys)
+    rows = df.withColumn("_slot", slot)
+    rows = rows.withColumn("_pos", F.row_number().over(W.partitionBy(*keys, "_slot").orderBy(*order)))
+    sizes = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    out = rows.join(sizes, [*keys, "_slot"])
+    return out.withColumn(name, F.col("_offset") + F.col("_pos")).drop("_slot", "_pos", "_offset")
+
+
+def last_before_in_slots(df: DataFrame, keys, slot: Column, order: list, value: Column, name: str) -> DataFrame:
+    """Last non-NULL ``value`` of the key strictly before the row, slot by slot."""
+    keys = as_list(keys)
+    rows = df.withColumns({"_slot": slot, "_v": value})
+    inner = W.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inner))
+    tail = rows.groupBy(*keys, "_slot").agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_tail")
+    )
+    earlier = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    tail = tail.withColumn("_before", F.last("_tail", ignorenulls=True).over(earlier)).drop("_tail")
+    out = rows.join(tail, [*keys, "_slot"])
+    return out.withColumn(name, F.coalesce("_in", "_before")).drop("_slot", "_v", "_in", "_before")
+
+
+def trailing_in_slots(df: DataFrame, keys, at_micros: Column, seconds: int, name: str) -> DataFrame:
+    """Rows of the key in the ``seconds`` up to and including each row, exact.
+
+    A row is shown to its own slot and to the next one, both as wide as the
+    window, so each (key, slot) group holds all it needs and no more than two
+    window widths of data.
+    """
+    keys = as_list(keys)
+    width = seconds * 1_000_000
+    t = df.withColumn("_t", at_micros)
+    home = F.floor(F.col("_t") / width)
+    shown = t.withColumn("_place", F.explode(F.array(F.struct(home.alias("s"), F.lit(True).alias("own")),
+                                                     F.struct((home + 1).alias("s"), F.lit(False).alias("own")))))
+    w = W.partitionBy(*keys, "_place.s").orderBy("_t").rangeBetween(-width + 1, 0)
+    return shown.withColumn(name, F.count(F.lit(1)).over(w)).where("_place.own").drop("_t", "_place")
