@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dqflow.operators.anomaly import MULTIVARIATE, anomaly_rows, banded
 from dqflow.operators.quantiles import exact_percentiles
 from dqflow.operators.skew import join_unique
+from dqflow.sources.tables import stored_layer
 
 SAMPLE = 256
 TREES = 100
@@ -191,11 +192,12 @@ def density_noise(df: DataFrame, fields, eps: float = 0.5, min_samples: int = 5)
     side, reach = eps / math.sqrt(d), int(math.ceil(math.sqrt(d)))
     cells = [f"c{i}" for i in range(d)]
     points = standardised(complete_points(df, fields), d).withColumns(
-        {c: F.floor(F.col(x) / side).cast("long") for c, x in zip(cells, xs)}
+        {c: F.coalesce(F.floor(F.col(x) / side).cast("long"), F.lit(0).cast("long")) for c, x in zip(cells, xs)}
     )
     sizes = points.groupBy(*cells).agg(F.sum("w").alias("rows"))
     sparse_cells = sizes.where(F.col("rows") < min_samples).select(*cells, F.lit(True).alias("sparse"))
     marked = join_unique(points, sparse_cells, cells).withColumn("sparse", F.coalesce("sparse", F.lit(False)))
+    marked = stored_layer(marked, "density-points")  # read by every step below
     sparse = marked.where("sparse")
 
     steps = F.array(
