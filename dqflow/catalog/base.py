@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -16,7 +17,13 @@ def query(name: str, oracle: str | None = None):
 
     def register(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = with_views(oracle)
         return fn
@@ -116,7 +123,7 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'tenant_usage_percentage' WHE
     "health_checks": """
 SELECT event_id, 'c' || (user_id % 6) AS component, ts AS timestamp, value::decimal(18,2) * 40 AS response_time, event_type = 'error' AS error FROM ev""",
     "alert_events": """
-SELECT 'a' || user_id AS alert_id, 't' || (user_id % 10) AS tenant_id,
+SELECT 'a-' || user_id || '-' || strftime(ts, '%m%d') AS alert_id, 't' || (user_id % 10) AS tenant_id,
   ['critical', 'error', 'warning', 'info'][(user_id % 4 + 1)::int] AS severity, 'c' || (user_id % 6) AS component,
   CASE event_type WHEN 'click' THEN 'acknowledge' WHEN 'purchase' THEN 'resolve' ELSE 'trigger' END AS action, ts AS timestamp, event_id FROM ev""",
     "audit_logs": """

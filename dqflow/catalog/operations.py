@@ -338,9 +338,8 @@ def us04(spark, d):
 
 
 @query("us05_events_from_runs", """
-SELECT tenant_id, event_type, sum(q)::double AS quantity, count(*) AS events FROM (
-SELECT tenant_id, 'gb_processed' AS event_type, gb_processed::decimal(18,6) AS q FROM runs UNION ALL SELECT tenant_id, 'compute_hours', round(execution_time_seconds::decimal(18,2) * 1000000 / 3600)::bigint / 1000000.0::double FROM runs WHERE false
-UNION ALL SELECT tenant_id, 'quality_checks', 1 FROM runs) GROUP BY 1, 2""")
+SELECT tenant_id, 'gb_processed' AS event_type, sum(gb_processed)::double AS quantity, count(*) AS events FROM runs GROUP BY 1
+UNION ALL SELECT tenant_id, 'quality_checks', count(*)::double, count(*) FROM runs GROUP BY 1""")
 def us05(spark, d):
     made = U.events_from_runs(S.runs(spark, d)).where("event_type != 'compute_hours'")
     return made.groupBy("tenant_id", "event_type").agg(F.sum("quantity").cast("double").alias("quantity"), F.count("*").alias("events"))

@@ -439,3 +439,33 @@ UNION ALL SELECT 'gender', 'corrected', count(*) FILTER (WHERE gender IN ('male'
 UNION ALL SELECT '_quality_incomplete', 'flagged', count(*) FILTER (WHERE email IS NULL) FROM members""")
 def rm05(spark, d):
     return R.remediation_log(S.members(spark, d), RuleSet.builtin(AS_OF), ["member_id", "email"])
+
+
+@query("ud02_placeholder_rules", """
+SELECT field, count(*) FILTER (WHERE ok) AS passed_count, count(*) AS total_count FROM (
+  SELECT 'o_orderstatus' AS field, o_orderstatus = 'field_value' OR length(o_orderstatus) = 1 AS ok FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority = 'field_value' OR length(o_orderpriority) = 1 FROM orders) GROUP BY 1""")
+def ud02(spark, d):
+    """The placeholder is replaced as a token only; text in quotes keeps it."""
+    rs = RuleSet().register(Rule("one_letter", "validity", "info", "field_value = 'field_value' OR length(field_value) = 1", ("o_order*",), strings_only=True))
+    return A.rule_results(S.table(spark, d, "orders"), rs).select("field", "passed_count", "total_count")
+
+
+@query("ud04_metric_definitions", """
+SELECT round(sum(o_totalprice::decimal(18,2))::double / count(*), 6) AS mean_price, round(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*)::double, 6) AS closed_share, round(count(DISTINCT o_custkey)::double, 6) AS customers FROM orders""")
+def ud04(spark, d):
+    from dqflow.operators.marts import custom_metrics
+
+    return custom_metrics(
+        S.table(spark, d, "orders"),
+        {
+            "mean_price": "cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) / count(*)",
+            "closed_share": "count_if(o_orderstatus = 'F') / count(*)",
+            "customers": "count(DISTINCT o_custkey)",
+        },
+    )
+
+
+@query("tk02_text_patterns", _pattern_sql("conversations", "text") + " UNION ALL " + _pattern_sql("conversations", "role"))
+def tk02(spark, d):
+    """Pattern counts over every value instead of a sample of rows."""
+    return P.patterns(S.table(spark, d, "conversations"), ["text", "role"]).withColumn("avg_length", F.round("avg_length", 6))

@@ -665,3 +665,20 @@ def sf09(spark, d):
         F.sum(F.least(F.greatest(a, F.lit(0)), F.lit(50000))).cast("double").alias("capped_total"),
         F.sum(F.round(a / 3, 2)).cast("double").alias("thirds"),
     )
+
+
+@query("sf03_checksum", f"""
+SELECT n AS key_length, valid, count(*) AS n FROM (SELECT length(o_custkey::varchar) AS n, {_LUHN.format("o_custkey::varchar")} AS valid FROM orders) GROUP BY 1, 2""")
+def sf03(spark, d):
+    text = F.col("o_custkey").cast("string")
+    o = S.table(spark, d, "orders")
+    return o.groupBy(F.length(text).cast("bigint").alias("key_length"), C.luhn(text).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("sf08_conditional", """
+SELECT CASE WHEN claim_amount < 0 THEN 'negative' WHEN claim_amount = 0 THEN 'zero' WHEN claim_amount <= 50000 THEN 'normal' ELSE 'large' END AS size, coalesce(admission_date, date_of_service) IS NULL AS undated, count(*) AS n FROM claims GROUP BY 1, 2""")
+def sf08(spark, d):
+    a = F.col("claim_amount")
+    size = F.when(a < 0, F.lit("negative")).when(a == 0, F.lit("zero")).when(a <= 50000, F.lit("normal")).otherwise(F.lit("large"))
+    undated = F.coalesce("admission_date", "date_of_service").isNull()
+    return S.claims(spark, d).groupBy(size.alias("size"), undated.alias("undated")).agg(F.count("*").alias("n"))

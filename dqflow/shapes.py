@@ -366,14 +366,14 @@ def health_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycle actions on alerts; an alert is a user, context a component."""
+    """Lifecycle actions on alerts; an alert is a user and day, context a component."""
     action = (
         F.when(F.col("event_type") == "click", F.lit("acknowledge"))
         .when(F.col("event_type") == "purchase", F.lit("resolve"))
         .otherwise(F.lit("trigger"))
     )
     return events(spark, sf_dir).select(
-        F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("alert_id"),
+        F.concat_ws("-", F.lit("a"), "user_id", F.date_format("ts", "MMdd")).alias("alert_id"),
         F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("tenant_id"),
         F.element_at(
             F.array(*[F.lit(s) for s in ("critical", "error", "warning", "info")]),
