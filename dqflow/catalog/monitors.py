@@ -240,7 +240,6 @@ def rp01(spark, d):
 SELECT 'dimension' AS section, dimension AS name, round(score, 6) AS value FROM dim_scores UNION ALL SELECT 'field', field, round(avg(score), 6) FROM field_dims GROUP BY 2
 UNION ALL SELECT 'rule', field || '.' || rule, round(score, 6) FROM rule_results WHERE NOT passed UNION ALL SELECT 'issue', type, round(measured, 6) FROM issues""")
 def rp02(spark, d):
-    from dqflow.catalog.quality import assessed, rules
-    from dqflow.operators import assess as A
+    from dqflow.catalog.quality import settled
 
-    return R.detailed_report(A.rule_results(assessed(spark, d), rules())).withColumn("value", F.round("value", 6))
+    return R.detailed_report(settled(spark, d)).withColumn("value", F.round("value", 6))

@@ -36,6 +36,10 @@ def rules():
     )
 
 
+def settled(spark, d):
+    return A.settled_results(assessed(spark, d), rules())
+
+
 _NPI_OK = """(SELECT sum(CASE WHEN i % 2 = 1 THEN CASE WHEN g * 2 > 9 THEN g * 2 - 9 ELSE g * 2 END ELSE g END) % 10 = 0
   FROM (SELECT i, substr(reverse('80840' || provider_npi), (i + 1)::int, 1)::int AS g FROM range(15) t(i)))"""
 _TEXT = ("claim_id", "member_id", "provider_npi", "diagnosis_code", "procedure_code", "place_of_service", "claim_status")
@@ -140,7 +144,7 @@ def qa05(spark, d):
 SELECT f.field, violation_count AS null_count, round(violation_count::double / total_count * 100, 6) AS null_percentage, round(f.s, 6) AS field_score
 FROM (SELECT field, avg(score) AS s FROM field_dims GROUP BY 1) f JOIN (SELECT * FROM rule_results WHERE rule = 'null_completeness') r USING (field)""")
 def qa06(spark, d):
-    res = A.rule_results(assessed(spark, d), rules())
+    res = settled(spark, d)
     return A.field_scores(res).join(A.field_nulls(res), "field").select(
         "field", "null_count", F.round("null_percentage", 6).alias("null_percentage"), F.round("field_score", 6).alias("field_score")
     )
@@ -174,7 +178,7 @@ add_view("issues", _ISSUES)
 
 @query("qa10_issues", "SELECT type, severity, field, round(measured, 6) AS measured FROM issues")
 def qa10(spark, d):
-    return A.issues(A.rule_results(assessed(spark, d), rules())).withColumn("measured", F.round("measured", 6))
+    return A.issues(settled(spark, d)).withColumn("measured", F.round("measured", 6))
 
 
 _ADVICE = ", ".join(f"({i}, '{a}', {b}, '{t}')" for i, (a, b, t) in enumerate(A.ADVICE))
@@ -187,7 +191,7 @@ JOIN (SELECT dimension, score FROM dim_scores UNION ALL SELECT 'overall', overal
 UNION ALL SELECT position, recommendation FROM (VALUES {_CODE_ADVICE}) c(position, recommendation)
 WHERE (SELECT count(*) FROM issues WHERE regexp_matches(lower(coalesce(field, type)), 'npi|icd|cpt|member|provider')) > 0""")
 def qa11(spark, d):
-    return A.recommendations(A.rule_results(assessed(spark, d), rules()))
+    return A.recommendations(settled(spark, d))
 
 
 @query("qa12_assessment", """

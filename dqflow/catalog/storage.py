@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -229,9 +230,8 @@ def versions(spark, d):
     fields = registry.observed_schema(documents(spark, d), "doc", ["day"])
     layout = fields.groupBy("day").agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "type")))).alias("schema_json"))
     first = layout.groupBy("schema_json").agg(F.min("day").alias("registered_at"))
-    older = first.select(F.col("registered_at").alias("x"))
-    rank = first.join(older, F.col("x") <= F.col("registered_at")).groupBy("schema_json", "registered_at").agg(F.count("*").cast("int").alias("version"))
-    return rank.withColumn("table_name", F.lit("events"))
+    number = F.row_number().over(W.orderBy("registered_at"))  # one row per layout
+    return first.select(F.lit("events").alias("table_name"), number.alias("version"), "schema_json", "registered_at")
 
 
 @query("dr01_active_schema", f"SELECT 'events' AS table_name, 2 AS version, '2024-01-16' AS registered_at {_HAVE}")

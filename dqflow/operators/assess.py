@@ -7,11 +7,14 @@ pair.  Exact uniqueness is the only part that shuffles data, keyed by value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqflow.functions.codes import COMPLETENESS_TARGETS, CRITICAL_FIELDS, EXPECTED_FIELDS, present
 from dqflow.operators.rules import DEFAULT_WEIGHT, DIMENSIONS, WEIGHTS, RuleSet, checked_predicate
+from dqflow.sources.tables import stored_layer
 
 CHUNK = 300
 
@@ -42,7 +45,9 @@ METRIC_BANDS = {
 
 
 def one_pass(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """``(key, value)`` rows from many aggregates over a single scan.
+    """``(key, value, total)`` rows from many aggregates over a single scan.
+
+    ``total`` is the number of rows, counted in the same pass.
 
     Beyond ``CHUNK`` measures the aggregate is cut so that each generated
     function stays compilable; each chunk scans once.
@@ -51,8 +56,12 @@ def one_pass(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
     parts = []
     for i in range(0, len(names), CHUNK):
         chunk = names[i : i + CHUNK]
-        wide = df.agg(*[measures[n].cast("double").alias(f"m{j}") for j, n in enumerate(chunk)])
-        pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"m{j}").alias("value")) for j, n in enumerate(chunk)])
+        wide = df.agg(
+            F.count(F.lit(1)).cast("double").alias("rows"), *[measures[n].cast("double").alias(f"m{j}") for j, n in enumerate(chunk)]
+        )
+        pairs = F.array(
+            *[F.struct(F.lit(n).alias("key"), F.col(f"m{j}").alias("value"), F.col("rows").alias("total")) for j, n in enumerate(chunk)]
+        )
         parts.append(wide.select(F.inline(pairs)))
     out = parts[0]
     for p in parts[1:]:
@@ -78,7 +87,7 @@ def distinct_counts(df: DataFrame, fields) -> DataFrame:
 def rule_results(df: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per (field, rule): counts, score 0-100 and the verdict."""
     bound = rules.bind(df.schema)
-    counted, unique, broken, info = {"": F.count(F.lit(1))}, [], [], {}
+    counted, unique, broken, info = {}, [], [], {}
     for fname, rule in bound:
         key = f"{fname}\x1f{rule.name}"
         info[key] = (fname, rule)
@@ -90,9 +99,7 @@ def rule_results(df: DataFrame, rules: RuleSet) -> DataFrame:
             broken.append(key)
             cond = F.lit(False)
         counted[key] = F.count_if(cond)
-    raw = one_pass(df, counted)
-    total = raw.where("key = ''").select(F.col("value").alias("total"))
-    passes = raw.where("key != ''").withColumn("total", total.scalar())
+    found = [one_pass(df, counted)] if counted else []
     if unique:
         d = distinct_counts(df, sorted({f for f, _ in unique}))
         names = F.create_map(*[x for f, r in unique for x in (F.lit(f), F.lit(f"{f}\x1f{r.name}"))])
@@ -101,7 +108,8 @@ def rule_results(df: DataFrame, rules: RuleSet) -> DataFrame:
             F.when(F.col("distinct_values") == F.col("total"), F.col("total")).otherwise(0).cast("double").alias("value"),
             F.col("total").cast("double").alias("total"),
         )
-        passes = passes.unionByName(d)
+        found.append(d)
+    passes = reduce(lambda a, b: a.unionByName(b), found)
 
     meta = F.create_map(
         *[
@@ -134,6 +142,15 @@ def rule_results(df: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
+def settled_results(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """Rule results written once, for the several tables derived from them.
+
+    One row per (field, rule) in the shared work folder; the assessed table is
+    not read again, whatever is derived.
+    """
+    return stored_layer(rule_results(df, rules).coalesce(1), "rule-results")
+
+
 def field_results(results: DataFrame) -> DataFrame:
     """Mean of rule scores per (field, dimension)."""
     return results.groupBy("field", "dimension").agg(F.avg("score").alias("score"))
@@ -251,7 +268,7 @@ def recommendations(results: DataFrame, weights: dict | None = None) -> DataFram
 
 def assess(df: DataFrame, table: str, rules: RuleSet, custom=None, weights=None, thresholds=None) -> dict[str, DataFrame]:
     """All result tables of one assessment, derived from one set of counts."""
-    results = rule_results(df, rules.with_rules(custom))
+    results = settled_results(df, rules.with_rules(custom))
     dims = dimension_scores(results)
     return {
         "rules": results.withColumn("table_name", F.lit(table)),
@@ -265,7 +282,7 @@ def assess(df: DataFrame, table: str, rules: RuleSet, custom=None, weights=None,
 
 def summary_row(df: DataFrame, table: str, rules: RuleSet, custom=None) -> DataFrame:
     """One row per table: counts, scores, failed rules and critical issues."""
-    results = rule_results(df, rules.with_rules(custom))
+    results = settled_results(df, rules.with_rules(custom))
     dims = dimension_scores(results)
     wide = dims.groupBy().pivot("dimension", list(DIMENSIONS)).agg(F.first("score"))
     tally = results.agg(
@@ -311,15 +328,13 @@ def completeness_targets(df: DataFrame) -> DataFrame:
     """Share of present values per critical and required field against its target."""
     kinds = {**{f: "critical" for f in CRITICAL_FIELDS}, **{f: "required" for f in EXPECTED_FIELDS}}
     fields = [f for f in kinds if f in df.columns]
-    raw = one_pass(df, {"": F.count(F.lit(1)), **{f: F.count_if(present(f)) for f in fields}})
-    total = raw.where("key = ''").select("value").scalar()
+    raw = one_pass(df, {f: F.count_if(present(f)) for f in fields})
     table = F.create_map(
         *[x for f in fields for x in (F.lit(f), F.struct(F.lit(kinds[f]).alias("kind"), F.lit(COMPLETENESS_TARGETS[kinds[f]]).alias("target")))]
     )
-    share = F.col("value") * 100 / total
+    share = F.col("value") * 100 / F.col("total")
     return (
-        raw.where("key != ''")
-        .withColumns({"t": table[F.col("key")], "share": share})
+        raw.withColumns({"t": table[F.col("key")], "share": share})
         .select(
             F.col("key").alias("field"), "t.kind", "t.target", F.round("share", 6).alias("completeness"),
             (F.col("share") >= F.col("t.target")).alias("meets_target"),

@@ -37,7 +37,7 @@ def column_stats(df: DataFrame, fields=None) -> DataFrame:
     """One row per column: null count and, for numbers, min, max, mean, stddev."""
     fields = fields or df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-    m = {"": F.count(F.lit(1))}
+    m = {}
     for f in fields:
         m[f"{f}\x1fnulls"] = F.count_if(F.col(f).isNull())
         if is_numeric(types[f]):
@@ -45,16 +45,14 @@ def column_stats(df: DataFrame, fields=None) -> DataFrame:
             m[f"{f}\x1fmin"], m[f"{f}\x1fmax"] = F.min(x), F.max(x)
             m[f"{f}\x1fmean"], m[f"{f}\x1fstddev"] = F.avg(x), F.stddev_samp(x)
     raw = one_pass(df, m)
-    total = raw.where("key = ''").select("value").scalar()
     parts = F.split("key", "\x1f")
     wide = (
-        raw.where("key != ''")
-        .select(parts[0].alias("field"), parts[1].alias("stat"), "value")
-        .groupBy("field")
+        raw.select(parts[0].alias("field"), parts[1].alias("stat"), "value", "total")
+        .groupBy("field", "total")
         .pivot("stat", ["nulls", "min", "max", "mean", "stddev"])
         .agg(F.first("value"))
     )
-    return wide.withColumn("total", total).select(
+    return wide.select(
         "field",
         F.col("total").cast("bigint").alias("total_count"),
         F.col("nulls").cast("bigint").alias("null_count"),

@@ -22,7 +22,9 @@ BLOCK = 16
 def _cuts(hist: DataFrame) -> DataFrame:
     """One row: the cut points as blocks and the first point of each later block."""
     steps = [i / (BLOCK * BLOCK) for i in range(1, BLOCK * BLOCK)]
-    points = hist.agg(F.array_distinct(F.percentile_approx("_v", steps, 10000)).alias("p"))
+    # The filter keeps the count in use, so that the histogram here is the very
+    # aggregation the ranks are taken from and is computed once.
+    points = hist.where("_c > 0").agg(F.array_distinct(F.percentile_approx("_v", steps, 10000)).alias("p"))
     blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.slice("p", i * BLOCK + 1, BLOCK))
     return points.select(F.filter(blocks, lambda b: F.size(b) > 0).alias("b")).select(
         F.struct("b", F.transform(F.slice("b", 2, BLOCK), lambda x: x[0]).alias("heads"))

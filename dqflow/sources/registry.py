@@ -11,6 +11,7 @@ import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,8 +102,8 @@ def judge(changes: DataFrame, by=()) -> DataFrame:
 
 def with_active(registry: DataFrame) -> DataFrame:
     """The newest version of each table is the active one; nothing is updated in place."""
-    newest = registry.groupBy("table_name").agg(F.max("version").alias("_v"))
-    return registry.join(newest, "table_name").withColumn("is_active", F.col("version") == F.col("_v")).drop("_v")
+    newest = F.max("version").over(W.partitionBy("table_name"))
+    return registry.withColumn("is_active", F.col("version") == newest)
 
 
 def active_schema(registry: DataFrame, table: str) -> T.StructType | None:
