@@ -118,9 +118,8 @@ def snk01_table(spark, d):
 def snk01_partitions(spark, d):
     target, source = upsert_input(spark, d)
     path = work_dir(spark, "orders-by-status")
-    target.withColumn("seq", F.lit(0)).write.partitionBy("o_orderstatus").parquet(path)
-    merge.merge_partitions(path, source, "o_orderkey", ["seq"], "o_orderstatus")
-    return spark.read.parquet(path).drop("seq")
+    merge.create_partitions(target.withColumn("seq", F.lit(0)), path, "0001", "o_orderstatus")
+    return merge.merge_partitions(path, source, "o_orderkey", ["seq"], "o_orderstatus", "0002").drop("seq")
 
 
 @query("snk02_merge_schema", "SELECT event_type, count(*) AS n, count(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN props END) AS with_props FROM events GROUP BY 1")

@@ -295,9 +295,8 @@ _RECORD_ERRORS = f"""
 SELECT claim_id, errors = '' AS valid, errors, n_warnings FROM ({_RECORD_ERRORS})""")
 def va24(spark, d):
     schema = {k: v for k, v in C.MEDICAID_SCHEMA.items() if k != "provider_taxonomy"}
-    rec = C.validate_record(schema, AS_OF, MIN)
-    return record_input(spark, d).select("claim_id", rec.alias("r")).select(
-        "claim_id", "r.valid", F.concat_ws("; ", "r.errors").alias("errors"), F.size("r.warnings").alias("n_warnings")
+    return C.validate_records(record_input(spark, d), schema, AS_OF, MIN).select(
+        "claim_id", "valid", F.concat_ws("; ", "errors").alias("errors"), F.size("warnings").alias("n_warnings")
     )
 
 
@@ -311,11 +310,11 @@ def va25(spark, d):
 
     rows = record_input(spark, d)
     tax = S.providers(spark, d).select("provider_npi", F.col("taxonomy_code").alias("provider_taxonomy"))
-    medicaid = join_unique(rows, tax, "provider_npi").select(C.validate_record(C.MEDICAID_SCHEMA, AS_OF, MIN)["valid"].alias("ok"))
-    medicare = rows.select(C.validate_record(C.MEDICARE_SCHEMA, AS_OF, MIN)["valid"].alias("ok"))
+    medicaid = C.validate_records(join_unique(rows, tax, "provider_npi"), C.MEDICAID_SCHEMA, AS_OF, MIN)
+    medicare = C.validate_records(rows, C.MEDICARE_SCHEMA, AS_OF, MIN)
 
     def tally(df, name):
-        return df.agg(F.count_if("ok").alias("valid_records"), F.count("*").alias("records")).select(
+        return df.agg(F.count_if("valid").alias("valid_records"), F.count("*").alias("records")).select(
             F.lit(name).alias("programme"), "valid_records", "records"
         )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqflow.functions.scalars import col_of, digits, is_true, parse_date
@@ -377,41 +377,46 @@ MEDICARE_SCHEMA = {
 }
 
 
-def validate_record(schema: dict, as_of: dt.date, minimum: dt.date = dt.date(2020, 1, 1), columns=None) -> Column:
-    """One struct per record: valid, errors, warnings and each field's struct.
-
-    An unknown validator name or a missing column becomes an error entry.
-    """
-    fields, errors, warnings = [], [], []
+def field_validators(schema: dict, columns, as_of: dt.date, minimum: dt.date) -> tuple[dict, list]:
+    """Validator struct per known field, and messages for what cannot be checked."""
+    none = F.lit(None).cast("string")
+    checks, problems = {}, []
     for field, name in schema.items():
-        if columns is not None and field not in columns:
-            errors.append(F.lit(f"{field}: missing field"))
-            continue
-        if name == "service_date":
-            out = validate_service_date(field, as_of, minimum)
+        if field not in columns:
+            problems.append(f"{field}: missing field")
+        elif name == "service_date":
+            checks[field] = validate_service_date(field, as_of, minimum)
         elif name == "admission_date":
-            service = "service_date" if columns is None or "service_date" in columns else F.lit(None).cast("string")
-            out = validate_admission(field, service)
+            checks[field] = validate_admission(field, "service_date" if "service_date" in columns else none)
         elif name == "discharge_date":
-            admission = "admission_date" if columns is None or "admission_date" in columns else F.lit(None).cast("string")
-            out = validate_discharge(field, admission)
+            checks[field] = validate_discharge(field, "admission_date" if "admission_date" in columns else none)
         elif name in VALIDATORS:
-            out = VALIDATORS[name](field)
+            checks[field] = VALIDATORS[name](field)
         else:
-            errors.append(F.lit(f"{field}: unknown rule {name}"))
-            continue
-        fields.append(out.alias(field))
-        errors.append(F.when(~out["valid"], F.concat(F.lit(f"{field}: "), out["error"])))
-        warnings.append(F.when(out["warning"].isNotNull(), F.concat(F.lit(f"{field}: "), out["warning"])))
-    empty = F.array().cast("array<string>")
-    errs = F.array_compact(F.array(*errors)) if errors else empty
-    warns = F.array_compact(F.array(*warnings)) if warnings else empty
-    return F.struct(
-        (F.size(errs) == 0).alias("valid"),
-        errs.alias("errors"),
-        warns.alias("warnings"),
-        F.struct(*fields).alias("fields"),
+            problems.append(f"{field}: unknown rule {name}")
+    return checks, problems
+
+
+def validate_records(df: DataFrame, schema: dict, as_of: dt.date, minimum: dt.date = dt.date(2020, 1, 1)) -> DataFrame:
+    """Add ``valid``, ``errors``, ``warnings`` and ``fields`` for a whole record.
+
+    An unknown validator name or a missing column becomes an error entry.  The
+    field structs are columns of their own first, so that each validator runs
+    once per row however often its outcome is used.
+    """
+    checks, problems = field_validators(schema, df.columns, as_of, minimum)
+    marked = df.select("*", *[c.alias(f"_v_{f}") for f, c in checks.items()])
+
+    def messages(part):
+        found = [F.when(F.col(f"_v_{f}")[part].isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f"_v_{f}")[part])) for f in checks]
+        return F.array_compact(F.array(*found).cast("array<string>"))
+
+    errors = F.concat(messages("error"), F.array(*[F.lit(p) for p in problems]).cast("array<string>"))
+    out = marked.select(
+        *df.columns, errors.alias("errors"), messages("warning").alias("warnings"),
+        F.struct(*[F.col(f"_v_{f}").alias(f) for f in checks]).alias("fields"),
     )
+    return out.withColumn("valid", F.size("errors") == 0)
 
 
 def validate_code(kind, value) -> Column:

@@ -131,7 +131,8 @@ def isolation_scores(df: DataFrame, fields, trees=TREES, size=SAMPLE, seed=42) -
 
 def forest_summary(df: DataFrame, fields, contamination=0.1, **kw) -> DataFrame:
     """One row: records, records above the score threshold and the threshold."""
-    scored = isolation_scores(df, fields, **kw)
+    scored = isolation_scores(df, fields, **kw).groupBy("score").agg(F.sum("w").alias("w"))
+    scored = stored_layer(scored, "forest-scores")  # the model runs once, the threshold reads this
     limit = exact_percentiles(scored, [], "score", {"_limit": 1 - contamination}, weight="w").select("_limit")
     s = scored.withColumn("_limit", limit.scalar())
     out = F.col("score") > F.col("_limit")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqflow.operators.skew import all_not_null, as_list, last_per_key
-from dqflow.session import work_dir
 
 
 def latest_source(source: DataFrame, keys, order: list) -> DataFrame:
@@ -61,23 +60,45 @@ def merge_into(path: str, source: DataFrame, keys, order: list, version: str) ->
     return read_current(spark, path)
 
 
-def merge_partitions(path: str, source: DataFrame, keys, order: list, partition: str) -> None:
+def publish_partitions(df: DataFrame, path: str, version: str, partition: str, touched: DataFrame) -> None:
+    """Write new contents of the ``touched`` partitions, then log them.
+
+    The log names the version each partition is read from.  It is appended
+    last, so a failed write leaves the table as it was, and a partition that
+    became empty is simply logged without files.
+    """
+    df.withColumn("_v", F.lit(f"v{version}")).write.mode("append").partitionBy("_v", partition).parquet(f"{path}/data")
+    touched.select(F.col(partition).cast("string").alias("part"), F.lit(f"v{version}").alias("_v")).write.mode("append").parquet(
+        f"{path}/_partitions"
+    )
+
+
+def create_partitions(df: DataFrame, path: str, version: str, partition: str) -> None:
+    publish_partitions(df, path, version, partition, df.select(partition).distinct())
+
+
+def read_partitions(spark: SparkSession, path: str, partition: str) -> DataFrame:
+    """Current contents; the join on the small log prunes replaced versions' files."""
+    live = spark.read.parquet(f"{path}/_partitions").groupBy("part").agg(F.max("_v").alias("_v"))
+    data = spark.read.parquet(f"{path}/data")
+    return data.join(live, (data["_v"] == live["_v"]) & (data[partition].cast("string") == live["part"]), "left_semi").drop("_v")
+
+
+def merge_partitions(path: str, source: DataFrame, keys, order: list, partition: str, version: str) -> DataFrame:
     """Upsert a partitioned table, rewriting only partitions that change.
 
     Those are the partitions of the incoming rows and the ones their old
-    versions live in.  The result is staged in the shared folder before it
-    replaces them, so a failure leaves the table as it was.
+    versions live in.
     """
     keys = as_list(keys)
     spark = source.sparkSession
-    target = spark.read.parquet(path)
+    target = read_partitions(spark, path, partition)
     new = latest_source(source, keys, order)
     old_homes = target.join(new.select(*keys).where(all_not_null(keys)), keys, "left_semi").select(partition)
     touched = new.select(partition).unionByName(old_homes).distinct()
     part = target.join(touched, partition, "left_semi")
-    staged = work_dir(spark, "merge")
-    upsert(part, source, keys, order).select(*target.columns).write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    publish_partitions(upsert(part, source, keys, order).select(*target.columns), path, version, partition, touched)
+    return read_partitions(spark, path, partition)
 
 
 def snapshot(df: DataFrame, path: str, at) -> str:
