@@ -71,6 +71,19 @@ def glob_matches(pattern: str, name: str) -> bool:
     return pattern == name
 
 
+def glob_column(pattern: str, column) -> Column:
+    """The same match for names that are data."""
+    name, pattern = F.lower(column), pattern.lower()
+    core = pattern.strip("*")
+    if pattern == "*":
+        return F.lit(True)
+    if pattern.startswith("*") and pattern.endswith("*"):
+        return name.contains(core)
+    if pattern.startswith("*"):
+        return name.endswith(core)
+    return name.startswith(core) if pattern.endswith("*") else name == pattern
+
+
 def builtin_rules(as_of: dt.date) -> list[Rule]:
     latest = as_of.replace(year=as_of.year + 1, day=min(as_of.day, 28) if as_of.month == 2 else as_of.day)
     return [

@@ -95,20 +95,12 @@ def flag_earlier_within(df: DataFrame, keys, at: str, days: int, name: str, coun
     day, joined back on key and day.
     """
     keys = as_list(keys)
-    eligible = df if counts is None else df.where(counts)
-    daily = eligible.groupBy(*keys, at).agg(
-        F.min(ident or F.lit(0)).alias("_lo"), F.max(ident or F.lit(0)).alias("_hi")
-    )
-    prev = F.lag(at).over(W.partitionBy(*keys).orderBy(at))
-    present = daily.withColumn("_prev", prev)
-    if counts is not None:
-        # A row that is not eligible itself still needs the last eligible day before it.
-        days_seen = df.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("_any"))
-        joined = days_seen.join(daily, [*keys, at], "left")
-        last = F.last(F.when(F.col("_lo").isNotNull(), F.col(at)), ignorenulls=True).over(
-            W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-        )
-        present = joined.withColumn("_prev", last).drop("_any")
+    who = F.col(ident) if ident else F.lit(0)
+    shown = who if counts is None else F.when(counts, who)
+    daily = df.groupBy(*keys, at).agg(F.min(shown).alias("_lo"), F.max(shown).alias("_hi"))
+    before = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    last_day = F.last(F.when(F.col("_lo").isNotNull(), F.col(at)), ignorenulls=True).over(before)
+    present = daily.withColumn("_prev", last_day)
     out = join_unique(df, present, [*keys, at], "left")
     earlier = F.datediff(F.col(at), F.col("_prev")) <= days
     if ident:

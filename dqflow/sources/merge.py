@@ -67,7 +67,7 @@ def publish_partitions(df: DataFrame, path: str, version: str, partition: str, t
     last, so a failed write leaves the table as it was, and a partition that
     became empty is simply logged without files.
     """
-    df.withColumn("_v", F.lit(f"v{version}")).write.mode("append").partitionBy("_v", partition).parquet(f"{path}/data")
+    df.write.mode("errorifexists").partitionBy(partition).parquet(f"{path}/data/_v=v{version}")
     touched.select(F.col(partition).cast("string").alias("part"), F.lit(f"v{version}").alias("_v")).write.mode("append").parquet(
         f"{path}/_partitions"
     )
