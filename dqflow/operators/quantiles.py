@@ -16,36 +16,28 @@ from pyspark.sql import functions as F
 
 from dqflow.operators.skew import as_list
 
-BLOCK = 16  # three steps of 16: up to 4096 slices
+HALVINGS = 12  # up to 4096 slices
 
 
 def _cuts(hist: DataFrame) -> DataFrame:
-    """One row: the cut points, every 16th and every 256th of them."""
-    n = BLOCK**3
-    # The filter keeps the count in use, so that the histogram here is the very
-    # aggregation the ranks are taken from and is computed once.
+    """One row: the sorted cut points."""
+    n = 2**HALVINGS
     # One text literal instead of thousands of number literals: plans stay small.
     steps = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
-    points = hist.where("_c > 0").agg(F.array_distinct(F.percentile_approx("_v", steps, n)).alias("all"))
-
-    def every(k):
-        at = F.sequence(F.lit(1), F.lit(n // k))
-        return F.filter(F.transform(at, lambda i: F.get("all", i * k - 1)), lambda x: x.isNotNull())
-
-    return points.select(F.struct("all", every(BLOCK).alias("mid"), every(BLOCK * BLOCK).alias("top")))
+    # The filter keeps the count in use, so that the histogram here is the very
+    # aggregation the ranks are taken from and is computed once.
+    return hist.where("_c > 0").agg(F.array_distinct(F.percentile_approx("_v", steps, n)))
 
 
 def _slice_of(cuts: Column, v: Column) -> Column:
-    """Number of cut points below ``v``, found in three short steps."""
-
-    def below(points):
-        return F.size(F.filter(points, lambda x: x < v))
-
-    top = below(cuts["top"])
-    mid = top * BLOCK + below(F.slice(cuts["mid"], top * BLOCK + 1, BLOCK))
+    """Number of cut points below ``v`` by halving."""
+    strides = F.array(*[F.lit(2**i) for i in reversed(range(HALVINGS))])
+    found = F.aggregate(
+        strides, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < v, at + step).otherwise(at)
+    )
     # Never NULL, so that the join on the slice adds no filter that would be
     # evaluated on the raw rows below the aggregation.
-    return F.coalesce(mid * BLOCK + below(F.slice(cuts["all"], mid * BLOCK + 1, BLOCK)), F.lit(0))
+    return F.coalesce(found, F.lit(0))
 
 
 def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, weight: str | None = None) -> DataFrame:

@@ -166,13 +166,35 @@ def trailing_in_slots(df: DataFrame, keys, at_micros: Column, seconds: int, name
 
     A row is shown to its own slot and to the next one, both as wide as the
     window, so each (key, slot) group holds all it needs and no more than two
-    window widths of data.
+    window widths of data.  The count is the running count at the row minus the
+    running count at a marker one width earlier: a growing frame, which costs
+    the same however many rows a window holds.
     """
     keys = as_list(keys)
     width = seconds * 1_000_000
-    t = df.withColumn("_t", at_micros)
-    home = F.floor(F.col("_t") / width)
-    shown = t.withColumn("_place", F.explode(F.array(F.struct(home.alias("s"), F.lit(True).alias("own")),
-                                                     F.struct((home + 1).alias("s"), F.lit(False).alias("own")))))
-    w = W.partitionBy(*keys, "_place.s").orderBy("_t").rangeBetween(-width + 1, 0)
-    return shown.withColumn(name, F.count(F.lit(1)).over(w)).where("_place.own").drop("_t", "_place")
+    t = df.select("*", at_micros.alias("_t")).withColumn("_s", F.floor(F.col("_t") / width))
+    t = t.withColumn("_rid", F.row_number().over(W.partitionBy(*keys, "_s").orderBy("_t")))
+    row, nothing = F.struct(*df.columns), F.lit(None).cast(df.schema)
+
+    def part(slot, at, event, rid, payload, own):
+        return F.struct(
+            slot.alias("slot"), at.alias("at"), F.lit(event).alias("event"), rid.alias("rid"), payload.alias("row"), F.lit(own).alias("own")
+        )
+
+    shown = t.select(
+        *keys,
+        F.inline(
+            F.array(
+                part(F.col("_s"), F.col("_t"), 1, F.col("_rid"), row, True),
+                part(F.col("_s") + 1, F.col("_t"), 1, F.lit(0), nothing, False),
+                part(F.col("_s"), F.col("_t") - width, 0, F.col("_rid"), nothing, False),
+            )
+        ),
+    )
+    grow = W.partitionBy(*keys, "slot").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = shown.withColumn("_run", F.sum("event").over(grow)).where("rid > 0")
+    pairs = counted.groupBy(*keys, "slot", "rid").agg(
+        F.any_value("row", F.lit(True)).alias("row"),
+        (F.max(F.when(F.col("own"), F.col("_run"))) - F.max(F.when(~F.col("own"), F.col("_run")))).alias(name),
+    )
+    return pairs.select("row.*", name)
