@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), share=1.0, max_epochs=3)
 
 
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), share=1.0,
-                max_epochs=3, seed="mix", rows_per_slice=20_000) -> DataFrame:
+                max_epochs=3, seed="mix", rows_per_slice=5_000) -> DataFrame:
     """``docs`` with size, source_size, target and taken; every input row stays.
 
     Each row gets a hash-random key.  Keys are uniform, so cutting their range into equal slices

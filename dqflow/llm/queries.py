@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dqflow.llm.common import table
 
@@ -67,3 +68,87 @@ def op10(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages")
     return filter_urls(pages, labelled_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
+@query("op7_secret_scan")
+def op7(spark, sf_dir):
+    from dqflow.llm.secrets import digest, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns(digest(found)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("_spans").alias("spans"))
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    from dqflow.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+LEAK_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+p AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+x AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM p) AS l, unnest(range(1, len(w) - n + 2)) AS u(i)),
+h AS (SELECT x.doc_id, x.i, x.n, p.item FROM x JOIN p ON x.n = p.n AND x.win = p.win),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(0, n)) AS u(k) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(g.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(g.items, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+@query("op4_decontaminate", LEAK_SQL)
+def op4(spark, sf_dir):
+    from dqflow.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op2_private_data")
+def op2(spark, sf_dir):
+    from dqflow.llm.pii import digest, find_private
+
+    found = find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns(digest()).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("_spans").alias("spans"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 5 * count(*) >= 4 * (nx.n + ny.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.a AS doc_id, c.class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links FROM c LEFT JOIN k ON c.a = k.a
+"""
+
+
+@query("op3_jaccard_join", NEAR_SQL)
+def op3(spark, sf_dir):
+    from dqflow.llm.near import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "class_id", "n_links")
