@@ -152,3 +152,10 @@ def op3(spark, sf_dir):
     from dqflow.llm.near import near_classes
 
     return near_classes(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "class_id", "n_links")
+
+
+@query("op5_language_model")
+def op5(spark, sf_dir):
+    from dqflow.llm.hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
