@@ -159,3 +159,11 @@ def op5(spark, sf_dir):
     from dqflow.llm.hmm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    from dqflow.llm.suffixes import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
