@@ -175,7 +175,8 @@ def robust_models(vectors: DataFrame, keys: list[str], share=0.75, steps=3, infl
     for _ in range(steps):
         near = _distance(vectors, model, keys).withColumn("_bin", F.ceil(F.log(F.col("d2") + 1e-6) * 50).cast("int"))
         bins = near.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("n"))
-        cut = _quantile_rows(bins, keys, "_bin", share)
+        # Written tables have a known size: one row per key, joined without shuffling the rows where it is small.
+        cut = saved(_quantile_rows(bins, keys, "_bin", share), "mcd-cut")
         model = saved(_moments(near.join(cut, keys).where(F.col("_bin") <= F.col("cut")), keys, inflate), "mcd")
     return model
 
@@ -198,7 +199,7 @@ def quality_rules(docs: DataFrame, text_col="text", lang_col="lang", source_col=
     counted = statistics(without(base, *own), "_text")
     vectors = saved(counted.where("n_words > 0").select(*keys, *FEATURES), "vectors")
     sized = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    model = robust_models(vectors, keys, share, steps).join(sized.where(F.col("_n") >= min_rows).select(*keys), keys, "left_semi")
+    model = saved(robust_models(vectors, keys, share, steps).join(sized.where(F.col("_n") >= min_rows).select(*keys), keys, "left_semi"), "mcd")
     judged = _distance(counted, model, keys)
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).drop(
         *keys, "_text", *FEATURES)
