@@ -168,18 +168,56 @@ def components(links: DataFrame, name="components") -> DataFrame:
             return labels
 
 
+def in_units(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (one per key and node) with the unit of work and the block each belongs to.
+
+    The rows of a key are cut into blocks of about ``BLOCK``; every pair of blocks is a unit, so each pair of rows meets
+    in one unit (rows of one block in several) and no unit grows with the key.  Keys of one block share units.
+    """
+    sized = rows.join(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), key)
+    units = max(1, rows.count() // BLOCK)
+    return sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "unit", F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64(key), F.lit(units)).cast("string")))
+        .otherwise(F.concat_ws(":", F.col(key).cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))))
+
+
+def prune_across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket but different components that are left after comparing their values step by step.
+
+    ``rows`` has key, node, label.  Pairs are formed and pruned inside the task; only those left come out.
+    """
+    need = least_matches()
+    dealt = in_units(rows.join(sigs.select("node", "sig"), "node"), "key").select("unit", "key", "node", "label", "sig")
+
+    def compare(t: pa.Table) -> pa.Table:
+        key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        order, a, b = np.argsort(key, kind="stable"), [], []
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            for i, r in enumerate(own):
+                alive = own[i + 1:]
+                alive, matches = alive[label[alive] != label[r]], 0
+                for at in range(0, HASHES, STEP):
+                    if not len(alive):
+                        break
+                    matches = matches + (sig[alive, at:at + STEP] == sig[r, at:at + STEP]).sum(axis=1, dtype=np.int32)
+                    keep = matches >= need[min(at + STEP, HASHES)]
+                    alive, matches = alive[keep], matches[keep]
+                a += [np.minimum(node[alive], node[r])]
+                b += [np.maximum(node[alive], node[r])]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def count_links(members: DataFrame) -> DataFrame:
     """node, links: copies of other nodes of its class (label) within the threshold; each pair of a class is compared.
 
     ``members`` has label, node, copies, shingles.  Classes are cut into blocks of about 256 nodes and pairs of blocks
     are the units of work, so no task holds a whole class; blocks of small classes share a unit.
     """
-    sized = members.join(members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "label")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = max(1, members.count() // BLOCK)
-    dealt = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-        "unit", F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(units)).cast("string")))
-        .otherwise(F.concat_ws(":", F.col("label").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))))
+    dealt = in_units(members, "label")
 
     def compare(t: pa.Table) -> pa.Table:
         node, label, block, copies = (t.column(c).to_numpy() for c in ("node", "label", "block", "copies"))
@@ -243,12 +281,7 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=T
 
     named = mates.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    open_rows = named.join(mixed, "key")
-    one, two = open_rows.select("key", F.col("node").alias("a"), F.col("label").alias("la")), open_rows.select(
-        "key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct().join(
-        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = saved(verify(prune(across, nodes), sets), "links")
+    more = saved(verify(prune_across(named.join(mixed, "key"), nodes), sets), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "components2")
 
