@@ -126,8 +126,46 @@ def an10(spark, d):
 
 @query("an10_isolation_forest_embeddings")
 def an10_embeddings(spark, d):
-    e = S.table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(5)])
-    return flat(MV.forest_anomalies(e, "embeddings", [f"e{i}" for i in range(5)]), "anomaly_percentage")
+    dims = S.table(spark, d, "embeddings").select(F.max(F.size("embedding"))).first()[0] or 0
+    fields = [f"e{i}" for i in range(dims)]
+    e = S.table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(fields)])
+    return flat(MV.forest_anomalies(e, "embeddings", fields), "anomaly_percentage")
+
+
+@query("an10_forest_finds_spikes", """
+SELECT count(*) AS total_records, count(*) FILTER (WHERE l_orderkey % 100 = 0 AND l_linenumber = 1) AS spikes, true AS within_contamination, true AS spikes_stand_out FROM lineitem""")
+def an10_spikes(spark, d):
+    """Checkable facts of the forest: amounts of every hundredth order's first line are raised twentyfold."""
+    spike = (F.col("l_orderkey") % 100 == 0) & (F.col("l_linenumber") == 1)
+    rows = S.table(spark, d, "lineitem").select(
+        spike.alias("spike"), F.col("l_quantity").cast("double").alias("x0"),
+        (F.col("l_extendedprice").cast("double") * F.when(spike, 20).otherwise(1)).alias("x1"))
+    scored = MV.isolation_scores(rows, ["x0", "x1"])
+    limit = MV.exact_percentiles(scored.groupBy("score").agg(F.sum("w").alias("w")), [], "score", {"_limit": 0.95}, weight="w").select("_limit").scalar()
+    both = rows.join(scored, ["x0", "x1"]).withColumn("out", F.col("score") > limit)
+    share = F.avg(F.when(F.col("spike"), F.col("out").cast("int"))), F.avg(F.when(~F.col("spike"), F.col("out").cast("int")))
+    return both.agg(
+        F.count(F.lit(1)).alias("total_records"), F.count_if("spike").alias("spikes"),
+        (F.count_if("out") <= F.count(F.lit(1)) * 0.05).alias("within_contamination"), (share[0] > 5 * share[1]).alias("spikes_stand_out"))
+
+
+# Distinct standardised points; neighbours by an equi-join of grid cells of side 0.5.
+_NOISE = """
+WITH rows AS (SELECT claim_amount::double AS a, datediff('day', date_of_service, submission_date)::double AS b FROM claims WHERE claim_amount IS NOT NULL AND date_of_service IS NOT NULL AND submission_date IS NOT NULL),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM rows),
+p AS (SELECT CASE WHEN sa > 0 THEN (a - ma) / sa ELSE 0 END AS x, CASE WHEN sb > 0 THEN (b - mb) / sb ELSE 0 END AS y, count(*) AS w FROM rows, m GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER () AS id, floor(x / .5)::bigint AS cx, floor(y / .5)::bigint AS cy FROM p),
+near AS (SELECT s.id, t.id AS other, t.w FROM (SELECT id, x, y, cx + dx AS cx, cy + dy AS cy FROM c, range(-1, 2) t1(dx), range(-1, 2) t2(dy)) s JOIN c t USING (cx, cy) WHERE (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= .25),
+core AS (SELECT id FROM near GROUP BY id HAVING sum(w) >= 5),
+k AS (SELECT coalesce(sum(w), 0)::bigint AS k FROM c WHERE id NOT IN (SELECT near.id FROM near JOIN core ON core.id = near.other)),
+n AS (SELECT count(*) AS n FROM rows)
+"""
+
+
+@query("an11_noise_count", _NOISE + "SELECT n AS total_records, k AS anomaly_count FROM n, k")
+def an11_count(spark, d):
+    rows = S.claims(spark, d).select("claim_amount", F.datediff("submission_date", "date_of_service").alias("lag_days"))
+    return MV.noise_summary(rows, ["claim_amount", "lag_days"])
 
 
 @query("an11_density_noise")

@@ -171,7 +171,7 @@ def failed(spark, d):
 @query("rh01_job_health", """
 SELECT pipeline_id, count(*) AS total_runs, count(*) FILTER (WHERE status = 'SUCCESS') AS successful_runs, count(*) FILTER (WHERE status = 'FAILED') AS failed_runs,
   round(count(*) FILTER (WHERE status = 'SUCCESS') * 100.0::double / count(*), 6) AS success_rate, sum(execution_time_seconds)::double / count(*) / 60 AS average_duration_minutes,
-  least(count(*) FILTER (WHERE status = 'FAILED'), 5) AS recent_failures, arg_max(status, (started_at, event_id)) AS last_run_status FROM runs GROUP BY 1""")
+  count(*) FILTER (WHERE status = 'FAILED') AS recent_failures, arg_max(status, (started_at, event_id)) AS last_run_status FROM runs GROUP BY 1""")
 def rh01(spark, d):
     return R.job_health(S.runs(spark, d)).withColumn("success_rate", F.round("success_rate", 6))
 

@@ -11,7 +11,7 @@ from dqflow.catalog.base import add_view, query
 from dqflow.operators import expect as E
 from dqflow.operators import marts as M
 from dqflow.plans import medallion as L
-from dqflow.sources.tables import stored_layer
+from dqflow.sources.tables import shared_layer
 
 AS_OF = S.CLAIMS_AS_OF
 MIN = S.MIN_SERVICE_DATE
@@ -21,15 +21,18 @@ def bronze(spark, d):
     return L.bronze_claims(S.raw_claims(spark, d), AS_OF)
 
 
+def stored_bronze(spark, d):
+    return shared_layer(spark, f"bronze claims {d}", lambda: bronze(spark, d))
+
+
 def silver(spark, d):
-    return L.silver_claims(bronze(spark, d), S.eligibility(spark, d), S.providers(spark, d), AS_OF, MIN)
+    return L.silver_claims(stored_bronze(spark, d), S.eligibility(spark, d), S.providers(spark, d), AS_OF, MIN)
 
 
 def gold(spark, d):
-    """Gold reads stored layers, as the layers of a medallion are tables."""
-    stored = stored_layer(bronze(spark, d), "bronze_claims")
-    clean, _ = L.silver_claims(stored, S.eligibility(spark, d), S.providers(spark, d), AS_OF, MIN)
-    return L.gold_claims(stored_layer(clean, "silver_claims"), S.members(spark, d), S.providers(spark, d), AS_OF)
+    """Layers of a medallion are tables: each is written once per application, whichever mart asks first."""
+    clean = shared_layer(spark, f"silver claims {d}", lambda: silver(spark, d)[0])
+    return L.gold_claims(clean, S.members(spark, d), S.providers(spark, d), AS_OF)
 
 
 add_view("bronze", "SELECT * FROM scored WHERE record_id IS NOT NULL")
@@ -132,7 +135,7 @@ SELECT v.* FROM (SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(mem
 LATERAL (VALUES ('valid_member_id', 'warn', a, n - a), ('valid_service_date', 'warn', b, n - b), ('valid_npi', 'warn', c, n - c), ('valid_diagnosis', 'warn', e, n - e), ('valid_procedure', 'warn', f, n - f),
  ('reasonable_amount', 'warn', g, n - g), ('member_eligibility', 'quarantine', h, n - h), ('provider_active', 'quarantine', i, n - i), ('no_duplicate_claims', 'quarantine', j, n - j)) v(expectation, action, passed_records, failed_records)""")
 def pl07(spark, d):
-    rows = L.silver_flags(bronze(spark, d), S.eligibility(spark, d), S.providers(spark, d))
+    rows = L.silver_flags(stored_bronze(spark, d), S.eligibility(spark, d), S.providers(spark, d))
     return E.expectation_metrics(rows, L.silver_claim_rules(AS_OF, MIN))
 
 

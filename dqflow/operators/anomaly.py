@@ -7,6 +7,8 @@ hash (table, field, method, detail), so repeated runs agree.
 
 from __future__ import annotations
 
+import itertools
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -267,22 +269,34 @@ def is_domain_table(table: str, fields) -> bool:
     return sum(any(i in f.lower() for i in DOMAIN_FIELDS) for f in fields) >= 3
 
 
-def detect_all(df: DataFrame, table: str, ts: str | None = None, multivariate: bool = True) -> DataFrame:
-    """All detectors that apply to the table, one row per finding."""
-    numbers = numeric_fields(df)
+#: Most fields of one density grid.
+GRID_FIELDS = 3
+
+
+def detect_all(df: DataFrame, table: str, ts: str | None = None, multivariate: bool = True, fields=None) -> DataFrame:
+    """All detectors that apply to the table, one row per finding.
+
+    ``fields`` are the numeric columns to examine, all of them by default; ``field_name`` of a finding names those used.
+    """
+    numbers = numeric_fields(df) if fields is None else list(fields)
     found = []
     if numbers:
         found += [z_score(df, table, numbers), iqr(df, table, numbers)]
     if ts and ts in df.columns:
         found.append(volume_change(df, table, ts))
-        found += [seasonal(df, table, ts, f) for f in numbers[:3]]
+        found += [seasonal(df, table, ts, f) for f in numbers]
     needed = {"procedure_code", "claim_amount", "member_id", "provider_npi", "claim_id"}
     if is_domain_table(table, df.columns) and needed <= set(df.columns):
         found += [zero_amount(df, table), high_amount(df, table), utilization(df, table)]
     if multivariate and len(numbers) >= 2:
         from dqflow.operators.multivariate import dbscan_anomalies, forest_anomalies
 
-        found += [forest_anomalies(df, table, numbers[:5]), dbscan_anomalies(df, table, numbers[:3])]
+        found.append(forest_anomalies(df, table, numbers))
+        if len(numbers) <= GRID_FIELDS:
+            found.append(dbscan_anomalies(df, table, numbers))
+        else:
+            # The grid's neighbourhood grows with the power of the fields: every pair of fields is examined instead.
+            found += [dbscan_anomalies(df, table, list(p)) for p in itertools.combinations(numbers, 2)]
     return union_all(found)
 
 

@@ -16,8 +16,10 @@ from dqflow.operators.quantiles import exact_percentiles
 from dqflow.operators.skew import join_unique
 from dqflow.sources.tables import stored_layer
 
+#: Rows drawn per tree and number of trees, both parameters: the model is the subsample by definition of the method.
 SAMPLE = 256
 TREES = 100
+#: Fewer complete rows give a status row instead of a finding.
 MIN_ROWS = 100
 
 
@@ -34,16 +36,30 @@ def complete_points(df: DataFrame, fields) -> DataFrame:
 # -- isolation forest ------------------------------------------------------
 
 def forest_sample(points: DataFrame, dims: int, trees: int = TREES, size: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """``trees * size`` vectors, picked with weight ``w`` and dealt to the trees.
+    """Vectors with the tree that draws them and how often: about ``size`` rows for each of ``trees`` trees.
 
-    The key ``-ln(u) / w`` with ``u`` from a hash of the vector is a weighted
-    draw without replacement that does not depend on partitioning.
+    Rows are drawn with replacement, so a vector with ``w`` rows is drawn ``w`` times as often as a single one.  A
+    vector expects ``trees * size * w / rows`` draws; it gets the whole part and, by a hash of the vector, one more for
+    the fraction.  Each draw is dealt to a tree by hash.  No sort and no limit: the total is the sum of
+    the expectations, whatever the number of vectors, and does not depend on partitioning.
     """
     xs = [F.col(f"x{i}") for i in range(dims)]
-    u = (F.pmod(F.xxhash64(F.lit(seed), *xs), F.lit(1 << 52)).cast("double") + 1) / float((1 << 52) + 1)
-    picked = points.withColumn("key", -F.log(u) / F.col("w")).orderBy("key", *xs).limit(trees * size)
-    deal = F.pmod(F.xxhash64(F.lit(seed + 1), *xs), F.lit(trees)).cast("int")
-    return picked.withColumn("tree", deal)
+
+    def uniform(salt):
+        return (F.pmod(F.xxhash64(F.lit(salt), *xs), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+    rows = points.agg(F.sum("w")).scalar()
+    expected = F.col("w") * F.least(F.lit(size), rows) * trees / rows
+    times = F.floor(expected) + F.when(uniform(seed) < expected - F.floor(expected), 1).otherwise(0)
+    drawn = points.withColumn("_times", times.cast("int")).where("_times > 0")
+    # A vector of many draws gives every tree its share and deals out the rest, one row per tree at most.
+    shares = drawn.withColumn("_d", F.explode(F.sequence(F.lit(0), F.least(F.col("_times"), F.lit(trees)) - 1)))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), *xs), F.lit(trees))
+    each = F.floor(F.col("_times") / trees) + F.when(F.col("_d") < F.col("_times") % trees, 1).otherwise(0)
+    dealt = F.when(F.col("_times") < trees, F.pmod(F.xxhash64(F.lit(seed + 2), "_d", *xs), F.lit(trees))).otherwise(
+        F.pmod(start + F.col("_d"), F.lit(trees)))
+    return shares.select(
+        *xs, dealt.cast("int").alias("tree"), F.when(F.col("_times") < trees, F.lit(1)).otherwise(each).cast("int").alias("n"))
 
 
 NODE = "tree int, node int, feature int, cut double, size double"
@@ -55,20 +71,21 @@ def _grow(dims: int, limit: int, seed: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed + tree)
-        data = pdf.sort_values(cols)[cols].to_numpy()
-        out, todo = [], [(1, data)]
+        pdf = pdf.sort_values([*cols, "n"])
+        out, todo = [], [(1, pdf[cols].to_numpy(), pdf["n"].to_numpy())]
         while todo:
-            node, rows = todo.pop()
+            node, rows, copies = todo.pop()
+            count = float(copies.sum())
             spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
             if node >= 2**limit or len(spread) == 0:
-                out.append((tree, node, -1, 0.0, float(len(rows))))
+                out.append((tree, node, -1, 0.0, count))
                 continue
             f = int(spread[rng.integers(len(spread))])
             lo, hi = rows[:, f].min(), rows[:, f].max()
             cut = float(rng.uniform(lo, hi))
             left = rows[:, f] <= cut
-            out.append((tree, node, f, cut, float(len(rows))))
-            todo += [(2 * node, rows[left]), (2 * node + 1, rows[~left])]
+            out.append((tree, node, f, cut, count))
+            todo += [(2 * node, rows[left], copies[left]), (2 * node + 1, rows[~left], copies[~left])]
         return pd.DataFrame(out, columns=["tree", "node", "feature", "cut", "size"])
 
     return build
@@ -99,7 +116,8 @@ def score_points(points: DataFrame, dims: int, forest: DataFrame, size=SAMPLE) -
         rows = np.zeros(2 ** (limit + 1))
         feature[nodes["node"]], cut[nodes["node"]], rows[nodes["node"]] = nodes["feature"], nodes["cut"], nodes["size"]
         tables.append((feature, cut, _mean_path(rows), float(rows[1])))
-    expected = float(np.mean([_mean_path(t[3]) for t in tables]))
+    # Trees of one row or none tell nothing: every score is then 0.5, never NULL.
+    expected = max(float(np.mean([_mean_path(t[3]) for t in tables])) if tables else 0.0, 1e-9)
 
     @F.pandas_udf("double")
     def path_score(*cols: pd.Series) -> pd.Series:
@@ -114,6 +132,8 @@ def score_points(points: DataFrame, dims: int, forest: DataFrame, size=SAMPLE) -
                 node = np.where(inner, step, node)
             depth = np.floor(np.log2(node))
             total += depth + extra[node]
+        if expected <= 1e-9:
+            return pd.Series(np.full(len(x), 0.5))
         return pd.Series(np.exp2(-(total / len(tables)) / expected))
 
     return points.withColumn("score", path_score(*[f"x{i}" for i in range(dims)]))
@@ -144,9 +164,17 @@ def forest_summary(df: DataFrame, fields, contamination=0.1, **kw) -> DataFrame:
     )
 
 
-def forest_anomalies(df: DataFrame, table: str, fields, contamination=0.1, **kw) -> DataFrame:
+def detector_status(totals: DataFrame, fields, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Which fields a detector used, on how many records, and whether they were enough."""
+    n = F.coalesce(F.col("total_records"), F.lit(0))
+    return totals.select(
+        F.lit(",".join(fields)).alias("fields"), n.cast("bigint").alias("total_records"),
+        F.when(n < min_rows, "too few rows").otherwise("examined").alias("status"))
+
+
+def forest_anomalies(df: DataFrame, table: str, fields, contamination=0.1, min_rows=MIN_ROWS, **kw) -> DataFrame:
     rows = forest_summary(df, fields, contamination, **kw).where(
-        (F.col("total_records") >= MIN_ROWS) & (F.col("anomaly_count") > 0)
+        (F.col("total_records") >= min_rows) & (F.col("anomaly_count") > 0)
     )
     pct = F.col("anomaly_count") / F.col("total_records") * 100
     return anomaly_rows(
@@ -238,9 +266,9 @@ def noise_summary(df: DataFrame, fields, eps=0.5, min_samples=5) -> DataFrame:
     )
 
 
-def dbscan_anomalies(df: DataFrame, table: str, fields, eps=0.5, min_samples=5) -> DataFrame:
+def dbscan_anomalies(df: DataFrame, table: str, fields, eps=0.5, min_samples=5, min_rows=MIN_ROWS) -> DataFrame:
     rows = noise_summary(df, fields, eps, min_samples).where(
-        (F.col("total_records") >= MIN_ROWS) & (F.col("anomaly_count") > 0)
+        (F.col("total_records") >= min_rows) & (F.col("anomaly_count") > 0)
     )
     pct = F.col("anomaly_count") / F.col("total_records") * 100
     return anomaly_rows(

@@ -117,7 +117,7 @@ def job_health(runs: DataFrame, key="pipeline_id") -> DataFrame:
         F.count_if(failed).alias("failed_runs"),
         (F.count_if(F.col("status") == "SUCCESS") / n * 100).alias("success_rate"),
         (F.sum("execution_time_seconds").cast("double") / n / 60).alias("average_duration_minutes"),
-        F.least(F.count_if(failed), F.lit(5)).alias("recent_failures"),
+        F.count_if(failed).alias("recent_failures"),
         F.max_by("status", order).alias("last_run_status"),
     )
 

@@ -1,8 +1,9 @@
 """Joins and lookups that stay even when one key holds a third of all rows.
 
-The ``HOT_LIMIT`` most frequent keys are looked up by broadcast: a fixed number
-of rows, one per key.  Any other key holds at most ``1 / HOT_LIMIT`` of all
-rows, so no task of the remaining shuffle join can receive much for one key.
+Keys with more than ``rows / (HOT_SHARE * shuffle partitions)`` rows are looked up
+by broadcast.  At most ``HOT_SHARE * shuffle partitions`` keys can be that frequent,
+so the list needs no limit, and any other key is a fraction of an average
+partition of the remaining shuffle join, at every size of the input.
 Rows of hot keys, and rows whose key is NULL, only pass through that shuffle
 under a salt that spreads them evenly; they find no partner there.
 
@@ -17,9 +18,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_LIMIT = 2000
-HOT_MIN_ROWS = 1_000_000
+HOT_SHARE = 2
 
 
 def as_list(keys) -> list[str]:
@@ -31,9 +32,11 @@ def all_not_null(keys) -> Column:
 
 
 def hottest(counted: DataFrame, rows: str, min_rows=None) -> DataFrame:
-    """The most frequent keys among those with at least ``min_rows`` rows."""
-    floor = HOT_MIN_ROWS if min_rows is None else min_rows
-    return counted.where(F.col(rows) >= floor).orderBy(F.desc(rows)).limit(HOT_LIMIT)
+    """The keys with more than their share of the rows, or with ``min_rows`` where that is given."""
+    if min_rows is not None:
+        return counted.where(F.col(rows) >= min_rows)
+    partitions = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.where(F.col(rows) > counted.agg(F.sum(rows)).scalar() / (HOT_SHARE * partitions))
 
 
 def hot_keys(df: DataFrame, keys, min_rows=None) -> DataFrame:
@@ -72,19 +75,20 @@ def join_unique(fact: DataFrame, dim: DataFrame, keys, how="left", source: DataF
     return _probe(fact, hot_dim, dim, keys, extra, how)
 
 
-def attach_stats(df: DataFrame, keys, aggs, source: DataFrame | None = None, min_rows=None) -> DataFrame:
+def attach_stats(df: DataFrame, keys, aggs, source: DataFrame | None = None, min_rows=None, group_rows: int = 1) -> DataFrame:
     """Group aggregates joined back onto every row of the group.
 
     The aggregation combines map-side, so a hot group reaches the reducer as
     one partial row per task; the hottest groups of that same aggregate are the
     ones joined back by broadcast.  ``aggs`` are aliased aggregate columns.
+    Groups of fewer than ``group_rows`` rows are not joined back: their rows get NULL.
     """
     keys = as_list(keys)
     base = df if source is None else source
     stats = base.where(all_not_null(keys)).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"))
     extra = [c for c in stats.columns if c not in keys and c != "_rows"]
     # The filter keeps the count in use so that both sides share one aggregation.
-    return _probe(df, hottest(stats, "_rows", min_rows), stats.where("_rows > 0"), keys, extra, "left")
+    return _probe(df, hottest(stats, "_rows", min_rows), stats.where(F.col("_rows") >= group_rows), keys, extra, "left")
 
 
 def flag_member(fact: DataFrame, keys_df: DataFrame, keys, name: str, **kw) -> DataFrame:
@@ -112,5 +116,8 @@ def last_per_key(df: DataFrame, keys, order: list) -> DataFrame:
 def _extreme_per_key(df, keys, order, pick):
     keys = as_list(keys)
     rest = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(pick(F.struct(*order, *rest)).alias("_best"))
-    return best.select(*keys, "_best.*").select(*df.columns)
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+    # Maps have no order; their sorted entries do.
+    packed = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in rest]
+    best = df.groupBy(*keys).agg(pick(F.struct(*order, *packed)).alias("_best")).select(*keys, "_best.*")
+    return best.select(*[F.map_from_entries(c).alias(c) if c in maps else c for c in df.columns])

@@ -109,9 +109,12 @@ def flag_earlier_within(df: DataFrame, keys, at: str, days: int, name: str, coun
 
 
 def flag_not_first(df: DataFrame, keys, order: list, name: str, **kw) -> DataFrame:
-    """True for rows that have a strictly smaller row (by ``order``) of the same key."""
+    """True for rows that have a strictly smaller row (by ``order``) of the same key.
+
+    Only groups of two rows and more are joined back, the others hold no such row.
+    """
     keys = as_list(keys)
-    out = attach_stats(df, keys, [F.min(F.struct(*order)).alias("_first")], **kw)
+    out = attach_stats(df, keys, [F.min(F.struct(*order)).alias("_first")], group_rows=2, **kw)
     return out.withColumn(name, F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_first")
 
 

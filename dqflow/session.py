@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,15 +25,31 @@ def build_session(app="dqflow", master=None, **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+_ROOTS: dict[str, str] = {}
+
+
+def _session_root(spark: SparkSession) -> str:
+    """One folder per application below the shared checkpoint folder, deleted when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            root = tempfile.mkdtemp(prefix="dqflow-")
+        path = f"{root.rstrip('/')}/dqflow-{app}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+        _ROOTS[app] = path
+    return _ROOTS[app]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir``.  Only a local master, whose
     driver and tasks share one disk, may fall back to a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="dqflow-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{_session_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

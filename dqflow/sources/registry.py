@@ -156,7 +156,10 @@ REACTIONS = ("quarantine", "fail", "ignore", "snapshot")
 
 
 def react(batch: DataFrame, target_path: str, event: dict, breaking: str = "quarantine", at=None) -> str:
-    """Where a batch went: appended, quarantined, ignored; ``fail`` raises."""
+    """Where a batch went: appended, quarantined, ignored; ``fail`` raises.
+
+    ``snapshot`` keeps a copy of the target and quarantines the batch; only ``ignore`` drops one.
+    """
     from dqflow.sources.merge import snapshot
 
     if breaking not in REACTIONS:
@@ -171,6 +174,7 @@ def react(batch: DataFrame, target_path: str, event: dict, breaking: str = "quar
         return "quarantined"
     if breaking == "snapshot":
         snapshot(batch.sparkSession.read.parquet(target_path), target_path, at)
+        batch.write.mode("append").parquet(f"{target_path}_quarantine")
         return "snapshot"
     return "ignored"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from dqflow.session import work_dir
@@ -73,3 +75,14 @@ def stored_layer(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared_layer(spark: SparkSession, name: str, build) -> DataFrame:
+    """The layer of this name, written by its first reader in an application and read by all others."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _SHARED:
+        _SHARED[key] = stored_layer(build(), re.sub(r"[^A-Za-z0-9]+", "-", name))
+    return _SHARED[key]

@@ -158,3 +158,23 @@ def test_drift_properties(spark):
     b = spark.range(1000).select((F.col("id") % 10 + 100).cast("double").alias("x"), F.lit("z").alias("c"))
     assert all(abs(r["js_divergence"]) < 1e-12 for r in D.drift(a, a, ["x"], ["c"]).collect())
     assert all(r["js_divergence"] == pytest.approx(1.0) for r in D.drift(a, b, ["x"], ["c"]).collect())
+
+
+@pytest.mark.parametrize("rows", [100_000, 300])
+def test_forest_with_few_distinct_values(spark, rows):
+    """Nearly all rows equal and ten far out: the ten are found and no score is NULL."""
+    far = F.when(F.col("id") < 10, 1000.0 + F.col("id")).otherwise(F.lit(1.0))
+    df = spark.range(rows).select(far.alias("a"), F.lit(2.0).alias("b"))
+    scored = M.isolation_scores(df, ["a", "b"]).collect()
+    assert all(r["score"] is not None for r in scored)
+    assert min(r["score"] for r in scored if r["x0"] > 1) > max(r["score"] for r in scored if r["x0"] == 1)
+    assert M.forest_summary(df, ["a", "b"]).first()["anomaly_count"] == 10
+
+
+def test_forest_on_constant_and_on_discrete_data(spark):
+    same = spark.range(500).select(F.lit(1.0).alias("a"), F.lit(2.0).alias("b"))
+    assert [round(r["score"], 6) for r in M.isolation_scores(same, ["a", "b"]).collect()] == [0.5]
+    grid = spark.range(20_000).select((F.col("id") % 20).cast("double").alias("a"), (F.floor(F.col("id") / 20) % 21).cast("double").alias("b"))
+    out = grid.unionByName(spark.range(5).select(F.lit(500.0).alias("a"), F.lit(-500.0).alias("b")))
+    top = M.isolation_scores(out, ["a", "b"]).orderBy(F.desc("score")).first()
+    assert (top["x0"], top["x1"]) == (500.0, -500.0)

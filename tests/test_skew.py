@@ -51,9 +51,19 @@ def test_hot_rows_are_spread(spark, fact):
     assert max(r["count"] for r in sizes) < 3000 / 2
 
 
-def test_hot_list_is_bounded(spark):
+def test_hot_list_is_bounded_by_the_share(spark, fact):
     many = spark.range(10000).select((F.col("id") % 5000).alias("k"))
-    assert skew.hot_keys(many, "k", min_rows=1).count() == skew.HOT_LIMIT
+    assert skew.hot_keys(many, "k").count() == 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = spark.range(10000).select((F.col("id") % 3).alias("k"))
+    assert skew.hot_keys(few, "k").count() == 3 <= skew.HOT_SHARE * partitions
+    # The share does not depend on the number of rows.
+    assert [r["k"] for r in skew.hot_keys(fact, "k").collect()] == [7]
+
+
+def test_extreme_per_key_with_maps(spark):
+    df = spark.sql("SELECT 1 AS k, 2 AS t, map('a', 1, 'b', 2) AS m UNION ALL SELECT 1, 1, map('z', 9) UNION ALL SELECT 2, 5, CAST(NULL AS map<string,int>)")
+    assert sorted((r["k"], r["t"], r["m"]) for r in skew.last_per_key(df, "k", ["t"]).collect()) == [(1, 2, {"a": 1, "b": 2}), (2, 5, None)]
 
 
 def test_first_per_key_keeps_one_of_full_copies(spark):
