@@ -48,8 +48,8 @@ def forest_sample(points: DataFrame, dims: int, trees: int = TREES, size: int =
     def uniform(salt):
         return (F.pmod(F.xxhash64(F.lit(salt), *xs), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
-    rows = points.agg(F.sum("w")).scalar()
-    expected = F.col("w") * F.least(F.lit(size), rows) * trees / rows
+    rows = points.agg(F.sum("w")).first()[0] or 1
+    expected = F.col("w") * F.lit(float(min(size, rows) * trees)) / F.lit(float(rows))
     times = F.floor(expected) + F.when(uniform(seed) < expected - F.floor(expected), 1).otherwise(0)
     drawn = points.withColumn("_times", times.cast("int")).where("_times > 0")
     # A vector of many draws gives every tree its share and deals out the rest, one row per tree at most.
@@ -145,7 +145,7 @@ def isolation_scores(df: DataFrame, fields, trees=TREES, size=SAMPLE, seed=42) -
     Splits are drawn between the sample's own extremes, so scaling a feature
     changes nothing and no standardisation pass is needed.
     """
-    points = complete_points(df, fields)
+    points = stored_layer(complete_points(df, fields), "forest-points")  # read for the total, the draw and the scores
     return score_points(points, len(fields), grow_forest(points, len(fields), trees, size, seed), size)
 
 
