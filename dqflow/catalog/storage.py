@@ -114,6 +114,15 @@ def snk01_table(spark, d):
     return merge.merge_into(path, source, "o_orderkey", ["seq"], "000003").drop("seq")
 
 
+@query("snk01_upsert_maps", """
+SELECT event_id, tenant_id, quantity, CASE WHEN event_id % 10 = 0 THEN 'corrected' ELSE event_id::varchar END AS source_event FROM usage_events""")
+def snk01_maps(spark, d):
+    """Usage events, whose metadata is a map, with every tenth delivered again."""
+    target = S.usage_events(spark, d)
+    again = target.where("event_id % 10 = 0").withColumn("metadata", F.create_map(F.lit("source_event"), F.lit("corrected"))).withColumn("seq", F.lit(1))
+    return merge.upsert(target, again, "event_id", ["seq"]).select("event_id", "tenant_id", "quantity", F.col("metadata")["source_event"].alias("source_event"))
+
+
 @query("snk01_merge_partitions", _UPSERT)
 def snk01_partitions(spark, d):
     target, source = upsert_input(spark, d)

@@ -170,26 +170,36 @@ def va14(spark, d):
     return both.groupBy(C.is_procedure("code").alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("va15_ndc", """
-SELECT coalesce(CASE WHEN regexp_matches(c, '^\\d{5}-\\d{4}-\\d{2}$') THEN '5-4-2' WHEN regexp_matches(c, '^\\d{4}-\\d{4}-\\d{2}$') THEN '4-4-2'
-  WHEN regexp_matches(c, '^\\d{5}-\\d{3}-\\d{2}$') THEN '5-3-2' WHEN regexp_matches(c, '^\\d{11}$') THEN '11-digit' END, 'invalid') AS format, count(*) AS n
-FROM (SELECT CASE l_linenumber % 5 WHEN 0 THEN lpad((l_orderkey % 100000)::varchar, 5, '0') || '-' || lpad((l_partkey % 10000)::varchar, 4, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
-  WHEN 1 THEN lpad((l_orderkey % 10000)::varchar, 4, '0') || '-' || lpad((l_partkey % 10000)::varchar, 4, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
-  WHEN 2 THEN lpad((l_orderkey % 100000)::varchar, 5, '0') || '-' || lpad((l_partkey % 1000)::varchar, 3, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
-  WHEN 3 THEN lpad((l_orderkey * 1000 + l_partkey)::varchar, 11, '0') ELSE l_orderkey::varchar END AS c FROM lineitem) GROUP BY 1""")
-def va15(spark, d):
+def ndc_text():
+    """Package codes in the three dashed layouts, as eleven digits, and a number that is none."""
     def pad(c, n):
         return F.lpad((F.col(c) % 10**n).cast("string"), n, "0")
 
     line = F.col("l_linenumber") % 5
-    ndc = (
+    return (
         F.when(line == 0, F.concat_ws("-", pad("l_orderkey", 5), pad("l_partkey", 4), pad("l_suppkey", 2)))
         .when(line == 1, F.concat_ws("-", pad("l_orderkey", 4), pad("l_partkey", 4), pad("l_suppkey", 2)))
         .when(line == 2, F.concat_ws("-", pad("l_orderkey", 5), pad("l_partkey", 3), pad("l_suppkey", 2)))
         .when(line == 3, F.lpad((F.col("l_orderkey") * 1000 + F.col("l_partkey")).cast("string"), 11, "0"))
         .otherwise(F.col("l_orderkey").cast("string"))
     )
-    li = S.table(spark, d, "lineitem").select(ndc.alias("ndc"))
+
+
+_NDC = """CASE l_linenumber % 5 WHEN 0 THEN lpad((l_orderkey % 100000)::varchar, 5, '0') || '-' || lpad((l_partkey % 10000)::varchar, 4, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
+  WHEN 1 THEN lpad((l_orderkey % 10000)::varchar, 4, '0') || '-' || lpad((l_partkey % 10000)::varchar, 4, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
+  WHEN 2 THEN lpad((l_orderkey % 100000)::varchar, 5, '0') || '-' || lpad((l_partkey % 1000)::varchar, 3, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
+  WHEN 3 THEN lpad((l_orderkey * 1000 + l_partkey)::varchar, 11, '0') ELSE l_orderkey::varchar END"""
+
+
+@query("va15_ndc", """
+SELECT coalesce(CASE WHEN regexp_matches(c, '^\\d{5}-\\d{4}-\\d{2}$') THEN '5-4-2' WHEN regexp_matches(c, '^\\d{4}-\\d{4}-\\d{2}$') THEN '4-4-2'
+  WHEN regexp_matches(c, '^\\d{5}-\\d{3}-\\d{2}$') THEN '5-3-2' WHEN regexp_matches(c, '^\\d{11}$') THEN '11-digit' END, 'invalid') AS format, count(*) AS n
+FROM (SELECT CASE l_linenumber % 5 WHEN 0 THEN lpad((l_orderkey % 100000)::varchar, 5, '0') || '-' || lpad((l_partkey % 10000)::varchar, 4, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
+  WHEN 1 THEN lpad((l_orderkey % 10000)::varchar, 4, '0') || '-' || lpad((l_partkey % 10000)::varchar, 4, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
+  WHEN 2 THEN lpad((l_orderkey % 100000)::varchar, 5, '0') || '-' || lpad((l_partkey % 1000)::varchar, 3, '0') || '-' || lpad((l_suppkey % 100)::varchar, 2, '0')
+  WHEN 3 THEN lpad((l_orderkey * 1000 + l_partkey)::varchar, 11, '0') ELSE l_orderkey::varchar END AS c FROM lineitem) GROUP BY 1""")
+def va15(spark, d):
+    li = S.table(spark, d, "lineitem").select(ndc_text().alias("ndc"))
     return li.groupBy(F.coalesce(C.ndc_format("ndc"), F.lit("invalid")).alias("format")).agg(F.count("*").alias("n"))
 
 
@@ -516,18 +526,18 @@ SELECT type, count(*) AS total, sum(v::int)::bigint AS valid, sum((NOT v)::int):
   SELECT 'npi' AS type, {_LUHN.format("('80840' || provider_npi)")} AS v FROM claims
   UNION ALL SELECT 'icd10', regexp_matches(diagnosis_code, '^[A-TV-Z][0-9][A-Z0-9]$') FROM claims
   UNION ALL SELECT 'cpt', procedure_code::int >= 100 FROM claims
-  UNION ALL SELECT 'ndc', false FROM claims) GROUP BY type""")
+  UNION ALL SELECT 'ndc', regexp_matches({_NDC}, '^([0-9]{{5}}-[0-9]{{4}}-[0-9]{{2}}|[0-9]{{5}}-[0-9]{{3}}-[0-9]{{2}}|[0-9]{{4}}-[0-9]{{4}}-[0-9]{{2}}|[0-9]{{11}})$') FROM lineitem) GROUP BY type""")
 def va39(spark, d):
     pairs = S.claims(spark, d).select(
         F.inline(
             F.array(
                 *[
                     F.struct(F.lit(kind).alias("type"), F.col(c).alias("value"))
-                    for kind, c in {"npi": "provider_npi", "icd10": "diagnosis_code", "cpt": "procedure_code", "ndc": "claim_id"}.items()
+                    for kind, c in {"npi": "provider_npi", "icd10": "diagnosis_code", "cpt": "procedure_code"}.items()
                 ]
             )
         )
-    )
+    ).unionByName(S.table(spark, d, "lineitem").select(F.lit("ndc").alias("type"), ndc_text().alias("value")))
     checked = pairs.select("type", C.validate_code("type", "value")["valid"].alias("ok"))
     return checked.groupBy("type").agg(
         F.count("*").alias("total"),

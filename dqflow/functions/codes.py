@@ -228,6 +228,11 @@ def ndc_format(c) -> Column:
     return out
 
 
+def validate_ndc(c) -> Column:
+    fmt = ndc_format(c)
+    return result(fmt.isNotNull(), F.trim(col_of(c)), "invalid NDC code", fmt)
+
+
 # -- dates, money, places --------------------------------------------------
 
 def validate_service_date(c, as_of: dt.date, minimum: dt.date = dt.date(2020, 1, 1)) -> Column:
@@ -423,7 +428,7 @@ def validate_code(kind, value) -> Column:
     """Row-wise choice of validator for mixed lists of ``(type, value)``."""
     kind = F.lower(col_of(kind))
     choice = {"npi": validate_npi, "icd10": validate_diagnosis, "cpt": validate_cpt, "hcpcs": validate_hcpcs,
-              "member_id": validate_member_id}
+              "ndc": validate_ndc, "member_id": validate_member_id}
     unknown = result(F.lit(False), F.lit(None).cast("string"), "unknown code type")
     out = unknown
     for name, build in choice.items():
