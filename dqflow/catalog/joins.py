@@ -8,7 +8,7 @@ from dqflow import shapes as S
 from dqflow.catalog.base import add_view, query
 from dqflow.operators import joins as J
 from dqflow.operators.skew import join_unique
-from dqflow.operators.timeline import lag_in_slots
+from dqflow.operators.timeline import even_slot, lag_in_slots
 from dqflow.plans import medallion as L
 
 AS_OF = S.CLAIMS_AS_OF
@@ -193,5 +193,7 @@ def wn05(spark, d):
 @query("wn01_lag_within_tenant", """
 SELECT event_id, tenant_id, lag(event_id) OVER (PARTITION BY tenant_id ORDER BY timestamp, event_id) AS previous_event FROM metrics""")
 def wn01(spark, d):
-    rows = lag_in_slots(S.metrics(spark, d), "tenant_id", "timestamp", F.date_trunc("hour", "timestamp"), ["timestamp", "event_id"], "event_id", "previous_event")
+    points = S.metrics(spark, d)
+    slot = even_slot(points, "tenant_id", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    rows = lag_in_slots(points, "tenant_id", "timestamp", slot, ["timestamp", "event_id"], "event_id", "previous_event")
     return rows.select("event_id", "tenant_id", "previous_event")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqflow.operators.skew import attach_stats
-from dqflow.operators.timeline import lag_in_slots, last_before_in_slots, sequence_in_slots
+from dqflow.operators.timeline import even_slot, lag_in_slots, last_before_in_slots, sequence_in_slots
 
 # Threshold rules on metric points.
 METRIC_RULES = (
@@ -86,9 +86,13 @@ def condition_alerts(row: DataFrame, sets=None) -> DataFrame:
     return row.select(F.inline(F.array(*cases))).where("hit").drop("hit")
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def suppress(alerts: DataFrame, keys, ts: str, order: list, minutes: int = 60) -> DataFrame:
     """Mark repeats within the window of the same alert, and quiet hours."""
-    out = lag_in_slots(alerts, keys, ts, F.date_trunc("hour", F.col(ts)), order, ts, "_previous")
+    out = lag_in_slots(alerts, keys, ts, even_slot(alerts, keys, _micros(ts)), order, ts, "_previous")
     gap = F.col(ts) - F.col("_previous")
     hour = F.hour(ts)
     return out.withColumns(
@@ -145,7 +149,7 @@ def health_status(warning: float, error: float) -> Column:
 
 def health_history(checks: DataFrame, warning: float = 1000.0, error: float = 5000.0) -> DataFrame:
     """Status per check, the status before it and the run of failures ending there."""
-    slot, order = F.date_trunc("hour", F.col("timestamp")), ["timestamp", "event_id"]
+    slot, order = even_slot(checks, "component", _micros("timestamp")), ["timestamp", "event_id"]
     rows = checks.withColumn("status", health_status(warning, error))
     rows = lag_in_slots(rows, "component", "timestamp", slot, order, "status", "previous_status")
     rows = sequence_in_slots(rows, "component", slot, order, "_seq")
@@ -177,7 +181,7 @@ def next_recovery(alerts: DataFrame, recoveries: DataFrame) -> DataFrame:
     both = a.unionByName(r).withColumn("_back", -F.unix_micros(F.col("at").cast("timestamp")))
     both = both.withColumn("_flag", F.col("recovery").cast("int"))
     out = last_before_in_slots(
-        both, "component", -F.unix_seconds(F.date_trunc("hour", F.col("at").cast("timestamp"))), ["_back", "_flag"],
+        both, "component", even_slot(both, "component", F.col("_back")), ["_back", "_flag"],
         F.when(F.col("recovery"), F.col("at")), "resolved_at",
     )
     return out.where("NOT recovery").select("alert_id", "component", F.col("at").alias("triggered_at"), "resolved_at")

@@ -118,6 +118,33 @@ def flag_not_first(df: DataFrame, keys, order: list, name: str, **kw) -> DataFra
     return out.withColumn(name, F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_first")
 
 
+#: Rows that a slot of one key should hold at most.
+SLOT_ROWS = 50_000
+HOUR_MICROS = 3_600_000_000
+
+
+def even_slot_width(df: DataFrame, keys, at_micros: Column, rows_per_slot: int = SLOT_ROWS) -> int:
+    """Width in microseconds at which no slot of a key holds many more than ``rows_per_slot`` rows.
+
+    Starts from an hour and narrows by what the fullest slot holds, so a slot's size follows the rows and not the clock.
+    Each look is one combining count per key and slot; only rows of one microsecond stay together for good.
+    """
+    keys, width = as_list(keys), HOUR_MICROS
+    rows = df.select(*keys, at_micros.alias("_t"))
+    while width > 1:
+        counts = rows.groupBy(*keys, F.floor(F.col("_t") / width).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 2 * rows_per_slot:
+            break
+        width = max(1, width // -(-most // rows_per_slot))
+    return width
+
+
+def even_slot(df: DataFrame, keys, at_micros: Column, rows_per_slot: int = SLOT_ROWS) -> Column:
+    """The slot of each row, of the width that ``even_slot_width`` finds."""
+    return F.floor(at_micros / even_slot_width(df, keys, at_micros, rows_per_slot))
+
+
 def lag_in_slots(df: DataFrame, keys, at: str, slot: Column, order: list, value: str, name: str) -> DataFrame:
     """``lag(value)`` per key in the given order, computed slot by slot.
 
@@ -164,39 +191,32 @@ def last_before_in_slots(df: DataFrame, keys, slot: Column, order: list, value:
     return out.withColumn(name, F.coalesce("_in", "_before")).drop("_slot", "_v", "_in", "_before")
 
 
-def trailing_in_slots(df: DataFrame, keys, at_micros: Column, seconds: int, name: str) -> DataFrame:
+def trailing_in_slots(df: DataFrame, keys, at_micros: Column, seconds: int, name: str, rows_per_slot: int = SLOT_ROWS) -> DataFrame:
     """Rows of the key in the ``seconds`` up to and including each row, exact.
 
-    A row is shown to its own slot and to the next one, both as wide as the
-    window, so each (key, slot) group holds all it needs and no more than two
-    window widths of data.  The count is the running count at the row minus the
-    running count at a marker one width earlier: a growing frame, which costs
-    the same however many rows a window holds.
+    The count is the key's running count at the row minus that at a marker one width earlier.  Running counts are
+    taken slot by slot, with the sum of all earlier slots added, so slots may be far narrower than the window.
     """
     keys = as_list(keys)
     width = seconds * 1_000_000
-    t = df.select("*", at_micros.alias("_t")).withColumn("_s", F.floor(F.col("_t") / width))
+    fine = even_slot_width(df, keys, at_micros, rows_per_slot)
+    t = df.select("*", at_micros.alias("_t")).withColumn("_s", F.floor(F.col("_t") / fine))
     t = t.withColumn("_rid", F.row_number().over(W.partitionBy(*keys, "_s").orderBy("_t")))
     row, nothing = F.struct(*df.columns), F.lit(None).cast(df.schema)
 
-    def part(slot, at, event, rid, payload, own):
+    def part(at, event, payload, own):
         return F.struct(
-            slot.alias("slot"), at.alias("at"), F.lit(event).alias("event"), rid.alias("rid"), payload.alias("row"), F.lit(own).alias("own")
+            F.floor(at / fine).alias("slot"), at.alias("at"), F.lit(event).alias("event"), F.col("_s").alias("home"),
+            F.col("_rid").alias("rid"), payload.alias("row"), F.lit(own).alias("own"),
         )
 
-    shown = t.select(
-        *keys,
-        F.inline(
-            F.array(
-                part(F.col("_s"), F.col("_t"), 1, F.col("_rid"), row, True),
-                part(F.col("_s") + 1, F.col("_t"), 1, F.lit(0), nothing, False),
-                part(F.col("_s"), F.col("_t") - width, 0, F.col("_rid"), nothing, False),
-            )
-        ),
-    )
+    shown = t.select(*keys, F.inline(F.array(part(F.col("_t"), 1, row, True), part(F.col("_t") - width, 0, nothing, False))))
+    before = W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    sums = shown.groupBy(*keys, "slot").agg(F.sum("event").alias("_sum"))
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     grow = W.partitionBy(*keys, "slot").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    counted = shown.withColumn("_run", F.sum("event").over(grow)).where("rid > 0")
-    pairs = counted.groupBy(*keys, "slot", "rid").agg(
+    counted = shown.withColumn("_in", F.sum("event").over(grow)).join(offsets, [*keys, "slot"]).withColumn("_run", F.col("_in") + F.col("_offset"))
+    pairs = counted.groupBy(*keys, "home", "rid").agg(
         F.any_value("row", F.lit(True)).alias("row"),
         (F.max(F.when(F.col("own"), F.col("_run"))) - F.max(F.when(~F.col("own"), F.col("_run")))).alias(name),
     )

@@ -178,3 +178,19 @@ def test_forest_on_constant_and_on_discrete_data(spark):
     out = grid.unionByName(spark.range(5).select(F.lit(500.0).alias("a"), F.lit(-500.0).alias("b")))
     top = M.isolation_scores(out, ["a", "b"]).orderBy(F.desc("score")).first()
     assert (top["x0"], top["x1"]) == (500.0, -500.0)
+
+
+def test_one_crowded_hour_is_spread_over_slots(spark):
+    """All rows in one hour of one key: narrow slots, same results as plain windows."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.pow(F.col("id"), F.lit(2.0)).cast("bigint") * 30)
+    df = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("i"), at.alias("t"))
+    micros = F.unix_micros("t")
+    slots = df.groupBy(TL.even_slot(df, "k", micros, 50)).count().collect()
+    assert max(r["count"] for r in slots) <= 100 and len(slots) > 30
+    slot = TL.even_slot(df, "k", micros, 50)
+    out = TL.lag_in_slots(TL.sequence_in_slots(df, "k", slot, ["t", "i"], "seq"), "k", "t", slot, ["t", "i"], "i", "prev")
+    assert all(r["seq"] == r["i"] + 1 and r["prev"] == (r["i"] - 1 if r["i"] else None) for r in out.collect())
+    rows = TL.trailing_in_slots(df, "k", micros, 10, "recent", rows_per_slot=50).collect()
+    times = {r["i"]: r["t"] for r in rows}
+    for i in (0, 1, 500, 2999):
+        assert next(r["recent"] for r in rows if r["i"] == i) == sum(times[i] - dt.timedelta(seconds=10) < t <= times[i] for t in times.values())
