@@ -176,6 +176,18 @@ def rh01(spark, d):
     return R.job_health(S.runs(spark, d)).withColumn("success_rate", F.round("success_rate", 6))
 
 
+@query("rh01_newest_failures", """
+SELECT pipeline_id, total_runs, failed_runs, newest_failures FROM (
+  SELECT pipeline_id, count(*) AS total_runs, count(*) FILTER (WHERE status = 'FAILED') AS failed_runs FROM runs WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY GROUP BY 1)
+LEFT JOIN (SELECT pipeline_id, string_agg(run_id, ',' ORDER BY r) AS newest_failures FROM (
+  SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY started_at DESC, event_id DESC) AS r FROM runs WHERE status = 'FAILED' AND started_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) WHERE r <= 5 GROUP BY 1) USING (pipeline_id)""")
+def rh01_newest(spark, d):
+    """Health over the last seven days with the newest five failures beside their true number."""
+    week = R.since(S.runs(spark, d), S.EVENTS_AS_OF, 7)
+    return R.job_health(week).join(R.newest_failures(week), "pipeline_id", "left").select(
+        "pipeline_id", "total_runs", "failed_runs", F.array_join("newest_failures", ",").alias("newest_failures"))
+
+
 @query("rh02_failure_type", """
 SELECT error_message, CASE WHEN regexp_matches(m, 'memory|heap space') THEN 'resource_constraint' WHEN regexp_matches(m, 'timeout|deadline exceeded') THEN 'timeout' WHEN regexp_matches(m, 'schema|column') THEN 'schema_drift'
   WHEN regexp_matches(m, 'quality|expectation') THEN 'data_quality' ELSE 'unknown' END AS type, NOT regexp_matches(m, 'schema|column|quality|expectation') AS can_retry, count(*) AS n

@@ -444,6 +444,12 @@ def rm05(spark, d):
     return R.remediation_log(S.members(spark, d), RuleSet.builtin(AS_OF), ["member_id", "email"])
 
 
+@query("rm05_remediate", f"""
+SELECT member_id, fixed_phone AS phone, CASE WHEN upper(gender) IN ('MALE', 'M') THEN 'M' WHEN upper(gender) IN ('FEMALE', 'F') THEN 'F' ELSE gender END AS gender FROM {_FIXED_PHONE}""")
+def rm05_apply(spark, d):
+    return R.remediate(S.members(spark, d), RuleSet.builtin(AS_OF), ["member_id", "email"]).select("member_id", "phone", "gender")
+
+
 @query("ud02_placeholder_rules", """
 SELECT field, count(*) FILTER (WHERE ok) AS passed_count, count(*) AS total_count FROM (
   SELECT 'o_orderstatus' AS field, o_orderstatus = 'field_value' OR length(o_orderstatus) = 1 AS ok FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority = 'field_value' OR length(o_orderpriority) = 1 FROM orders) GROUP BY 1""")

@@ -94,7 +94,9 @@ def profile(df: DataFrame, fields=None) -> DataFrame:
     top = top_values(counts).groupBy("field").agg(
         F.sort_array(F.collect_list(F.struct("position", "value", "n"))).alias("top_values")
     )
-    out = column_stats(df, fields).join(distinct, "field").join(top, "field")
+    # Left joins: a table without rows still has its columns.
+    out = column_stats(df, fields).join(distinct, "field", "left").join(top, "field", "left")
+    out = out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     out = out.withColumn(
         "uniqueness_percentage",
         F.when(F.col("total_count") > 0, F.col("distinct_count") / F.col("total_count") * 100).otherwise(F.lit(0.0)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from dqflow.operators.timeline import trailing_in_slots
 
@@ -107,7 +108,22 @@ def backoff(retries: Column) -> Column:
     return F.when(retries < 3, F.least(F.lit(300.0), F.lit(60.0) * F.pow(F.lit(2.0), retries)))
 
 
+def since(runs: DataFrame, as_of, days: int) -> DataFrame:
+    return runs.where(F.col("started_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days)))
+
+
+def newest_failures(runs: DataFrame, key="pipeline_id", k: int = 5) -> DataFrame:
+    """The newest ``k`` failed runs per key; ``job_health`` has their true number.
+
+    The rank filter keeps ``k`` rows per key and task before the shuffle.
+    """
+    newest = W.partitionBy(key).orderBy(F.desc("started_at"), F.desc("event_id"))
+    ranked = runs.where("status = 'FAILED'").withColumn("position", F.row_number().over(newest)).where(F.col("position") <= k)
+    return ranked.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "run_id"))), lambda r: r["run_id"]).alias("newest_failures"))
+
+
 def job_health(runs: DataFrame, key="pipeline_id") -> DataFrame:
+    """Totals per key; pass runs through ``since`` for the last days only."""
     n = F.count(F.lit(1))
     failed = F.col("status") == "FAILED"
     order = F.struct("started_at", "event_id")

@@ -168,3 +168,21 @@ def test_retry_policy(spark):
     df = spark.createDataFrame([(m,) for m in texts], "m string")
     got = {r["m"]: r["c"] for r in df.select("m", R.failure_category(F.col("m")).alias("c")).collect()}
     assert got == texts
+
+
+def test_profile_of_an_empty_table(spark):
+    from dqflow.operators.profile import profile
+
+    rows = profile(spark.createDataFrame([], "a int, b string")).collect()
+    assert sorted(r["field"] for r in rows) == ["a", "b"] and all(r["distinct_count"] == 0 for r in rows)
+
+
+def test_snapshot_quarantines_the_batch(spark, tmp_path):
+    import datetime as dt
+
+    from dqflow.sources import registry
+
+    path = f"{tmp_path}/t"
+    spark.range(2).write.parquet(path)
+    registry.react(spark.range(3), path, {"compatibility": "breaking", "status": "x"}, "snapshot", dt.datetime(2024, 1, 1))
+    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(f"{path}_quarantine").count() == 3
