@@ -24,6 +24,8 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-7
 STEP = 46
 BLOCK = 256
+#: Buckets with more rows than this verify their pairs inside the task.
+SMALL_BUCKET = 16
 SLICE = 8192
 
 _rng = np.random.default_rng(20240229)
@@ -182,33 +184,65 @@ def in_units(rows: DataFrame, key: str) -> DataFrame:
         .otherwise(F.concat_ws(":", F.col(key).cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))))
 
 
-def prune_across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components that are left after comparing their values step by step.
+def links_across(rows: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough of them to join all that belong together.
 
-    ``rows`` has key, node, label.  Pairs are formed and pruned inside the task; only those left come out.
+    ``rows`` has key, node, label.  Pairs are formed and pruned step by step inside the task.  Buckets of up to
+    ``SMALL_BUCKET`` rows hand over the pairs left, to be verified afterwards.  Rows of larger ones bring their
+    shingles, so pairs are verified at once and only links that join two components come out: fewer
+    than rows, however many pairs there are.
     """
     need = least_matches()
-    dealt = in_units(rows.join(sigs.select("node", "sig"), "node"), "key").select("unit", "key", "node", "label", "sig")
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > SMALL_BUCKET).select("key")
+    few = rows.join(crowded, "key", "left_anti").select("key", "node", "label", F.lit(None).cast("array<bigint>").alias("shingles"))
+    many = rows.join(crowded, "key", "left_semi").join(sets, "node").select("key", "node", "label", "shingles")
+    dealt = in_units(few.unionByName(many).join(sigs.select("node", "sig"), "node"), "key").select(
+        "unit", "key", "node", "label", "sig", "shingles")
 
     def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
         key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        order, a, b = np.argsort(key, kind="stable"), [], []
+        lists = t.column("shingles").chunk(0)
+        ends, valid = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+        codes = np.unique(lists.values.to_numpy(), return_inverse=True)[1] if len(lists.values) else np.empty(0, np.int64)
+        marked, size = np.zeros(len(codes) + 1, bool), np.diff(ends)
+        order, a, b, sure = np.argsort(key, kind="stable"), [], [], []
         for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            group = label[own].copy()
             for i, r in enumerate(own):
-                alive = own[i + 1:]
-                alive, matches = alive[label[alive] != label[r]], 0
+                alive = np.arange(i + 1, len(own))
+                alive, matches = alive[group[alive] != group[i]], 0
                 for at in range(0, HASHES, STEP):
                     if not len(alive):
                         break
-                    matches = matches + (sig[alive, at:at + STEP] == sig[r, at:at + STEP]).sum(axis=1, dtype=np.int32)
+                    matches = matches + (sig[own[alive], at:at + STEP] == sig[r, at:at + STEP]).sum(axis=1, dtype=np.int32)
                     keep = matches >= need[min(at + STEP, HASHES)]
                     alive, matches = alive[keep], matches[keep]
-                a += [np.minimum(node[alive], node[r])]
-                b += [np.maximum(node[alive], node[r])]
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint").distinct()
+                if not len(alive):
+                    continue
+                if not valid[r]:
+                    links = own[alive]
+                else:
+                    mine = codes[ends[r]:ends[r + 1]]
+                    marked[mine] = True
+                    both = np.array([np.count_nonzero(marked[codes[ends[x]:ends[x + 1]]]) for x in own[alive]])
+                    marked[mine] = False
+                    near = alive[THRESHOLD_DEN * both >= THRESHOLD_NUM * (size[r] + size[own[alive]] - both)]
+                    links = []
+                    for x in near:
+                        if group[x] != group[i]:
+                            links.append(own[x])
+                            group[group == group[x]] = group[i]
+                    links = np.array(links, np.intp)
+                a.append(np.minimum(node[links], node[r]))
+                b.append(np.maximum(node[links], node[r]))
+                sure.append(np.full(len(links), bool(valid[r])))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty), "sure": np.concatenate(sure or [np.empty(0, bool)])})
+
+    found = saved(dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint, sure boolean").distinct(), "across")
+    return found.where("sure").select("a", "b").unionByName(verify(found.where("NOT sure").select("a", "b"), sets))
 
 
 def count_links(members: DataFrame) -> DataFrame:
@@ -260,8 +294,8 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=T
     one shingle, texts without words (null, empty) are classes of their own without links.  Texts with
     one shingle set are one node, so copies meet as one row.  Nodes sharing a band meet the smallest node of the
     bucket; pairs are pruned by posterior, then verified exactly.  Buckets whose nodes are then in
-    one component need no further pair; in the others all pairs across components are compared as well, so
-    classes are the components of all links.  ``n_links`` counts the other rows at a similarity of 0.8 or more,
+    one component need no further pair; in the others all pairs across components are compared as well, up
+    to the links that join them, so classes are the components of all links.  ``n_links`` counts the other rows at a similarity of 0.8 or more,
     copies included.  Null ids are ignored in class_id; repeated rows count as copies.  Empty tables give no rows.
     """
     signed = saved(signatures(docs, id_col, text_col), "signatures")
@@ -281,7 +315,7 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=T
 
     named = mates.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    more = saved(verify(prune_across(named.join(mixed, "key"), nodes), sets), "links")
+    more = saved(links_across(named.join(mixed, "key"), nodes, sets), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "components2")
 

@@ -63,8 +63,9 @@ def test_classes_and_links_against_all_pairs(make_docs, monkeypatch):
     for _ in range(n):
         label = [min([label[i], *[label[j] for j in linked[i]]]) for i in range(n)]
     want = {i: (label[i], len(linked[i])) for i in range(n)}
-    for block in (256, 8):
+    for block, small in ((256, 16), (8, 2)):
         monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "SMALL_BUCKET", small)
         got = {r["_id"]: (r["class_id"], r["n_links"]) for r in near.near_classes(make_docs(texts).withColumn("NODE", F.lit(1))).collect()}
         assert got == want
     kept = near.keep_one(make_docs(texts).union(make_docs(texts[:2])))
