@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,55 +18,57 @@ START, STOP = rf"(?<![{WORD_CHARS}])", rf"(?![{WORD_CHARS}])"
 #: Phrases and labels of the query's contract.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: (label, SPDX identifier, keywords that must all occur, name pattern; a blank stands for any separators).
+#: (label, SPDX identifier, keywords, name pattern; a blank stands for any separators).  Keywords are single words
+#: or parts of them (or choices of these), each within every match of the pattern: any separators may stand between
+#: two words.
 NAMES = (
-    ("gpl-1.0", "GPL-1.0", ("general public",), r"(?:gnu )?general public licen[cs]e (?:version |v )?1(?: 0)?"),
-    ("gpl-2.0", "GPL-2.0", ("general public",), r"(?:gnu )?general public licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("gpl-3.0", "GPL-3.0", ("general public",), r"(?:gnu )?general public licen[cs]e (?:version |v )?3(?: 0)?"),
+    ("gpl-1.0", "GPL-1.0", ("general", "public"), r"(?:gnu )?general public licen[cs]e (?:version |v )?1(?: 0)?"),
+    ("gpl-2.0", "GPL-2.0", ("general", "public"), r"(?:gnu )?general public licen[cs]e (?:version |v )?2(?: 0)?"),
+    ("gpl-3.0", "GPL-3.0", ("general", "public"), r"(?:gnu )?general public licen[cs]e (?:version |v )?3(?: 0)?"),
     ("gpl-2.0", "GPL-2.0-only", ("gplv2",), r"gplv2"),
     ("gpl-3.0", "GPL-3.0-only", ("gplv3",), r"gplv3"),
-    ("lgpl-2.1", "LGPL-2.1", ("lesser general",), r"(?:gnu )?lesser general public licen[cs]e (?:version |v )?2 1"),
-    ("lgpl-3.0", "LGPL-3.0", ("lesser general",), r"(?:gnu )?lesser general public licen[cs]e (?:version |v )?3(?: 0)?"),
-    ("lgpl-2.0", "LGPL-2.0", ("library general",), r"(?:gnu )?library general public licen[cs]e"),
+    ("lgpl-2.1", "LGPL-2.1", ("lesser", "general"), r"(?:gnu )?lesser general public licen[cs]e (?:version |v )?2 1"),
+    ("lgpl-3.0", "LGPL-3.0", ("lesser", "general"), r"(?:gnu )?lesser general public licen[cs]e (?:version |v )?3(?: 0)?"),
+    ("lgpl-2.0", "LGPL-2.0", ("library", "general"), r"(?:gnu )?library general public licen[cs]e"),
     ("agpl-3.0", "AGPL-3.0", ("affero",), r"(?:gnu )?affero general public licen[cs]e"),
-    ("gfdl-1.3", "GFDL-1.3", ("free documentation",), r"(?:gnu )?free documentation licen[cs]e"),
+    ("gfdl-1.3", "GFDL-1.3", ("free", "documentation"), r"(?:gnu )?free documentation licen[cs]e"),
     ("apache-1.1", "Apache-1.1", ("apache", "licen"), r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
     ("apache-2.0", "Apache-2.0", ("apache", "licen"), r"apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)?"),
     ("mit", "MIT", ("mit", "licen"), r"(?:the )?mit licen[cs]e"),
     ("mit-0", "MIT-0", ("mit", "attribution"), r"mit no attribution"),
     ("x11", "X11", ("x11",), r"x11 licen[cs]e"),
     ("isc", "ISC", ("isc", "licen"), r"isc licen[cs]e"),
-    ("bsd-2-clause", "BSD-2-Clause", ("bsd", "clause"), r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
-    ("bsd-3-clause", "BSD-3-Clause", ("bsd", "clause"), r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
-    ("bsd-4-clause", "BSD-4-Clause", ("bsd", "clause"), r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "BSD-2-Clause", ("bsd",), r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("bsd-3-clause", "BSD-3-Clause", ("bsd",), r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
+    ("bsd-4-clause", "BSD-4-Clause", ("bsd",), r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
     ("0bsd", "0BSD", ("zero", "bsd"), r"zero clause bsd(?: licen[cs]e)?"),
     ("cc0-1.0", "CC0-1.0", ("cc0",), r"(?:creative commons )?cc0(?: 1 0)?"),
-    ("cc-by-2.0", "CC-BY-2.0", ("by 2.0",), r"(?:creative commons |cc )by 2 0"),
-    ("cc-by-3.0", "CC-BY-3.0", ("by 3.0",), r"(?:creative commons |cc )by 3 0"),
-    ("cc-by-4.0", "CC-BY-4.0", ("by 4.0",), r"(?:creative commons |cc )by 4 0"),
-    ("cc-by-sa-3.0", "CC-BY-SA-3.0", ("by-sa 3",), r"(?:creative commons |cc )by sa 3 0"),
-    ("cc-by-sa-4.0", "CC-BY-SA-4.0", ("by-sa 4",), r"(?:creative commons |cc )by sa 4 0"),
-    ("cc-by-nc-3.0", "CC-BY-NC-3.0", ("by-nc 3",), r"(?:creative commons |cc )by nc 3 0"),
-    ("cc-by-nc-4.0", "CC-BY-NC-4.0", ("by-nc 4",), r"(?:creative commons |cc )by nc 4 0"),
-    ("cc-by-nd-4.0", "CC-BY-ND-4.0", ("by-nd 4",), r"(?:creative commons |cc )by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "CC-BY-NC-SA-4.0", ("by-nc-sa",), r"(?:creative commons |cc )by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "CC-BY-NC-ND-4.0", ("by-nc-nd",), r"(?:creative commons |cc )by nc nd 4 0"),
-    ("cc-by", "CC-BY", ("attribution", "creative commons"), r"creative commons attribution(?: licen[cs]e)?"),
+    ("cc-by-2.0", "CC-BY-2.0", ("cc|commons", "by", "2"), r"(?:creative commons |cc )by 2 0"),
+    ("cc-by-3.0", "CC-BY-3.0", ("cc|commons", "by", "3"), r"(?:creative commons |cc )by 3 0"),
+    ("cc-by-4.0", "CC-BY-4.0", ("cc|commons", "by", "4"), r"(?:creative commons |cc )by 4 0"),
+    ("cc-by-sa-3.0", "CC-BY-SA-3.0", ("cc|commons", "by", "sa", "3"), r"(?:creative commons |cc )by sa 3 0"),
+    ("cc-by-sa-4.0", "CC-BY-SA-4.0", ("cc|commons", "by", "sa", "4"), r"(?:creative commons |cc )by sa 4 0"),
+    ("cc-by-nc-3.0", "CC-BY-NC-3.0", ("cc|commons", "by", "nc", "3"), r"(?:creative commons |cc )by nc 3 0"),
+    ("cc-by-nc-4.0", "CC-BY-NC-4.0", ("cc|commons", "by", "nc", "4"), r"(?:creative commons |cc )by nc 4 0"),
+    ("cc-by-nd-4.0", "CC-BY-ND-4.0", ("cc|commons", "by", "nd", "4"), r"(?:creative commons |cc )by nd 4 0"),
+    ("cc-by-nc-sa-4.0", "CC-BY-NC-SA-4.0", ("cc|commons", "by", "nc", "sa"), r"(?:creative commons |cc )by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "CC-BY-NC-ND-4.0", ("cc|commons", "by", "nc", "nd"), r"(?:creative commons |cc )by nc nd 4 0"),
+    ("cc-by", "CC-BY", ("attribution", "creative", "commons"), r"creative commons attribution(?: licen[cs]e)?"),
     ("mpl-1.1", "MPL-1.1", ("mozilla", "public"), r"mozilla public licen[cs]e (?:version |v )?1 1"),
     ("mpl-2.0", "MPL-2.0", ("mozilla", "public"), r"mozilla public licen[cs]e (?:version |v )?2(?: 0)?"),
     ("epl-1.0", "EPL-1.0", ("eclipse", "public"), r"eclipse public licen[cs]e (?:version |v )?1(?: 0)?"),
     ("epl-2.0", "EPL-2.0", ("eclipse", "public"), r"eclipse public licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("eupl-1.2", "EUPL-1.2", ("european union",), r"european union public licen[cs]e"),
-    ("cddl-1.0", "CDDL-1.0", ("common development",), r"common development and distribution licen[cs]e"),
+    ("eupl-1.2", "EUPL-1.2", ("european", "union"), r"european union public licen[cs]e"),
+    ("cddl-1.0", "CDDL-1.0", ("common", "development"), r"common development and distribution licen[cs]e"),
     ("bsl-1.0", "BSL-1.0", ("boost", "licen"), r"boost software licen[cs]e"),
     ("zlib", "Zlib", ("zlib", "licen"), r"zlib licen[cs]e"),
     ("unlicense", "Unlicense", ("unlicense",), r"(?:the )?unlicense"),
     ("wtfpl", "WTFPL", ("wtfpl",), r"wtfpl"),
     ("artistic-2.0", "Artistic-2.0", ("artistic", "licen"), r"artistic licen[cs]e(?: 2 0)?"),
-    ("psf-2.0", "PSF-2.0", ("python software",), r"python software foundation licen[cs]e"),
-    ("ofl-1.1", "OFL-1.1", ("open font",), r"(?:sil )?open font licen[cs]e"),
-    ("odbl-1.0", "ODbL-1.0", ("open database",), r"open database licen[cs]e"),
-    ("public-domain", "Public-Domain", ("public domain",), r"(?:in |into |to )?(?:the )?public domain"),
+    ("psf-2.0", "PSF-2.0", ("python", "software"), r"python software foundation licen[cs]e"),
+    ("ofl-1.1", "OFL-1.1", ("open", "font"), r"(?:sil )?open font licen[cs]e"),
+    ("odbl-1.0", "ODbL-1.0", ("open", "database"), r"open database licen[cs]e"),
+    ("public-domain", "Public-Domain", ("public", "domain"), r"(?:in |into |to )?(?:the )?public domain"),
 )
 
 #: (priority, words before the name, words after it): every name becomes one rule per line, tags first.
@@ -98,7 +102,8 @@ def _detections(text: Column, rules: list[dict]) -> Column:
     kind = "array<struct<rank:int,priority:int,label:string,words:array<string>,regex:string>>"
     table = F.from_json(F.lit(json.dumps(rules)), kind)
     words = sorted({w for r in rules for w in r["words"]})
-    present = let(F.lower(text), lambda t: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))
+    present = let(F.lower(text), lambda t: F.array_compact(F.array(*[
+        F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in w.split("|")]), F.lit(w)) for w in words])))
 
     def of(r):
         return F.transform(spans(text, r["regex"]), lambda s: F.struct(

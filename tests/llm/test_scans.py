@@ -106,3 +106,21 @@ def test_url_model_on_held_out_labels(spark):
     judged = filter_urls(test.withColumn("url", F.concat(F.lit("x://"), "host", "path")), train, rules=())
     right = judged.where((F.col("verdict") == "block") == (F.col("blocked") == 1)).count()
     assert right >= 0.9 * test.count()
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\n", "-", " -\r\n", "\t"])
+def test_license_keywords_drop_no_detection(make_docs, gap):
+    """Rules tried on every text find what those behind keywords find, whatever stands between the words."""
+    names = [
+        "CC BY 4 0", "CC BY SA 4 0", "creative commons by nc 3 0", "cc by nc sa 4 0", "cc by nc nd 4 0", "cc by nd 4 0", "cc by 2 0",
+        "General Public License version 2", "GNU Lesser General Public License version 2 1", "GNU Library General Public License",
+        "in the public domain", "Creative Commons Attribution", "simplified BSD license", "new bsd", "original BSD", "zero clause bsd",
+        "free documentation license", "European Union Public Licence", "common development and distribution license",
+        "Python Software Foundation License", "open font license", "Open Database License", "Mozilla Public License version 1 1",
+        "SPDX License Identifier MPL 2 0", "licensed under the terms of the Eclipse Public License 2 0", "MIT no attribution"]
+    docs = make_docs(["x " + n.replace(" ", gap) + " y" for n in names])
+    every = [{**r, "words": [""]} for r in signature_rules()]
+    found = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
+    want = {r["doc_id"]: r for r in scan_licenses(docs, rules=every).collect()}
+    assert all(want[i]["detections"] for i in want)
+    assert found == want
