@@ -181,14 +181,33 @@ def robust_models(vectors: DataFrame, keys: list[str], share=0.75, steps=3, infl
     return model
 
 
+def _scopes(vectors: DataFrame, min_rows: int) -> DataFrame:
+    """_judge, the model that judges a (language, source), and _feeds, the models that its rows are part of.
+
+    A wider model, with ``*`` for the source or for both, has all rows of its language or table and is only
+    fitted where a key or language of fewer than ``min_rows`` rows needs it.
+    """
+    sized = vectors.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
+    langs = sized.groupBy("_lang").agg(F.sum("_n").alias("_of_lang"), F.min("_n").alias("_least"))
+    tables = langs.agg(F.min("_of_lang").alias("_least_lang"))
+    scope = lambda lang, source: F.struct(lang.alias("_lang"), source.alias("_source"))
+    own, lang, every = scope(F.col("_lang"), F.col("_source")), scope(F.col("_lang"), F.lit("*")), scope(F.lit("*"), F.lit("*"))
+    alone, by_lang = F.col("_n") >= min_rows, F.col("_of_lang") >= min_rows
+    return sized.join(langs, "_lang").crossJoin(tables).select(
+        "_lang", "_source", F.when(alone, own).when(by_lang, lang).otherwise(every).alias("_judge"),
+        F.array_compact(F.array(
+            F.when(alone, own), F.when(by_lang & (F.col("_least") < min_rows), lang),
+            F.when(F.col("_least_lang") < min_rows, every))).alias("_feeds"))
+
+
 def quality_rules(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", cutoff=100.0, min_rows=30,
                   share=0.75, steps=3) -> DataFrame:
     """``docs`` with the counts, base_failed, d2 and kept.
 
     A row is kept unless the base rules fail or its squared distance from the robust model of its (language,
     source) exceeds ``cutoff``.  Models are fitted on all rows that have a word; keys of fewer than ``min_rows``
-    such rows give no verdict (d2 is null, the base rules decide).  Null languages and sources are keys of
-    their own.  Null and empty texts have no words and fail the base rules.  Repeated rows count as often as
+    such rows are judged by the model of all rows of their language, languages of fewer by that of all rows, so
+    that every row with a word has a distance.  Null languages and sources are keys of their own.  Null and empty texts have no words and fail the base rules.  Repeated rows count as often as
     they occur.  An empty table gives no rows.  Columns named like the results are replaced.
     """
     keys = ["_lang", "_source"]
@@ -198,8 +217,9 @@ def quality_rules(docs: DataFrame, text_col="text", lang_col="lang", source_col=
                                        for k, c in zip(keys, (lang_col, source_col))}})
     counted = statistics(without(base, *own), "_text")
     vectors = saved(counted.where("n_words > 0").select(*keys, *FEATURES), "vectors")
-    sized = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    model = saved(robust_models(vectors, keys, share, steps).join(sized.where(F.col("_n") >= min_rows).select(*keys), keys, "left_semi"), "mcd")
-    judged = _distance(counted, model, keys)
+    scopes = saved(_scopes(vectors, min_rows), "scopes")
+    model = robust_models(vectors.join(scopes, keys).select(F.inline("_feeds"), *FEATURES), keys, share, steps)
+    placed = counted.join(scopes.select(*keys, "_judge"), keys, "left").withColumns({k: F.col("_judge")[k] for k in keys}).drop("_judge")
+    judged = _distance(placed, model, keys)
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).drop(
         *keys, "_text", *FEATURES)

@@ -124,3 +124,17 @@ def test_license_keywords_drop_no_detection(make_docs, gap):
     want = {r["doc_id"]: r for r in scan_licenses(docs, rules=every).collect()}
     assert all(want[i]["detections"] for i in want)
     assert found == want
+
+
+def test_quality_judges_small_groups(make_docs):
+    """Outliers of a rare source and of a rare language are rejected by the wider model, with the default parameters."""
+    def plain(i):
+        return " ".join(f"plain word{j} of{i}" for j in range(30 + i % 9))
+
+    junk = " ".join(f"#$%{j} !!{{}}[] XQZ{j}&|<>" for j in range(60))
+    docs = make_docs([plain(i) for i in range(60)]).unionByName(make_docs([junk, plain(61)], source="rare")).unionByName(
+        make_docs([junk, plain(62)], source="rare", lang="xx"))
+    rows = quality_rules(docs).collect()
+    assert all(r["d2"] is not None for r in rows if r["n_words"])
+    assert [r["kept"] for r in rows if r["text"] == junk] == [False, False]
+    assert all(r["kept"] for r in rows if r["text"] != junk)
