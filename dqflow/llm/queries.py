@@ -167,3 +167,90 @@ def op1(spark, sf_dir):
 
     return drop_repeats(table(spark, sf_dir, "documents")).select(
         F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def cluster_sql(k=8, rounds=10) -> str:
+    """Every round as one pair of views: the nearest centroid of each vector, then the moved centroids."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, v AS m FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT vec_id, v.v, c, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.v, m)]) AS BIGINT) AS d FROM v, c{r})
+  GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list(s ORDER BY i) AS m FROM (
+      SELECT c, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS s FROM a{r}, range(1, 65) AS t(i) GROUP BY c, i)
+    GROUP BY c) AS n ON n.c = c{r}.c)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c ON a.c = c.c"""
+
+
+@query("op11_centroid_clusters", cluster_sql())
+def op11(spark, sf_dir):
+    from dqflow.llm.bitplanes import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("_id", "vec_id")
+
+
+COPIES_SQL = r"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW g AS (PARTITION BY t)
+"""
+
+
+@query("op12_exact_duplicates", COPIES_SQL)
+def op12(spark, sf_dir):
+    from dqflow.llm.exact import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+def codes_sql(entries=256, rounds=4, width=16) -> str:
+    """Parts as rows; every round as the nearest entry of each part, then the moved entries."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+q AS MATERIALIZED (
+  SELECT vec_id, p, v[p * {width} + 1:p * {width} + {width}] AS v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i
+  FROM v, range(0, 4) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, i AS e, v AS m FROM q WHERE i < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(v) AS v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT vec_id, q.p, v, e, CAST({" + ".join(f"(v[{i}] - m[{i}]) * (v[{i}] - m[{i}])" for i in range(1, width + 1))} AS BIGINT) AS d
+    FROM q JOIN b{r} AS b ON q.p = b.p)
+  GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.m, b.m) AS m FROM b{r} AS b LEFT JOIN (
+    SELECT p, e, [{", ".join(f"CAST(floor(CAST(sum(v[{i}]) AS DOUBLE) / count(*)) AS BIGINT)" for i in range(1, width + 1))}] AS m
+    FROM a{r} GROUP BY p, e) AS n ON n.p = b.p AND n.e = b.e)""")
+    return "WITH " + ",".join(steps) + f""",
+x AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT x.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM x JOIN v ON v.vec_id = x.vec_id"""
+
+
+@query("op13_vector_codes", codes_sql())
+def op13(spark, sf_dir):
+    from dqflow.llm.covertree import compress_vectors
+
+    return compress_vectors(table(spark, sf_dir, "embeddings")).drop("_label").withColumnRenamed("_id", "vec_id")
