@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
 from pyspark import cloudpickle
@@ -40,6 +41,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names in any letter case: an operator's own columns replace them."""
     taken = {n.lower() for n in names}
