@@ -15,17 +15,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqflow.sources.tables import stored_layer
+
 FIELDS = "path string, type string, nullable boolean"
 CHANGES = ("field_added", "field_removed", "data_type_changed", "nullability_changed")
 
 
 def flatten(schema: T.StructType, prefix: str = "") -> list[tuple]:
+    """(path, type, nullable) of every field at any depth: ``a.b`` in structs, ``a[]`` in arrays, ``a{}`` in maps' values."""
     out = []
     for f in schema.fields:
         path, kind = prefix + f.name, f.dataType
         out.append((path, "struct" if isinstance(kind, T.StructType) else kind.simpleString(), f.nullable))
-        while isinstance(kind, T.ArrayType):
-            kind, path = kind.elementType, path + "[]"
+        while isinstance(kind, (T.ArrayType, T.MapType)):
+            kind, path = (kind.elementType, path + "[]") if isinstance(kind, T.ArrayType) else (kind.valueType, path + "{}")
         if isinstance(kind, T.StructType):
             out += flatten(kind, path + ".")
     return out
@@ -60,6 +63,50 @@ def observed_schema(docs: DataFrame, text: str, by=()) -> DataFrame:
     return joined.select(*by, "path", kind.alias("type"), (n < F.col("_docs")).alias("nullable"))
 
 
+def observed_fields(docs: DataFrame, text: str, by=(), maps=(), depth: int = 32) -> DataFrame:
+    """Fields at every depth of JSON documents: path, type, nullable.
+
+    Objects give ``a.b``, arrays ``a[]`` and objects named in ``maps`` (paths whose keys are data) ``a{}``.  Types are
+    those of the JSON values (a quoted number is a string); whole and fractional numbers together are double, other
+    mixtures string.  A field is nullable when it is null in, or missing from, any object that could hold it.
+
+    One pass per level of nesting: a level's objects and arrays are unfolded once, and what travels is one row per
+    path and type, whatever the number of documents.  Texts that are no JSON have no fields.
+    """
+    by = list(by)
+    found = []
+    level = docs.select(*by, F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
+    for _ in range(depth + 1):
+        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        level = stored_layer(level.withColumn("kind", kind).select(*by, "path", "kind", F.to_json("v").alias("j")), "fields")
+        counts = stored_layer(level.groupBy(*by, "path", "kind").agg(F.count(F.lit(1)).alias("n")), "kinds")
+        found.append(counts)
+        nested = level.where(F.col("kind").isin("OBJECT", "ARRAY"))
+        if len(found) > depth or counts.where(F.col("kind").isin("OBJECT", "ARRAY")).isEmpty():
+            break
+        inner = nested.lateralJoin(docs.sparkSession.tvf.variant_explode(F.parse_json(F.col("j").outer())))
+        key = F.when(F.col("kind") == "ARRAY", F.concat("path", F.lit("[]"))).when(
+            F.col("path").isin(*maps) if maps else F.lit(False), F.concat("path", F.lit("{}"))).when(
+            F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        level = inner.select(*by, key.alias("path"), F.col("value").alias("v"))
+    kinds = reduce(DataFrame.unionByName, found)
+    of = {"BIGINT": "bigint", "DECIMAL": "double", "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "BOOLEAN": "boolean",
+          "OBJECT": "struct", "ARRAY": "array", "VOID": "void"}
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("kind")], F.lit("string"))
+    rows = kinds.withColumn("type", named).groupBy(*by, "path").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("type") == "void", F.col("n")).otherwise(0)).alias("nulls"),
+        F.array_sort(F.collect_set(F.when(F.col("type") != "void", F.col("type")))).alias("types"))
+    type_ = F.when(F.size("types") == 0, "void").when(F.size("types") == 1, F.col("types")[0]).when(
+        F.col("types") == F.array(F.lit("bigint"), F.lit("double")), "double").otherwise("string")
+    # The objects that could hold a field: those of the path before its last name.
+    parent = F.regexp_replace("path", r"(^|\.)[^.]*$", "")
+    holders = kinds.where("kind = 'OBJECT'").select(*by, F.col("path").alias("_in"), F.col("n").alias("_objects"))
+    out = rows.where("path <> ''").withColumn("_in", parent).join(holders, [*by, "_in"], "left")
+    unfolded = F.col("path").endswith("[]") | F.col("path").endswith("{}")
+    missing = ~unfolded & (F.col("n") < F.coalesce("_objects", F.lit(0)))
+    return out.select(*by, "path", type_.alias("type"), (missing | (F.col("nulls") > 0)).alias("nullable"))
+
+
 def diff(old: DataFrame, new: DataFrame, by=()) -> DataFrame:
     """Changes from ``old`` to ``new``; a type change hides a nullability change."""
     keys = [*by, "path"]
