@@ -45,6 +45,11 @@ def _millis(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64") // 1000
 
 
+def _split_at_pauses(rows: pd.DataFrame, ts: str, longest: int) -> list[pd.DataFrame]:
+    group = (_millis(rows[ts]).diff() > longest).cumsum()
+    return [part for _, part in rows.groupby(group.to_numpy(), sort=True)]
+
+
 def in_event_order(stream: DataFrame, keys, ts: str, order: list, delay: str, fold: Callable, output: str, keep_ms: int) -> DataFrame:
     """``fold(key, memory, rows)`` per key over its rows in order of ``order``, each exactly once.
 
@@ -63,9 +68,11 @@ def in_event_order(stream: DataFrame, keys, ts: str, order: list, delay: str, fo
             rows = rows[rows[ts].notna()]
             due = _millis(rows[ts]) < mark
             ready, rows = rows[due].sort_values(order, kind="stable"), rows[~due]
-            if len(ready):
-                memory, out = fold(key, memory, ready)
-                memory["until"] = int(_millis(ready[ts]).max()) + keep_ms
+            # A pause longer than the memory lasts splits the rows, whether or not a timer has come between them.
+            for part in _split_at_pauses(ready, ts, keep_ms) if len(ready) else []:
+                first, last = (int(_millis(part[ts]).iloc[i]) for i in (0, -1))
+                memory, out = fold(key, memory if memory.get("until", first) >= first else {}, part)
+                memory["until"] = last + keep_ms
                 yield out
         if len(rows):
             state.update((_packed(rows), json.dumps(memory)))
