@@ -42,19 +42,38 @@ def stored_schema(spark: SparkSession, path: str, fmt: str, location: str) -> T.
         return schema
 
 
+def _fits(raw: Column, kind: T.DataType) -> Column:
+    """Whether a value's JSON text holds nothing that ``kind`` would lose: no misfit and no unknown field at any depth."""
+    if isinstance(kind, T.StructType):
+        own = F.from_json(raw, "map<string,string>")
+        known = F.array(*[F.lit(n) for n in kind.names])
+        inside = [F.forall(F.map_keys(own), lambda k: F.array_contains(known, k)), *[_fits(own[f.name], f.dataType) for f in kind.fields]]
+        ok = own.isNotNull()
+        for c in inside:
+            ok = ok & c
+        return raw.isNull() | F.coalesce(ok, F.lit(False))
+    if isinstance(kind, T.MapType):
+        own = F.from_json(raw, "map<string,string>")
+        return raw.isNull() | F.coalesce(own.isNotNull() & F.forall(F.map_values(own), lambda v: _fits(v, kind.valueType)), F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        own = F.from_json(raw, "array<string>")
+        return raw.isNull() | F.coalesce(own.isNotNull() & F.forall(own, lambda v: _fits(v, kind.elementType)), F.lit(False))
+    return raw.isNull() | isinstance(kind, T.StringType) | raw.try_cast(kind).isNotNull()
+
+
 def _typed(raw: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return raw
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        return F.from_json(raw, kind)
+        return F.when(_fits(raw, kind), F.from_json(raw, kind))
     return raw.try_cast(kind)
 
 
 def typed_documents(lines: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
     """JSON documents as columns of ``schema``; ``_rescued`` holds the rest.
 
-    Rescued are fields the schema does not know, values that do not fit their type (the column is NULL then), and
-    the whole text of what is no JSON object, under ``_corrupt``.  NULL when nothing had to be rescued.
+    Rescued are fields the schema does not know, values that do not fit their type at some depth or hold inner fields it
+    does not know (the column is NULL then), and the whole text of what is no JSON object, under ``_corrupt``.  NULL when nothing had to be rescued.
     """
     parsed = lines.withColumn("_raw", F.from_json(text, "map<string,string>"))
     fields = {f.name: _typed(F.col("_raw")[f.name], f.dataType) for f in schema.fields}

@@ -43,13 +43,14 @@ def test_schema_is_inferred_once_and_kept(spark):
 
 
 def test_rescued_column_keeps_what_does_not_fit(spark):
-    docs = ['{"a": 1, "b": {"c": [1]}}', '{"a": "x", "b": 5, "d": 1}', '{"a": null}', "{broken", "", None, "[1]", '{"a": 12345678901234567890}']
+    docs = ['{"a": 1, "b": {"c": [1]}}', '{"a": "x", "b": 5, "d": 1}', '{"a": null}', "{broken", "", None, "[1]", '{"a": 12345678901234567890}', '{"b": {"c": ["x"]}}', '{"b": {"c": [2], "new": 7}}']
     rows = spark.createDataFrame([(d, i) for i, d in enumerate(docs)], "value string, extra int")
     schema = T.StructType.fromDDL("a bigint, b struct<c: array<bigint>>")
     got = {r["extra"]: r for r in inferred.typed_documents(rows, schema).collect()}
     assert got[0]["a"] == 1 and got[0]["b"]["c"] == [1] and got[0]["_rescued"] is None
     assert got[1]["a"] is None and '"a":"x"' in got[1]["_rescued"] and '"d":"1"' in got[1]["_rescued"] and '"b":"5"' in got[1]["_rescued"]
     assert got[2]["_rescued"] is None and "{broken" in got[3]["_rescued"] and got[5]["_rescued"] is None
+    assert '\\"x\\"' in got[8]["_rescued"] and got[8]["b"] is None and "new" in got[9]["_rescued"]
     assert "[1]" in got[6]["_rescued"] and "12345678901234567890" in got[7]["_rescued"]
 
 
