@@ -4,7 +4,7 @@ import importlib
 
 from dqflow.catalog.base import ORACLES, QUERIES
 
-MODULES = ["validators", "quality", "tables", "joins", "anomalies", "operations", "monitors", "storage", "feeds"]
+MODULES = ["validators", "quality", "tables", "joins", "anomalies", "operations", "monitors", "storage", "feeds", "layout"]
 
 for _m in MODULES:
     importlib.import_module(f"dqflow.catalog.{_m}")

@@ -233,7 +233,9 @@ def morton(df: DataFrame, columns) -> Column:
         value = F.col(c) if isinstance(kind, T.StringType) else (F.unix_date(c) if isinstance(kind, T.DateType) else F.col(c)).cast("double")
         cuts = F.array(*[F.lit(v) for v in points[c]]) if points[c] else F.array().cast("array<double>")
         rank = F.coalesce(F.size(F.filter(cuts, lambda p: p <= value)), F.lit(0)) if points[c] else F.lit(0)
-        rank = F.when(value.isNull(), 0).otherwise(rank).cast("bigint")
+        # Few distinct values have few cut points: their ranks are spread over all bits.
+        spread = F.floor(rank * ((2**BITS - 1) / max(1, len(points[c]))))
+        rank = F.when(value.isNull(), 0).otherwise(spread).cast("bigint")
         for b in range(BITS):
             bit = F.shiftright(rank, b).bitwiseAND(F.lit(1).cast("bigint"))
             out = out.bitwiseOR(F.shiftleft(bit, b * len(columns) + i))

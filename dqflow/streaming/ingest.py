@@ -98,3 +98,27 @@ def classify_failure(message: str) -> str:
         if any(w in text for w in words):
             return name
     return "unknown"
+
+
+def live_totals(totals: DataFrame, target: str, checkpoint: str, interval: str | None = None):
+    """Keep the changing rows of an aggregated stream in ``target``, once each.
+
+    Every micro-batch writes the groups it changed as its own part, named by its number.  A batch that is run again
+    after a failure between write and commit overwrites that part, so nothing counts twice.
+    """
+    def handle(batch: DataFrame, number: int):
+        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{target}/part={number}")
+
+    return for_each(totals, handle, checkpoint, interval, "update")
+
+
+def read_live(spark: SparkSession, target: str, keys) -> DataFrame:
+    """The newest row of each group."""
+    rows = spark.read.parquet(target).drop("part")
+    rest = [c for c in rows.columns if c not in keys and c != "_batch"]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in rest])
+
+
+def dropped_rows(query) -> int:
+    """Rows that a finished query's watermark dropped, summed over the progress of its micro-batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
