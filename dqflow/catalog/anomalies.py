@@ -174,6 +174,16 @@ def an11(spark, d):
     return flat(MV.dbscan_anomalies(rows, "claims", ["claim_amount", "lag_days"]), "anomaly_percentage")
 
 
+@query("an11_clusters", _NOISE + "SELECT n AS total_records, k AS noise, n - k AS clustered, true AS some_cluster FROM n, k")
+def an11_clusters(spark, d):
+    """Records in clusters and outside; the cluster numbers themselves are compared with a plain version in the tests."""
+    rows = S.claims(spark, d).select("claim_amount", F.datediff("submission_date", "date_of_service").alias("lag_days"))
+    w, c = F.col("w"), F.col("cluster")
+    return MV.density_clusters(rows, ["claim_amount", "lag_days"]).agg(
+        F.sum("w").alias("total_records"), F.coalesce(F.sum(F.when(c.isNull(), w)), F.lit(0)).alias("noise"),
+        F.sum(F.when(c.isNotNull(), w)).alias("clustered"), (F.count_distinct("cluster") > 0).alias("some_cluster"))
+
+
 def findings(spark, d):
     """Everything the engine reports on the event and claim tables except forests."""
     ev = S.events(spark, d).select("ts", "value")

@@ -206,59 +206,134 @@ def standardised(points: DataFrame, dims: int) -> DataFrame:
     return out.groupBy(*[f"x{i}" for i in range(dims)]).agg(F.sum("w").alias("w"))
 
 
-def density_noise(df: DataFrame, fields, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Exact noise set: standardised vectors, weight and ``noise`` flag.
+def gap_within(a, b, eps: float, side: float):
+    """Whether two cells (lists of coordinates) may hold points within ``eps``: the gap between the boxes, rounded in favour."""
+    gaps = [F.greatest(F.abs(x - y) - 1, F.lit(0)) for x, y in zip(a, b)]
+    return reduce(lambda p, q: p + q, [g * g for g in gaps]) * (side * side) <= eps * eps * (1 + 1e-9)
+
 
-    The grid's cells have diagonal ``eps``: all points of one cell are
-    neighbours, so a cell holding ``min_samples`` rows makes all of them core
-    points and no distance inside it is ever computed.  What remains are cells
-    with fewer rows.  Their points are sent to the cells around them, at most
-    ``min_samples - 1`` from each, as one short array per cell; that array is
+def occupied_neighbours(cells: DataFrame, names, reach: int, eps: float, side: float) -> DataFrame:
+    """Pairs of distinct occupied cells (columns, and the other's with ``_``) that may hold points within ``eps``, each with itself too.
+
+    Cells are looked up through blocks of ``reach`` cells a side, at least ``eps`` wide: only blocks are sent to their
+    3^d neighbours, only occupied ones answer, and a block holds at most reach^d cells.
+    """
+    blocks = [f"g{i}" for i in range(len(names))]
+    held = cells.select(*names).distinct().withColumns({g: F.floor(F.col(c) / reach).cast("long") for g, c in zip(blocks, names)})
+    steps = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{i}") for i, o in enumerate(off)]) for off in itertools.product((-1, 0, 1), repeat=len(names))])
+    found = held.select(*blocks).distinct()
+    sent = found.select(*[F.col(g).alias(f"_{g}") for g in blocks], F.explode(steps).alias("o")).select(
+        *[f"_{g}" for g in blocks], *[(F.col(f"_{g}") + F.col(f"o.o{i}")).alias(g) for i, g in enumerate(blocks)])
+    near = sent.join(found, blocks, "left_semi")
+    other = held.select(*[F.col(c).alias(f"_{c}") for c in names], *[F.col(g).alias(f"_{g}") for g in blocks])
+    pairs = held.join(near, blocks).join(other, [f"_{g}" for g in blocks])
+    return pairs.where(gap_within([F.col(c) for c in names], [F.col(f"_{c}") for c in names], eps, side)).select(*names, *[f"_{c}" for c in names])
+
+
+class Density:
+    """Standardised distinct points of a table in grid cells of diagonal ``eps``, and which of them are core points.
+
+    All points of one cell are neighbours, so a cell holding ``min_samples`` rows makes all of them core points and no
+    distance inside it is ever computed.  What remains are cells with fewer rows.  Their points are sent to the
+    occupied cells around them, at most ``min_samples - 1`` from each, as one short array per cell; that array is
     looked up by every point of the cell, however many there are.
     """
-    d = len(fields)
-    xs = [f"x{i}" for i in range(d)]
-    side, reach = eps / math.sqrt(d), int(math.ceil(math.sqrt(d)))
-    cells = [f"c{i}" for i in range(d)]
-    points = standardised(complete_points(df, fields), d).withColumns(
-        {c: F.coalesce(F.floor(F.col(x) / side).cast("long"), F.lit(0).cast("long")) for c, x in zip(cells, xs)}
-    )
-    sizes = points.groupBy(*cells).agg(F.sum("w").alias("rows"))
-    sparse_cells = sizes.where(F.col("rows") < min_samples).select(*cells, F.lit(True).alias("sparse"))
-    marked = join_unique(points, sparse_cells, cells).withColumn("sparse", F.coalesce("sparse", F.lit(False)))
-    marked = stored_layer(marked, "density-points")  # read by every step below
-    sparse = marked.where("sparse")
-
-    steps = F.array(
-        *[F.struct(*[F.lit(o).cast("long").alias(f"o{i}") for i, o in enumerate(off)]) for off in itertools.product(range(-reach, reach + 1), repeat=d)]
-    )
 
-    def around(rows: DataFrame) -> DataFrame:
-        spread = rows.select(F.struct(*xs).alias("p"), *cells, F.explode(steps).alias("o"))
-        near = spread.select("p", *[(F.col(c) + F.col(f"o.o{i}")).alias(c) for i, c in enumerate(cells)])
-        return near.groupBy(*cells).agg(F.collect_list("p").alias("near"))
+    def __init__(self, df: DataFrame, fields, eps: float, min_samples: int):
+        d = len(fields)
+        self.eps, self.xs, self.cells = eps, [f"x{i}" for i in range(d)], [f"c{i}" for i in range(d)]
+        self.side, self.reach = eps / math.sqrt(d), int(math.ceil(math.sqrt(d)))
+        points = standardised(complete_points(df, fields), d).withColumns(
+            {c: F.coalesce(F.floor(F.col(x) / self.side).cast("long"), F.lit(0).cast("long")) for c, x in zip(self.cells, self.xs)})
+        sizes = points.groupBy(*self.cells).agg(F.sum("w").alias("rows"))
+        sparse_cells = sizes.where(F.col("rows") < min_samples).select(*self.cells, F.lit(True).alias("sparse"))
+        marked = join_unique(points, sparse_cells, self.cells).withColumn("sparse", F.coalesce("sparse", F.lit(False)))
+        self.marked = stored_layer(marked, "density-points")  # read by every step below
+        self.sparse = self.marked.where("sparse")
+        self.neighbours = stored_layer(occupied_neighbours(self.marked, self.cells, self.reach, eps, self.side), "density-cells")
+        pairs = join_unique(self.marked, self.around(self.sparse), self.cells, "inner").select(
+            "w", "sparse", F.explode(F.filter("near", self.within)).alias("p"))
+        counts = pairs.groupBy("p").agg(F.sum("w").alias("neighbours"), F.count_if(~F.col("sparse")).alias("dense_neighbours"))
+        self.judged = self.sparse.withColumn("p", F.struct(*self.xs)).join(counts, "p").withColumn("core", F.col("neighbours") >= min_samples)
+
+    def around(self, rows: DataFrame) -> DataFrame:
+        """For every occupied cell the points of ``rows`` (few per cell) in the cells around it."""
+        near = rows.select(F.struct(*self.xs).alias("p"), *self.cells).join(self.neighbours, self.cells)
+        return near.groupBy(*[F.col(f"_{c}").alias(c) for c in self.cells]).agg(F.collect_list("p").alias("near"))
+
+    def within(self, p):
+        return reduce(lambda a, b: a + b, [(p[x] - F.col(x)) * (p[x] - F.col(x)) for x in self.xs]) <= self.eps * self.eps
 
-    def within(p):
-        return reduce(lambda a, b: a + b, [(p[x] - F.col(x)) * (p[x] - F.col(x)) for x in xs]) <= eps * eps
 
-    pairs = join_unique(marked, around(sparse), cells, "inner").select(
-        "w", "sparse", F.explode(F.filter("near", within)).alias("p")
-    )
-    counts = pairs.groupBy("p").agg(F.sum("w").alias("neighbours"), F.count_if(~F.col("sparse")).alias("dense_neighbours"))
-    judged = sparse.withColumn("p", F.struct(*xs)).join(counts, "p").withColumn("core", F.col("neighbours") >= min_samples)
-    open_points = judged.where("NOT core AND dense_neighbours = 0")
+def density_noise(df: DataFrame, fields, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """Exact noise set: standardised vectors, weight and ``noise`` flag."""
+    g = Density(df, fields, eps, min_samples)
+    open_points = g.judged.where("NOT core AND dense_neighbours = 0")
     reached = (
-        join_unique(judged.where("core").select(*xs, *cells), around(open_points), cells, "inner")
-        .select(F.explode(F.filter("near", within)).alias("p"))
+        join_unique(g.judged.where("core").select(*g.xs, *g.cells), g.around(open_points), g.cells, "inner")
+        .select(F.explode(F.filter("near", g.within)).alias("p"))
         .distinct()
         .withColumn("reached", F.lit(True))
     )
-    noise = open_points.join(reached, "p", "left").where("reached IS NULL").select(*xs, F.lit(True).alias("noise"))
-    return marked.where("NOT sparse").select(*xs, "w", F.lit(False).alias("noise")).unionByName(
-        sparse.select(*xs, "w").join(noise, xs, "left").select(*xs, "w", F.coalesce("noise", F.lit(False)).alias("noise"))
+    noise = open_points.join(reached, "p", "left").where("reached IS NULL").select(*g.xs, F.lit(True).alias("noise"))
+    return g.marked.where("NOT sparse").select(*g.xs, "w", F.lit(False).alias("noise")).unionByName(
+        g.sparse.select(*g.xs, "w").join(noise, g.xs, "left").select(*g.xs, "w", F.coalesce("noise", F.lit(False)).alias("noise"))
     )
 
 
+#: Finer cells per side that settle most pairs of cells without looking at points.
+FINER = 4
+
+
+def linked_cells(core: DataFrame, g: Density) -> DataFrame:
+    """Pairs (a, b) of numbered core cells that hold core points within ``eps`` of each other.
+
+    ``core`` has x0.., c0.. and ``cell``.  Pairs of neighbouring cells are compared by their occupied finer cells (at most
+    ``FINER``^d each): boxes that lie within ``eps`` as a whole link them, boxes further apart are done with.  Only
+    for pairs that are still open do the points of the undecided boxes meet.
+    """
+    finer, side = [f"f{i}" for i in range(len(g.xs))], g.side / FINER
+    core = core.withColumns({f: F.floor(F.col(x) / side).cast("long") for f, x in zip(finer, g.xs)})
+    ids = core.select(*g.cells, "cell").distinct()
+    pairs = g.neighbours.join(ids.withColumnRenamed("cell", "a"), g.cells).join(
+        ids.select(*[F.col(c).alias(f"_{c}") for c in g.cells], F.col("cell").alias("b")), [f"_{c}" for c in g.cells]).where("a < b").select("a", "b")
+    boxes = core.select("cell", *finer).distinct()
+    other = boxes.select(F.col("cell").alias("b"), *[F.col(f).alias(f"_{f}") for f in finer])
+    met = pairs.join(boxes.withColumnRenamed("cell", "a"), "a").join(other, "b")
+    far = [F.abs(F.col(f) - F.col(f"_{f}")) + 1 for f in finer]
+    whole = reduce(lambda p, q: p + q, [x * x for x in far]) * (side * side) <= g.eps * g.eps * (1 - 1e-9)
+    met = stored_layer(met.where(gap_within([F.col(f) for f in finer], [F.col(f"_{f}") for f in finer], g.eps, side)).withColumn("whole", whole), "density-boxes")
+    linked = met.where("whole").select("a", "b").distinct()
+    still = met.join(linked, ["a", "b"], "left_anti").select("a", "b", *finer, *[f"_{f}" for f in finer])
+    mine = core.select(F.col("cell").alias("a"), *finer, *g.xs)
+    theirs = core.select(F.col("cell").alias("b"), *[F.col(f).alias(f"_{f}") for f in finer], *[F.col(x).alias(f"_{x}") for x in g.xs])
+    distance = reduce(lambda p, q: p + q, [(F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in g.xs])
+    close = still.join(mine, ["a", *finer]).join(theirs, ["b", *[f"_{f}" for f in finer]]).where(distance <= g.eps * g.eps).select("a", "b").distinct()
+    return linked.unionByName(close)
+
+
+def density_clusters(df: DataFrame, fields, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """Standardised vectors, weight, ``core`` flag and ``cluster`` (NULL for noise).
+
+    Core points of one grid cell belong together, so clusters are the connected components of core cells.  Its
+    number is the smallest cell number (a hash) of the component.  A point that is no core point belongs to the
+    cluster of a core point within ``eps``, the smallest number if there are several.
+    """
+    from dqflow.operators.graph import components
+
+    g = Density(df, fields, eps, min_samples)
+    judged = stored_layer(g.judged.select(*g.xs, *g.cells, "w", "core"), "density-judged")
+    core = g.marked.where("NOT sparse").select(*g.xs, *g.cells, "w").unionByName(judged.where("core").drop("core"))
+    core = stored_layer(core.withColumn("cell", F.xxhash64(*g.cells)), "density-core")
+    labels = components(linked_cells(core, g)).select(F.col("node").alias("cell"), "label")
+    numbered = join_unique(core, labels, "cell").withColumn("cluster", F.coalesce("label", "cell"))
+    border = judged.where("NOT core")
+    reached = join_unique(numbered.select(*g.xs, *g.cells, "cluster"), g.around(border), g.cells, "inner").select(
+        "cluster", F.explode(F.filter("near", g.within)).alias("p")).groupBy("p").agg(F.min("cluster").alias("cluster"))
+    rest = border.withColumn("p", F.struct(*g.xs)).join(reached, "p", "left")
+    return numbered.select(*g.xs, "w", F.lit(True).alias("core"), "cluster").unionByName(rest.select(*g.xs, "w", F.lit(False).alias("core"), "cluster"))
+
+
 def noise_summary(df: DataFrame, fields, eps=0.5, min_samples=5) -> DataFrame:
     return density_noise(df, fields, eps, min_samples).agg(
         F.sum("w").alias("total_records"),
