@@ -212,6 +212,24 @@ def an12(spark, d):
     return A.summary(findings(spark, d))
 
 
+add_view("claims_lag", "SELECT claim_amount, datediff('day', date_of_service, submission_date) AS lag_days FROM claims")
+
+
+@query("an12_all_methods", " UNION ALL ".join(
+    f"SELECT detection_method, field_name, affected_records, true AS within FROM ({sql})" for sql in (
+        _zsql("claim_amount", "claims_lag"), _zsql("lag_days", "claims_lag"), _iqrsql("claim_amount", "claims_lag"), _iqrsql("lag_days", "claims_lag"))) + f"""
+UNION ALL SELECT * FROM ({_NOISE} SELECT 'dbscan', 'claim_amount,lag_days', k, true FROM k WHERE k > 0)
+UNION ALL SELECT 'isolation_forest', 'claim_amount,lag_days', NULL, count(*) >= 100 FROM claims_lag WHERE claim_amount IS NOT NULL AND lag_days IS NOT NULL""")
+def an12_methods(spark, d):
+    """Every detector over a table of two numbers; the forest's count is held against its contamination of a tenth."""
+    rows = S.claims(spark, d).select("claim_amount", F.datediff("submission_date", "date_of_service").alias("lag_days"))
+    forest = F.col("detection_method") == "isolation_forest"
+    share = F.col("context")["anomaly_percentage"]
+    return A.detect_all(rows, "amounts").select(
+        "detection_method", "field_name", F.when(~forest, F.col("affected_records")).alias("affected_records"),
+        F.when(forest, (share > 0) & (share <= 10)).otherwise(True).alias("within"))
+
+
 @query("an14_top_findings", """
 SELECT anomaly_type, severity, affected_records FROM (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, affected_records DESC) AS r FROM (
  SELECT 'volume_anomaly' AS anomaly_type, CASE WHEN change > .8 THEN 'critical' WHEN change > .6 THEN 'high' WHEN change > .4 THEN 'medium' ELSE 'low' END AS severity, volume AS affected_records FROM hourly WHERE change > .5)) WHERE r <= 20""")

@@ -22,17 +22,17 @@ def bronze(spark, d):
 
 
 def stored_bronze(spark, d):
-    return shared_layer(spark, f"bronze claims {d}", lambda: bronze(spark, d))
+    return shared_layer(spark, "bronze claims", d, lambda: bronze(spark, d))
 
 
 def silver(spark, d):
-    return L.silver_claims(stored_bronze(spark, d), S.eligibility(spark, d), S.providers(spark, d), AS_OF, MIN)
+    """Clean and quarantined claims, both cut from one stored layer of flagged rows, whichever mart asks first."""
+    flagged = shared_layer(spark, "silver rows", d, lambda: L.silver_rows(stored_bronze(spark, d), S.eligibility(spark, d), S.providers(spark, d), AS_OF))
+    return L.split_silver(flagged, AS_OF, MIN)
 
 
 def gold(spark, d):
-    """Layers of a medallion are tables: each is written once per application, whichever mart asks first."""
-    clean = shared_layer(spark, f"silver claims {d}", lambda: silver(spark, d)[0])
-    return L.gold_claims(clean, S.members(spark, d), S.providers(spark, d), AS_OF)
+    return L.gold_claims(silver(spark, d)[0], S.members(spark, d), S.providers(spark, d), AS_OF)
 
 
 add_view("bronze", "SELECT * FROM scored WHERE record_id IS NOT NULL")

@@ -331,6 +331,28 @@ def va25(spark, d):
     return tally(medicaid, "medicaid").unionByName(tally(medicare, "medicare"))
 
 
+_ENTITY_FIELDS = {
+    "member": ("member_id", "first_name", "last_name", "date_of_birth", "gender"),
+    "claim": ("claim_id", "member_id", "provider_npi", "diagnosis_code", "procedure_code", "date_of_service", "claim_amount"),
+    "provider": ("provider_npi", "provider_name", "provider_type", "license_number"),
+}
+
+
+@query("va26_entities", " UNION ALL ".join(
+    f"SELECT '{entity}' AS entity, '{field}' AS field, {'100.0' if field in ('member_id', 'provider_npi', 'date_of_service', 'claim_id') else '98.0' if field in ('gender', 'license_number') else '95.0'}::double AS target, "
+    f"round(100.0 * count(*) FILTER (WHERE {field} IS NOT NULL AND trim({field}::varchar) <> '') / count(*)::double, 6) AS completeness FROM "
+    + ("(SELECT *, CASE WHEN custkey % 50 <> 0 THEN substr(last_name, 1, 8) ELSE ' ' END AS first_name FROM members)" if entity == "member" else f"{entity}s")
+    for entity, fields in _ENTITY_FIELDS.items() for field in fields))
+def va26_entities(spark, d):
+    """Presence of the required fields of members, claims and providers; blank text is missing."""
+    from dqflow.operators.assess import required_presence
+
+    members = S.members(spark, d).withColumn("first_name", F.when(F.col("custkey") % 50 != 0, F.substring("last_name", 1, 8)).otherwise(" "))
+    tables = {"member": members, "claim": S.claims(spark, d), "provider": S.providers(spark, d)}
+    parts = [required_presence(df, entity, conditional=("gender", "license_number")) for entity, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("meets_target")
+
+
 @query("va26_required_fields", """
 SELECT field, kind, target, round(100.0 * ok / n, 6) AS completeness, 100.0 * ok / n >= target AS meets_target
 FROM (SELECT count(*)::double AS n, count(claim_id) AS f1, count(member_id) AS f2, count(provider_npi) AS f3, count(date_of_service) AS f4,

@@ -163,12 +163,12 @@ def retry_advice(stats: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("priority"), F.lit(action).alias("action"))
 
     cases = [
-        F.when(F.col("resolution_rate") < 70, item("resolution_rate", "high", "Review failure logs and improve error handling")),
+        F.when(F.col("resolution_rate") < 70, item("resolution_rate", "high", "Read the failures that were never resolved and handle their causes")),
         F.when(
             F.col("most_common_category") == "resource_constraint",
-            item("resource_scaling", "medium", "Consider implementing auto-scaling or using larger cluster sizes"),
+            item("resource_scaling", "medium", "Give these pipelines more memory or let their clusters grow"),
         ),
-        F.when(F.col("avg_retries_per_failure") > 2, item("retry_optimization", "medium", "Review and optimize retry configurations")),
+        F.when(F.col("avg_retries_per_failure") > 2, item("retry_optimization", "medium", "Retry fewer times, or wait longer between attempts")),
     ]
     return stats.select(F.inline(F.array_compact(F.array(*cases))))
 

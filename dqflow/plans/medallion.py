@@ -91,16 +91,25 @@ def silver_flags(bronze: DataFrame, eligibility: DataFrame, providers: DataFrame
     return rows.withColumn("_provider_active", is_true(F.col("_provider_active")))
 
 
-def silver_claims(bronze, eligibility, providers, as_of: dt.date, minimum: dt.date) -> tuple[DataFrame, DataFrame]:
-    """Scored clean claims and the quarantined rest."""
-    rows = silver_flags(bronze, eligibility, providers).withColumns(
+def silver_rows(bronze, eligibility, providers, as_of: dt.date) -> DataFrame:
+    """Every bronze claim with its flags and scores: what the clean claims and the quarantine are cut from."""
+    return silver_flags(bronze, eligibility, providers).withColumns(
         {"_silver_timestamp": _stamp(as_of), "_quality_score": S.quality_score(), "_anomaly_score": S.anomaly_score()}
     )
+
+
+def split_silver(rows: DataFrame, as_of: dt.date, minimum: dt.date) -> tuple[DataFrame, DataFrame]:
+    """Clean claims and the quarantined rest of ``silver_rows``."""
     clean, bad = E.split(rows, silver_claim_rules(as_of, minimum), as_of)
     flags = ("_eligible", "_provider_active", "_duplicate")
     return clean.drop(*flags), bad.drop(*flags)
 
 
+def silver_claims(bronze, eligibility, providers, as_of: dt.date, minimum: dt.date) -> tuple[DataFrame, DataFrame]:
+    """Scored clean claims and the quarantined rest."""
+    return split_silver(silver_rows(bronze, eligibility, providers, as_of), as_of, minimum)
+
+
 def silver_members(bronze: DataFrame, as_of: dt.date) -> DataFrame:
     day = F.lit(as_of)
     eligible = (F.col("eligibility_start") <= day) & (F.col("eligibility_end").isNull() | (F.col("eligibility_end") >= day))

@@ -77,12 +77,27 @@ def stored_layer(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_SHARED: dict[tuple[str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 
 
-def shared_layer(spark: SparkSession, name: str, build) -> DataFrame:
-    """The layer of this name, written by its first reader in an application and read by all others."""
-    key = (spark.sparkContext.applicationId, name)
+def files_under(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of change of every file of a folder: what tells one state of it from another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, listed = [], path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def shared_layer(spark: SparkSession, name: str, folder: str, build) -> DataFrame:
+    """The layer of this name over ``folder``, written by its first reader in an application and read by all others.
+
+    The key holds the state of the folder's files and the session's time zone, so new files or a session that reads
+    times otherwise get a layer of their own.
+    """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    key = (spark.sparkContext.applicationId, name, zone, files_under(spark, folder))
     if key not in _SHARED:
         _SHARED[key] = stored_layer(build(), re.sub(r"[^A-Za-z0-9]+", "-", name))
     return _SHARED[key]
