@@ -287,8 +287,9 @@ def count_links(members: DataFrame) -> DataFrame:
     return out.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=True) -> DataFrame:
-    """One row per input row: _id, _text_hash, class_id (smallest id of the class), n_links.
+def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=True, with_label=False) -> DataFrame:
+    """One row per input row: _id, _text_hash, class_id (smallest id of the class), n_links; with ``with_label`` also label,
+    which tells classes apart where they have no ids (null for texts without words).
 
     Words are runs of characters other than ASCII white space, shingles are five words; a text of fewer words has
     one shingle, texts without words (null, empty) are classes of their own without links.  Texts with
@@ -321,7 +322,7 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=T
 
     grouped = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("rep").alias("class_id"))
-    info = grouped.join(classes, "label").select("node", "class_id", "copies")
+    info = grouped.join(classes, "label").select("node", "class_id", "copies", *(["label"] if with_label else []))
     if with_links:
         links_of = count_links(labels.join(sets, "node").join(nodes.select("node", "copies"), "node"))
         info = info.join(links_of, "node", "left")
@@ -330,13 +331,17 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", with_links=T
     info = info.withColumnRenamed("node", "_node")
     return signed.join(info, signed["node"] == info["_node"], "left").select(
         "_id", "_text_hash", F.coalesce("class_id", "_id").alias("class_id"),
-        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), *(["label"] if with_label else []))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with one row of each class, the one with the smallest id; rows repeated with id and text count once."""
-    classes = near_classes(docs, id_col, text_col, with_links=False)
-    stay = saved(classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).select("_id", "_text_hash").distinct(), "stay").hint("shuffle_hash")
+    """``docs`` with one row of each class: the smallest id stays, null ids come last, and of rows sharing that id the one
+    with the smallest hash of its text; rows repeated with id and text count once.  Texts without words are no copies
+    of each other, but count once for each id."""
+    classes = near_classes(docs, id_col, text_col, with_links=False, with_label=True)
+    first = classes.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_text_hash")).alias("s"))
+    stay = first.select("s._id", "s._text_hash").unionByName(classes.where("label IS NULL").select("_id", "_text_hash").distinct())
+    stay = saved(stay, "stay").hint("shuffle_hash")
     hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     kept = hashed.join(stay, hashed[id_col].eqNullSafe(stay["_id"]) & (hashed["_h"] == stay["_text_hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "_h"]).drop("_h")

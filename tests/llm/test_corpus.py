@@ -79,6 +79,20 @@ def test_near_with_null_ids_and_no_rows(make_docs):
     assert near.near_classes(make_docs([])).count() == 0 and near.keep_one(make_docs([])).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(make_docs):
+    base = [f"w{i}" for i in range(80)]
+    near_copies = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(["y", *base[1:]])]
+    other = [" ".join(f"v{i}" for i in range(60)), None, ""]
+    for ids in ([None] * 6, [7] * 6, [None, 3, None, None, 4, None], [5, 5, 2, None, None, 9]):
+        df = make_docs(near_copies + other)
+        wanted = F.element_at(F.array(*[F.lit(i).cast("bigint") for i in ids]), (F.col("doc_id") + 1).cast("int"))
+        kept = near.keep_one(df.withColumn("doc_id", wanted).withColumn("LABEL", F.lit(1))).collect()
+        copies = [r for r in kept if r["text"] in near_copies]
+        assert len(copies) == 1 and sum(r["text"] == other[0] for r in kept) == 1
+        known = [i for i in ids[:3] if i is not None]
+        assert copies[0]["doc_id"] == (min(known) if known else None) and any(not r["text"] for r in kept)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     need = near.least_matches()
     assert need[0] == 0 and all(a <= b for a, b in zip(need, need[1:])) and 0.6 < need[near.HASHES] / near.HASHES < 0.8
