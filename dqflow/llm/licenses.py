@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqflow.llm.common import let, spans, text_of, without
+from dqflow.llm.common import SEPARATORS, let, spans, text_of, without
+from dqflow.llm.signatures import SIGNATURES, SPDX, mandatory_words
 
 WORD_CHARS = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -18,9 +18,8 @@ START, STOP = rf"(?<![{WORD_CHARS}])", rf"(?![{WORD_CHARS}])"
 #: Phrases and labels of the query's contract.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: (label, SPDX identifier, keywords, name pattern; a blank stands for any separators).  Keywords are single words
-#: or parts of them (or choices of these), each within every match of the pattern: any separators may stand between
-#: two words.
+#: (label, SPDX identifier, keywords, name pattern; a blank stands for any separators).  Keywords are whole words
+#: (or choices of them); each keyword's choice stands in every match of the pattern, with any separators around it.
 NAMES = (
     ("gpl-1.0", "GPL-1.0", ("general", "public"), r"(?:gnu )?general public licen[cs]e (?:version |v )?1(?: 0)?"),
     ("gpl-2.0", "GPL-2.0", ("general", "public"), r"(?:gnu )?general public licen[cs]e (?:version |v )?2(?: 0)?"),
@@ -32,12 +31,12 @@ NAMES = (
     ("lgpl-2.0", "LGPL-2.0", ("library", "general"), r"(?:gnu )?library general public licen[cs]e"),
     ("agpl-3.0", "AGPL-3.0", ("affero",), r"(?:gnu )?affero general public licen[cs]e"),
     ("gfdl-1.3", "GFDL-1.3", ("free", "documentation"), r"(?:gnu )?free documentation licen[cs]e"),
-    ("apache-1.1", "Apache-1.1", ("apache", "licen"), r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
-    ("apache-2.0", "Apache-2.0", ("apache", "licen"), r"apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("mit", "MIT", ("mit", "licen"), r"(?:the )?mit licen[cs]e"),
+    ("apache-1.1", "Apache-1.1", ("apache", "licence|license"), r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
+    ("apache-2.0", "Apache-2.0", ("apache", "licence|license"), r"apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)?"),
+    ("mit", "MIT", ("mit", "licence|license"), r"(?:the )?mit licen[cs]e"),
     ("mit-0", "MIT-0", ("mit", "attribution"), r"mit no attribution"),
     ("x11", "X11", ("x11",), r"x11 licen[cs]e"),
-    ("isc", "ISC", ("isc", "licen"), r"isc licen[cs]e"),
+    ("isc", "ISC", ("isc", "licence|license"), r"isc licen[cs]e"),
     ("bsd-2-clause", "BSD-2-Clause", ("bsd",), r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "BSD-3-Clause", ("bsd",), r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "BSD-4-Clause", ("bsd",), r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
@@ -60,50 +59,51 @@ NAMES = (
     ("epl-2.0", "EPL-2.0", ("eclipse", "public"), r"eclipse public licen[cs]e (?:version |v )?2(?: 0)?"),
     ("eupl-1.2", "EUPL-1.2", ("european", "union"), r"european union public licen[cs]e"),
     ("cddl-1.0", "CDDL-1.0", ("common", "development"), r"common development and distribution licen[cs]e"),
-    ("bsl-1.0", "BSL-1.0", ("boost", "licen"), r"boost software licen[cs]e"),
-    ("zlib", "Zlib", ("zlib", "licen"), r"zlib licen[cs]e"),
+    ("bsl-1.0", "BSL-1.0", ("boost", "licence|license"), r"boost software licen[cs]e"),
+    ("zlib", "Zlib", ("zlib", "licence|license"), r"zlib licen[cs]e"),
     ("unlicense", "Unlicense", ("unlicense",), r"(?:the )?unlicense"),
     ("wtfpl", "WTFPL", ("wtfpl",), r"wtfpl"),
-    ("artistic-2.0", "Artistic-2.0", ("artistic", "licen"), r"artistic licen[cs]e(?: 2 0)?"),
+    ("artistic-2.0", "Artistic-2.0", ("artistic", "licence|license"), r"artistic licen[cs]e(?: 2 0)?"),
     ("psf-2.0", "PSF-2.0", ("python", "software"), r"python software foundation licen[cs]e"),
     ("ofl-1.1", "OFL-1.1", ("open", "font"), r"(?:sil )?open font licen[cs]e"),
     ("odbl-1.0", "ODbL-1.0", ("open", "database"), r"open database licen[cs]e"),
     ("public-domain", "Public-Domain", ("public", "domain"), r"(?:in |into |to )?(?:the )?public domain"),
 )
 
-#: (priority, words before the name, words after it): every name becomes one rule per line, tags first.
+#: (priority, words before the name, words after it): a stated grant outweighs a name met in passing.
 FRAMES = (
-    (80, r"(?:is |are )?licen[cs]ed under (?:the )?(?:terms of )?(?:the )?", ""),
-    (80, r"(?:is |are )?released under (?:the )?(?:terms of )?(?:the )?", ""),
-    (80, r"(?:is |are )?distributed under (?:the )?(?:terms of )?(?:the )?", ""),
+    (80, r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?", ""),
     (75, r"subject to (?:the )?(?:terms of )?(?:the )?", ""),
-    (70, r"under (?:the )?terms of (?:the )?", ""),
     (60, "", r" (?:or any later version|or later)"),
     (50, "", ""),
 )
 TAG_PRIORITY = 100
 
 
-def signature_rules(names=NAMES, frames=FRAMES) -> list[dict]:
-    """The ordered rules: one identifier tag and one rule per frame for every name."""
-    out = []
-    for label, spdx, keywords, pattern in names:
-        tag = r"spdx license identifier " + spdx.replace("-", " ").replace(".", " ")
-        out.append((TAG_PRIORITY, label, ("spdx",), tag))
-        out += [(priority, label, keywords, before + pattern + after) for priority, before, after in frames]
+def with_gaps(pattern: str) -> str:
+    """Blanks stand for separators; a blank before ``?`` for separators that may be missing."""
+    return pattern.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
+
+
+def signature_rules(names=NAMES, frames=FRAMES, signatures=SIGNATURES, tags=SPDX) -> list[dict]:
+    """The ordered rules: identifier tags, hand-written signatures, and one rule per name and frame."""
+    out = [(TAG_PRIORITY, tag.lower(), ("spdx", "identifier"), r"spdx license identifier " + re.sub("[-.]", " ", tag.lower())) for tag in tags]
+    out += [(priority, label, tuple(mandatory_words(pattern)), pattern) for priority, label, pattern in signatures]
+    out += [(priority, label, keywords, before + pattern + after)
+            for label, _, keywords, pattern in names for priority, before, after in frames]
     return [
-        {"rank": i, "priority": p, "label": label, "words": list(words), "regex": START + "(?i:" + pattern.replace(" ", GAP) + ")" + STOP}
+        {"rank": i, "priority": p, "label": label, "words": list(words), "regex": START + "(?i:" + with_gaps(pattern) + ")" + STOP}
         for i, (p, label, words, pattern) in enumerate(sorted(out, key=lambda r: -r[0]))
     ]
 
 
 def _detections(text: Column, rules: list[dict]) -> Column:
     """Spans of all rules whose keywords occur; array<struct<start, end, label, priority, rank>>."""
-    kind = "array<struct<rank:int,priority:int,label:string,words:array<string>,regex:string>>"
-    table = F.from_json(F.lit(json.dumps(rules)), kind)
-    words = sorted({w for r in rules for w in r["words"]})
-    present = let(F.lower(text), lambda t: F.array_compact(F.array(*[
-        F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in w.split("|")]), F.lit(w)) for w in words])))
+    kind = "array<struct<rank:int,priority:int,label:string,words:array<array<string>>,regex:string>>"
+    table = F.from_json(F.lit(json.dumps([{**r, "words": [w.split("|") for w in r["words"]]} for r in rules])), kind)
+    words = sorted({w for r in rules for choice in r["words"] for w in choice.split("|")})
+    # The blank in front makes the first piece empty, so the word "" of a rule without keywords is always present.
+    present = F.array_intersect(F.array(*map(F.lit, words)), F.split(F.concat(F.lit(" "), F.lower(text)), SEPARATORS))
 
     def of(r):
         return F.transform(spans(text, r["regex"]), lambda s: F.struct(
@@ -113,7 +113,7 @@ def _detections(text: Column, rules: list[dict]) -> Column:
     return let(present, lambda have: F.when(
         F.size(have) == 0, F.array().cast("array<struct<start:bigint,end:bigint,label:string,priority:int,rank:int>>"),
     ).otherwise(F.flatten(F.transform(
-        F.filter(table, lambda r: F.forall(r["words"], lambda w: F.array_contains(have, w))), of))))
+        F.filter(table, lambda r: F.forall(r["words"], lambda w: F.arrays_overlap(have, w))), of))))
 
 
 def _surviving(found: Column) -> Column:

@@ -138,3 +138,47 @@ def test_quality_judges_small_groups(make_docs):
     assert all(r["d2"] is not None for r in rows if r["n_words"])
     assert [r["kept"] for r in rows if r["text"] == junk] == [False, False]
     assert all(r["kept"] for r in rows if r["text"] != junk)
+
+
+def test_license_texts_get_their_labels(make_docs):
+    """Notices, body clauses, acronyms, versions and addresses of well-known licenses."""
+    texts = {
+        "Permission is hereby granted, free of charge, to any person": "mit",
+        "Redistribution and use in source and binary forms, with or without": "bsd",
+        "This program is free software; you can redistribute it and/or": "gpl",
+        "covered by the LGPL": "lgpl", "AGPL v3": "agpl-3.0", "GNU GPL version 3": "gpl-3.0", "see GPL v3": "gpl-3.0", "the GNU GPL is": "gpl",
+        "a BSD license": "bsd", "Apache-2.0": "apache-2.0", "https://creativecommons.org/licenses/by/4.0/": "cc-by-4.0",
+        "Apache License v2.0": "apache,apache-2.0", "ShareAlike: Creative Commons Attribution-ShareAlike": "cc-by-sa",
+        "http://www.gnu.org/licenses/old-licenses/gpl-2.0.html": "gpl-2.0", "under the EUPL": "eupl",
+        "an ordinary text on the public library and its software": "",
+    }
+    rows = scan_licenses(make_docs(list(texts))).orderBy("doc_id").collect()
+    assert {r["text"]: r["labels"] for r in rows} == texts
+
+
+def spelled(pattern, gap):
+    """Two texts that a signature matches: its optional parts left out, and its choices' first branches taken."""
+    import re
+
+    def fill(p, optional):
+        p = re.sub(r"\.\{1,\d+\}", "abc", p)
+        p = re.sub(r"\[(.)[^]]*\](\??)", lambda m: m[1] if optional or not m[2] else "", p)
+        while "(?:" in p:
+            p = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: m[1].split("|")[0] if optional or not m[2] else "", p)
+        p = p.replace(" ?", " " if optional else "")
+        return re.sub(r"(\w)\?", r"\1" if optional else "", p).replace(" ", gap)
+
+    return [fill(pattern, False), fill(pattern, True)]
+
+
+def test_every_signature_is_tried_behind_its_keywords(make_docs):
+    """The keyword filter loses no detection: each signature's own texts give what ungated rules give."""
+    from dqflow.llm.signatures import SIGNATURES
+
+    texts = [t for i, s in enumerate(SIGNATURES) for t in spelled(s[2], (" ", "-\n", " / ")[i % 3])]
+    docs = make_docs(texts)
+    assert len({s[1:] for s in SIGNATURES}) >= 200
+    found = scan_licenses(docs).orderBy("doc_id").collect()
+    want = scan_licenses(docs, rules=[{**r, "words": [""]} for r in signature_rules()]).orderBy("doc_id").collect()
+    assert found == want
+    assert [r["text"] for r in found if not r["detections"]] == []
