@@ -192,14 +192,14 @@ def findings(spark, d):
 
 
 _ALL = " UNION ALL ".join(
-    f"SELECT anomaly_type, severity, affected_records FROM ({sql})"
+    f"SELECT anomaly_type, severity, affected_records, detection_method, field_name FROM ({sql})"
     for sql in (
         _zsql("claim_amount", "claims"), _zsql("value", "events"), _iqrsql("claim_amount", "claims"), _iqrsql("value", "events"),
-        "SELECT 'volume_anomaly' AS anomaly_type, CASE WHEN change > .8 THEN 'critical' WHEN change > .6 THEN 'high' WHEN change > .4 THEN 'medium' ELSE 'low' END AS severity, volume AS affected_records FROM hourly WHERE change > .5",
-        "SELECT 'temporal_anomaly' AS anomaly_type, CASE WHEN dev > 5 OR pct > 10 THEN 'high' WHEN dev > 3 OR pct > 5 THEN 'medium' ELSE 'low' END AS severity, k AS affected_records FROM (SELECT count(*) FILTER (WHERE z > 2.5) AS k, avg(z) FILTER (WHERE z > 2.5) AS dev, count(*) FILTER (WHERE z > 2.5) * 100.0::double / count(*) AS pct FROM seasonal) WHERE k > 0",
-        "SELECT 'healthcare_specific' AS anomaly_type, 'high' AS severity, k AS affected_records FROM (SELECT count(*) FILTER (WHERE claim_count > 50) AS k, count(*) AS n FROM member_profile) WHERE k * 100.0 / n > 2",
-        "SELECT 'healthcare_specific' AS anomaly_type, 'medium' AS severity, k AS affected_records FROM (SELECT count(*) FILTER (WHERE provider_count > 10) AS k, count(*) AS n FROM member_profile) WHERE k * 100.0 / n > 1",
-        "SELECT 'healthcare_specific' AS anomaly_type, 'medium' AS severity, k AS affected_records FROM (SELECT count(*) FILTER (WHERE total_amount > 50000) AS k, count(*) AS n FROM member_profile) WHERE k * 100.0 / n > 1",
+        "SELECT 'volume_anomaly' AS anomaly_type, CASE WHEN change > .8 THEN 'critical' WHEN change > .6 THEN 'high' WHEN change > .4 THEN 'medium' ELSE 'low' END AS severity, volume AS affected_records, 'volume_change' AS detection_method, 'record_volume' AS field_name FROM hourly WHERE change > .5",
+        "SELECT 'temporal_anomaly' AS anomaly_type, CASE WHEN dev > 5 OR pct > 10 THEN 'high' WHEN dev > 3 OR pct > 5 THEN 'medium' ELSE 'low' END AS severity, k AS affected_records, 'seasonal_analysis' AS detection_method, 'value' AS field_name FROM (SELECT count(*) FILTER (WHERE z > 2.5) AS k, avg(z) FILTER (WHERE z > 2.5) AS dev, count(*) FILTER (WHERE z > 2.5) * 100.0::double / count(*) AS pct FROM seasonal) WHERE k > 0",
+        "SELECT 'healthcare_specific' AS anomaly_type, 'high' AS severity, k AS affected_records, 'utilization_analysis' AS detection_method, 'member_utilization' AS field_name FROM (SELECT count(*) FILTER (WHERE claim_count > 50) AS k, count(*) AS n FROM member_profile) WHERE k * 100.0 / n > 2",
+        "SELECT 'healthcare_specific' AS anomaly_type, 'medium' AS severity, k AS affected_records, 'provider_shopping_analysis' AS detection_method, 'provider_utilization' AS field_name FROM (SELECT count(*) FILTER (WHERE provider_count > 10) AS k, count(*) AS n FROM member_profile) WHERE k * 100.0 / n > 1",
+        "SELECT 'healthcare_specific' AS anomaly_type, 'medium' AS severity, k AS affected_records, 'high_cost_analysis' AS detection_method, 'member_cost' AS field_name FROM (SELECT count(*) FILTER (WHERE total_amount > 50000) AS k, count(*) AS n FROM member_profile) WHERE k * 100.0 / n > 1",
     )
 )
 add_view("findings", _ALL)
@@ -238,6 +238,36 @@ def an14(spark, d):
     return rows.orderBy(A.severity_rank(), F.desc("affected_records"), "anomaly_id").limit(20).select("anomaly_type", "severity", "affected_records")
 
 
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+_METHOD_ADVICE = (
+    ("z_score", 1, "Look up the rows far from the mean and where they were keyed in"),
+    ("z_score", 2, "Keep them if they are real: a few large values may be the business"),
+    ("iqr", 1, "Compare the rows outside the fences with the rest by source"),
+    ("iqr", 2, "A long tail may call for a logarithm before fences are drawn"),
+    ("volume_change", 1, "See which feeds delivered more or fewer rows in this hour"),
+    ("volume_change", 2, "Look for repeated or missing files around it"),
+    ("seasonal_analysis", 1, "Compare with the same hour of other weeks"),
+    ("seasonal_analysis", 2, "Holidays and one-off loads shift the hourly baseline"),
+    ("utilization_analysis", 1, "Read the claim history of the busiest members"),
+    ("utilization_analysis", 2, "Rule out repeated submissions before suspecting misuse"),
+    ("provider_shopping_analysis", 1, "See how many providers billed one member for one condition"),
+    ("provider_shopping_analysis", 2, "Shared practices may explain several identifiers"),
+    ("high_cost_analysis", 1, "Split the total of each costly member by procedure"),
+)
+_ADVICE_ROWS = ", ".join(f"('{m}', {i}, '{t}')" for m, i, t in _METHOD_ADVICE)
+
+
+@query("an14_report", f"""
+SELECT 'by severity' AS section, severity AS name, NULL::int AS position, count(*) AS value FROM findings GROUP BY 2
+UNION ALL SELECT 'by anomaly_type', anomaly_type, NULL, count(*) FROM findings GROUP BY 2
+UNION ALL SELECT 'top', severity || ' ' || detection_method || ' ' || field_name, r::int, affected_records FROM (
+  SELECT *, row_number() OVER (ORDER BY {_RANK}, affected_records DESC) AS r FROM findings) WHERE r <= 20
+UNION ALL SELECT 'advice', text, i::int, count(*) FROM findings JOIN (VALUES {_ADVICE_ROWS}) a(m, i, text) ON m = detection_method GROUP BY 2, 3""")
+def an14_report(spark, d):
+    """The report over everything the detectors found: counts, the first findings with their fields, advice."""
+    return A.report(findings(spark, d))
+
+
 @query("an15_report_rollup", """
 SELECT anomaly_type, severity, count(*) AS anomalies, sum(affected_records)::bigint AS affected_records, round(count(*) * 100.0::double / (SELECT count(*) FROM claims), 6) AS rate_percentage FROM findings GROUP BY 1, 2""")
 def an15(spark, d):

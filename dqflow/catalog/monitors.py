@@ -243,3 +243,48 @@ def rp02(spark, d):
     from dqflow.catalog.quality import settled
 
     return R.detailed_report(settled(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query("rp02_full_report", """
+SELECT 'dimension' AS section, dimension AS name, round(score, 6) AS value FROM dim_scores UNION ALL SELECT 'field', field, round(avg(score), 6) FROM field_dims GROUP BY 2
+UNION ALL SELECT 'rule', field || '.' || rule, round(score, 6) FROM rule_results WHERE NOT passed UNION ALL SELECT 'issue', type, round(measured, 6) FROM issues
+UNION ALL SELECT 'anomaly', anomaly_type || '.' || severity, sum(affected_records)::double FROM findings GROUP BY 2
+UNION ALL SELECT 'recommendation', recommendation, position::double FROM advised""")
+def rp02_full(spark, d):
+    """The report with findings of all detectors and the recommendations that the scores call for."""
+    from dqflow.catalog.anomalies import findings
+    from dqflow.catalog.quality import settled
+
+    return R.detailed_report(settled(spark, d), findings(spark, d), advice=True).withColumn("value", F.round("value", 6))
+
+
+@query("rp01_trend", """
+SELECT strftime(period, '%Y-%m-%d %H:%M:%S') AS period, records, round(s, 6) AS avg_score, round(prev, 6) AS previous_score,
+  CASE WHEN prev IS NULL OR round(s - prev, 6) = 0 THEN 'stable' WHEN s > prev THEN 'up' ELSE 'down' END AS trend, periods, round(95 - s, 6) AS gap_to_target
+FROM (SELECT *, lag(s) OVER (ORDER BY period) AS prev, count(*) OVER () AS periods, row_number() OVER (ORDER BY period DESC) AS r FROM (
+  SELECT date_trunc('month', created_date) AS period, count(*) AS records, sum(((CASE WHEN member_id IS NULL THEN 0 ELSE 1 END
+    + CASE WHEN date_of_service IS NULL THEN 0 ELSE 1 END + CASE WHEN admission_date IS NULL THEN 0 ELSE 1 END + 1) * 25)::decimal(12,4))::double / count(*) AS s
+  FROM claims_feed GROUP BY 1)) WHERE r = 1""")
+def rp01_trend(spark, d):
+    """Completeness of the newest month of claims beside the month before."""
+    out = R.quality_trend(S.claims_feed(spark, d), "created_date", ["claim_id", "member_id", "date_of_service", "admission_date"])
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_score", "previous_score")})
+
+
+add_view("monitor_days", """
+SELECT date_trunc('day', ts)::timestamp AS at, count(*) AS n, count(*) - count(value) AS nulls, min(value) AS low, max(value) AS high
+FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1""")
+add_view("monitor_moves", "SELECT w::timestamp AS at, js FROM daily_drift WHERE w >= DATE '2024-01-24'")
+
+
+@query("mo07_bundle", """
+SELECT part, strftime(at, '%Y-%m-%d %H:%M') AS at, name, round(value, 6) AS value FROM (
+SELECT 'metric' AS part, at, 'records' AS name, n::double AS value FROM monitor_days UNION ALL SELECT 'profile', at, 'nulls', nulls::double FROM monitor_days
+UNION ALL SELECT 'profile', at, 'low', low::double FROM monitor_days UNION ALL SELECT 'profile', at, 'high', high::double FROM monitor_days
+UNION ALL SELECT 'drift', at, 'value', js FROM monitor_moves UNION ALL SELECT 'alert', at, 'value', sqrt(js) FROM monitor_moves WHERE sqrt(js) > .05
+UNION ALL SELECT 'summary', NULL, 'windows', count(*)::double FROM monitor_days UNION ALL SELECT 'summary', NULL, 'records', sum(n)::double FROM monitor_days
+UNION ALL SELECT 'summary', NULL, 'largest drift', max(js) FROM monitor_moves UNION ALL SELECT 'summary', NULL, 'alerts', count(*)::double FROM monitor_moves WHERE sqrt(js) > .05)""")
+def mo07_bundle(spark, d):
+    """The monitor page of the last week: volume, profile, drift, alerts and their summary."""
+    since = F.lit(dt.date(2024, 1, 24)).cast("timestamp_ntz")
+    return R.monitor_bundle(S.events(spark, d), "ts", "value", since).withColumn("value", F.round("value", 6))

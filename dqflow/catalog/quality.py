@@ -184,11 +184,15 @@ _ADVICE = ", ".join(f"({i}, '{a}', {b}, '{t}')" for i, (a, b, t) in enumerate(A.
 _CODE_ADVICE = ", ".join(f"({len(A.ADVICE) + i}, '{t}')" for i, t in enumerate(A.CODE_ADVICE))
 
 
-@query("qa11_recommendations", f"""
+_ADVISED = f"""
 SELECT position, recommendation FROM (VALUES {_ADVICE}) a(position, d, below, recommendation)
 JOIN (SELECT dimension, score FROM dim_scores UNION ALL SELECT 'overall', overall_score FROM overall) s ON s.dimension = a.d AND s.score < a.below
 UNION ALL SELECT position, recommendation FROM (VALUES {_CODE_ADVICE}) c(position, recommendation)
-WHERE (SELECT count(*) FROM issues WHERE regexp_matches(lower(coalesce(field, type)), 'npi|icd|cpt|member|provider')) > 0""")
+WHERE (SELECT count(*) FROM issues WHERE regexp_matches(lower(coalesce(field, type)), 'npi|icd|cpt|member|provider')) > 0"""
+add_view("advised", _ADVISED)
+
+
+@query("qa11_recommendations", _ADVISED)
 def qa11(spark, d):
     return A.recommendations(settled(spark, d))
 

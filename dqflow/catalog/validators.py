@@ -488,6 +488,42 @@ def va33(spark, d):
     )
 
 
+@query("va33_programme_rules", """
+SELECT state, concat_ws(',', CASE WHEN state = 'CA' AND (plan IS NULL OR plan NOT IN ('ANTHEM', 'BLUE_CROSS', 'HEALTH_NET', 'KAISER', 'LA_CARE')) THEN 'plan' END,
+  CASE WHEN state = 'CA' AND claim_amount > 50000 THEN 'claim_amount' END,
+  CASE WHEN state = 'TX' AND dual NOT IN ('01', '02', '03') THEN 'dual_code' END) AS broken, count(*) AS n, sum(claim_amount)::double AS amount
+FROM (SELECT state, claim_amount, ['ANTHEM', 'BLUE_CROSS', 'HEALTH_NET', 'KAISER', 'LA_CARE', 'OTHER', NULL][(custkey % 7 + 1)::int] AS plan,
+  lpad((custkey % 5)::varchar, 2, '0') AS dual FROM claims JOIN members USING (member_id)) GROUP BY 1, 2""")
+def va33_programme(spark, d):
+    """Claims of members by state and the programme rules they break."""
+    from dqflow.operators.skew import join_unique
+
+    plans = F.array(*[F.lit(p) for p in ("ANTHEM", "BLUE_CROSS", "HEALTH_NET", "KAISER", "LA_CARE", "OTHER")], F.lit(None).cast("string"))
+    members = S.members(spark, d).select(
+        "member_id", "state", F.element_at(plans, (F.col("custkey") % 7 + 1).cast("int")).alias("plan"),
+        F.lpad((F.col("custkey") % 5).cast("string"), 2, "0").alias("dual_code"))
+    rows = join_unique(S.claims(spark, d).select("member_id", "claim_amount"), members, "member_id", "inner")
+    broken = C.state_programme_errors("state", "plan", "dual_code", "claim_amount")
+    return rows.groupBy("state", F.array_join(broken, ",").alias("broken")).agg(
+        F.count("*").alias("n"), F.sum("claim_amount").cast("double").alias("amount"))
+
+
+@query("va34_part_d", """
+SELECT part, CASE part WHEN 'D' THEN member_id IS NOT NULL AND quantity IS NOT NULL AND days IS NOT NULL
+  WHEN 'B' THEN member_id IS NOT NULL AND date_of_service IS NOT NULL END AS complete, count(*) AS n
+FROM (SELECT *, CASE WHEN claim_type = 'PHARMACY' THEN 'D' ELSE 'B' END AS part, nullif(k % 7, 0) AS quantity, CASE WHEN k % 11 <> 0 THEN 30 END AS days FROM claims) GROUP BY 1, 2""")
+def va34_part_d(spark, d):
+    """Pharmacy claims as part D with the prescriber, drug, quantity and supply that the part asks for; others as part B."""
+    k, drug = F.col("k"), F.col("claim_type") == "PHARMACY"
+    rows = S.claims(spark, d).withColumns({
+        "part": F.when(drug, F.lit("D")).otherwise(F.lit("B")), "medicare_beneficiary_id": F.col("member_id"),
+        "prescriber_npi": F.col("provider_npi"), "pharmacy_npi": F.reverse("provider_npi"), "ndc_code": F.lpad("procedure_code", 11, "0"),
+        "quantity_dispensed": F.nullif(k % 7, F.lit(0)).cast("string"), "days_supply": F.when(k % 11 != 0, F.lit("30")),
+    })
+    complete = C.medicare_part_complete("part", {c: F.col(c) for c in rows.columns})
+    return rows.groupBy("part", complete.alias("complete")).agg(F.count("*").alias("n"))
+
+
 @query("va34_medicare_parts", """
 SELECT part, CASE part WHEN 'A' THEN member_id IS NOT NULL AND admission_date IS NOT NULL
     WHEN 'B' THEN member_id IS NOT NULL AND date_of_service IS NOT NULL ELSE false END AS complete,

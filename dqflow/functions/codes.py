@@ -68,6 +68,7 @@ HCPCS_CATEGORIES = {
 CA_PLANS = ("ANTHEM", "BLUE_CROSS", "HEALTH_NET", "KAISER", "LA_CARE")
 CA_AID_CODES = ("01", "02", "03", "04", "05")
 CA_MAX_CLAIM = 50000
+TX_DUAL_ELIGIBLE = ("01", "02", "03")
 GENDERS = ("M", "F", "U", "X")
 PROVIDER_TYPES = ("Individual", "Organization")
 CLAIM_STATUSES = ("SUBMITTED", "PROCESSING", "PAID", "DENIED", "PENDING")
@@ -327,6 +328,20 @@ def state_member_id(state, member_id) -> Column:
     return out
 
 
+def state_programme_errors(state, plan, dual_code, amount) -> Column:
+    """Which programme rules of a state a row breaks: plan, claim_amount (California), dual_code (Texas).
+
+    A missing plan, code or amount breaks the rule of its state; other states have none of these rules.
+    """
+    state, plan, dual_code, amount = map(col_of, (state, plan, dual_code, amount))
+    broken = {
+        "plan": (state == "CA") & ~is_true(plan.isin(*CA_PLANS)),
+        "claim_amount": (state == "CA") & ~is_true(amount <= CA_MAX_CLAIM),
+        "dual_code": (state == "TX") & ~is_true(dual_code.isin(*TX_DUAL_ELIGIBLE)),
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]))
+
+
 def medicare_part_complete(part, available) -> Column:
     """True when every field the part requires is present; unknown parts pass.
 

@@ -19,6 +19,7 @@ from dqflow.operators.assess import one_pass
 from dqflow.operators.profile import numeric_fields
 from dqflow.operators.quantiles import exact_percentiles
 from dqflow.operators.skew import attach_stats
+from dqflow.sources.tables import stored_layer
 
 #: What to look at first when a method reports something.
 RECOMMENDATIONS = {
@@ -331,6 +332,28 @@ def top_findings(findings: DataFrame, k: int = 20) -> DataFrame:
     return findings.orderBy(severity_rank(), F.desc("score"), "anomaly_id").limit(k)
 
 
+def report(findings: DataFrame, k: int = 20) -> DataFrame:
+    """Findings as one long table: counts by severity and type, the first ``k`` findings, advice of every method met.
+
+    Findings are one row per detector and field (or hour); they are written once for the four parts.
+    """
+    found = stored_layer(findings, "findings")
+
+    def counts(column):
+        return found.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("value")).select(
+            F.lit(f"by {column}").alias("section"), "name", F.lit(None).cast("int").alias("position"), "value")
+
+    first = found.orderBy(severity_rank(), F.desc("affected_records"), "anomaly_id").limit(k)
+    place = F.row_number().over(W.orderBy(severity_rank(), F.desc("affected_records"), "anomaly_id"))
+    top = first.select(
+        F.lit("top").alias("section"), F.concat_ws(" ", "severity", "detection_method", "field_name").alias("name"),
+        place.alias("position"), F.col("affected_records").alias("value"))
+    advice = found.select("detection_method", F.posexplode("recommendations").alias("position", "name")).groupBy("name").agg(
+        F.max("position").alias("position"), F.count(F.lit(1)).alias("value")).select(
+        F.lit("advice").alias("section"), "name", (F.col("position") + 1).cast("int").alias("position"), "value")
+    return counts("severity").unionByName(counts("anomaly_type")).unionByName(top).unionByName(advice)
+
+
 def report_rollup(findings: DataFrame, total_records: Column) -> DataFrame:
     """Rate per record with counts by severity and type."""
     return findings.groupBy("anomaly_type", "severity").agg(

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from dqflow.functions import codes as C
 from dqflow.operators import assess as A
+from dqflow.operators.drift import drift_alerts, windowed_drift
+from dqflow.operators.marts import history
 from dqflow.operators.privacy import audit_complete
+from dqflow.operators.profile import union_all
+from dqflow.sources.tables import stored_layer
 
 COMPLIANT = 95.0
 TARGET = 95.0
@@ -43,15 +47,61 @@ def executive_summary(summary: DataFrame) -> DataFrame:
     )
 
 
-def detailed_report(results: DataFrame) -> DataFrame:
-    """Long table of dimensions, fields, failed rules and issues."""
+def quality_trend(df: DataFrame, ts: str, fields, granularity: str = "month", target: float = TARGET) -> DataFrame:
+    """The newest period's share of present fields beside the period before: one row.
+
+    A row's score is the percentage of ``fields`` it carries; periods are averaged by ``history``, so the table is
+    read once and only one row per period is ordered.
+    """
+    score = sum((C.present(f).cast("int") for f in fields), F.lit(0)) * F.lit(100) / F.lit(len(fields))
+    periods = history(df.select(ts, score.alias("_quality_score")), ts, granularity)
+    newest = periods.where("period IS NOT NULL").agg(
+        F.max_by(F.struct("period", "records", "avg_score", "previous_score", "trend"), "period").alias("p"), F.count(F.lit(1)).alias("periods"))
+    return newest.select("p.*", "periods", F.round(F.lit(target) - F.col("p.avg_score"), 6).alias("gap_to_target"))
+
+
+def monitor_bundle(df: DataFrame, ts: str, value: str, since, granularity: str = "day", threshold: float = 0.05) -> DataFrame:
+    """Everything a monitor page shows since a time, as (part, at, name, value).
+
+    Parts: volume per window, profile of the value, drift against the window before, alerts, and a summary of these.
+    The table is read once for volume and profile, once for drift; all later parts come from one row per window.
+    """
+    recent = F.col(ts) >= since
+    x = F.col(value).cast("double")
+    windows = stored_layer(df.where(recent).groupBy(F.date_trunc(granularity, F.col(ts)).alias("at")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(x.isNull()).alias("nulls"), F.min(x).alias("low"), F.max(x).alias("high")), "monitor")
+    moved = stored_layer(windowed_drift(df, ts, granularity, value).where(F.col("window_start") >= since), "monitor-drift")
+    raised = drift_alerts(moved, threshold)
+
+    def part(rows, name, what, at, number):
+        return rows.select(F.lit(name).alias("part"), F.date_format(at, "yyyy-MM-dd HH:mm").alias("at"), F.lit(what).alias("name"), number.cast("double").alias("value"))
+
+    def total(rows, what, number):
+        return part(rows.agg(number.alias("_v")), "summary", what, F.lit(None).cast("timestamp"), F.col("_v"))
+
+    parts = [part(windows, "metric", "records", F.col("at"), F.col("records"))]
+    parts += [part(windows, "profile", what, F.col("at"), F.col(what)) for what in ("nulls", "low", "high")]
+    parts += [part(moved, "drift", value, F.col("window_start"), F.col("js_divergence")), part(raised, "alert", value, F.col("window_start"), F.col("drift_score"))]
+    parts += [total(windows, "windows", F.count(F.lit(1))), total(windows, "records", F.sum("records")),
+              total(moved, "largest drift", F.max("js_divergence")), total(raised, "alerts", F.count(F.lit(1)))]
+    return union_all(parts)
+
+
+def detailed_report(results: DataFrame, findings: DataFrame | None = None, advice: bool = False) -> DataFrame:
+    """Long table of dimensions, fields, failed rules and issues; also of findings by type and of advice where asked for."""
 
     def part(df, section, name, value):
         return df.select(F.lit(section).alias("section"), name.alias("name"), value.alias("value"))
 
-    return (
+    out = (
         part(A.dimension_scores(results), "dimension", F.col("dimension"), F.col("score"))
         .unionByName(part(A.field_scores(results), "field", F.col("field"), F.col("field_score")))
         .unionByName(part(results.where("NOT passed"), "rule", F.concat_ws(".", "field", "rule"), F.col("score")))
         .unionByName(part(A.issues(results), "issue", F.col("type"), F.col("measured")))
     )
+    if findings is not None:
+        kinds = findings.groupBy("anomaly_type", "severity").agg(F.sum("affected_records").cast("double").alias("n"))
+        out = out.unionByName(part(kinds, "anomaly", F.concat_ws(".", "anomaly_type", "severity"), F.col("n")))
+    if advice:
+        out = out.unionByName(part(A.recommendations(results), "recommendation", F.col("recommendation"), F.col("position").cast("double")))
+    return out
