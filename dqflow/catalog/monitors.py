@@ -272,16 +272,16 @@ def rp01_trend(spark, d):
 
 
 add_view("monitor_days", """
-SELECT date_trunc('day', ts)::timestamp AS at, count(*) AS n, count(*) - count(value) AS nulls, min(value) AS low, max(value) AS high
+SELECT date_trunc('day', ts)::timestamp AS t, count(*) AS n, count(*) - count(value) AS nulls, min(value) AS low, max(value) AS high
 FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1""")
-add_view("monitor_moves", "SELECT w::timestamp AS at, js FROM daily_drift WHERE w >= DATE '2024-01-24'")
+add_view("monitor_moves", "SELECT w::timestamp AS t, js FROM daily_drift WHERE w >= DATE '2024-01-24'")
 
 
 @query("mo07_bundle", """
-SELECT part, strftime(at, '%Y-%m-%d %H:%M') AS at, name, round(value, 6) AS value FROM (
-SELECT 'metric' AS part, at, 'records' AS name, n::double AS value FROM monitor_days UNION ALL SELECT 'profile', at, 'nulls', nulls::double FROM monitor_days
-UNION ALL SELECT 'profile', at, 'low', low::double FROM monitor_days UNION ALL SELECT 'profile', at, 'high', high::double FROM monitor_days
-UNION ALL SELECT 'drift', at, 'value', js FROM monitor_moves UNION ALL SELECT 'alert', at, 'value', sqrt(js) FROM monitor_moves WHERE sqrt(js) > .05
+SELECT part, strftime(t, '%Y-%m-%d %H:%M') AS at, name, round(value, 6) AS value FROM (
+SELECT 'metric' AS part, t, 'records' AS name, n::double AS value FROM monitor_days UNION ALL SELECT 'profile', t, 'nulls', nulls::double FROM monitor_days
+UNION ALL SELECT 'profile', t, 'low', low::double FROM monitor_days UNION ALL SELECT 'profile', t, 'high', high::double FROM monitor_days
+UNION ALL SELECT 'drift', t, 'value', js FROM monitor_moves UNION ALL SELECT 'alert', t, 'value', sqrt(js) FROM monitor_moves WHERE sqrt(js) > .05
 UNION ALL SELECT 'summary', NULL, 'windows', count(*)::double FROM monitor_days UNION ALL SELECT 'summary', NULL, 'records', sum(n)::double FROM monitor_days
 UNION ALL SELECT 'summary', NULL, 'largest drift', max(js) FROM monitor_moves UNION ALL SELECT 'summary', NULL, 'alerts', count(*)::double FROM monitor_moves WHERE sqrt(js) > .05)""")
 def mo07_bundle(spark, d):
