@@ -73,28 +73,28 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, trigrams: list[str]) -> DataFrame:
-    """The inverted index over the trigrams that rules ask for: trigram, id."""
+    """The inverted index over the trigrams that rules ask for: trigram, id and text hash."""
     found = let(F.lower(text_of(text_col)), lambda t: F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(t, g)))
-    return docs.select(F.col(id_col).alias("_id"), F.explode(found).alias("trigram"))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"), F.explode(found).alias("trigram"))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, rules=RULES) -> DataFrame:
-    """_id and the set of indexed rules whose query its postings satisfy."""
+    """_id, _hash (of the text) and the set of indexed rules whose query their postings satisfy."""
     spark = docs.sparkSession
     queries = {kind: trigram_query(p) for kind, p, _ in rules}
     rows = [(kind, i, g, len(c)) for kind, q in queries.items() if q for i, c in enumerate(q) for g in sorted(c)]
     if not rows:
-        return spark.createDataFrame([], "_id string, _rules array<string>").select(
-            F.col("_id").cast(dict(docs.dtypes)[id_col]), "_rules")
+        return spark.createDataFrame([], "_id string, _hash bigint, _rules array<string>").select(
+            F.col("_id").cast(dict(docs.dtypes)[id_col]), "_hash", "_rules")
     clauses = spark.createDataFrame(rows, "kind string, clause int, trigram string, need int")
     lists = postings(docs, id_col, text_col, sorted({r[2] for r in rows}))
     # The clause table has one row per trigram of a rule, whatever the size of the input.
-    # A text lists each trigram once; rows with one id may meet a clause together, which verification sorts out.
+    # A text lists each trigram once; rows alike in id and text may meet a clause together, which verification sorts out.
     met = (
-        lists.join(F.broadcast(clauses), "trigram").groupBy("_id", "kind", "clause", "need")
+        lists.join(F.broadcast(clauses), "trigram").groupBy("_id", "_hash", "kind", "clause", "need")
         .agg(F.count(F.lit(1)).alias("n")).where("n >= need")
     )
-    return met.groupBy("_id").agg(F.collect_set("kind").alias("_rules"))
+    return met.groupBy("_id", "_hash").agg(F.collect_set("kind").alias("_rules"))
 
 
 def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", rules=RULES, base=tuple(r[0] for r in BASE_RULES)) -> DataFrame:
@@ -102,7 +102,8 @@ def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", rules=RULES,
 
     Candidates come from intersected postings; rules without a mandatory trigram (runs of one character class)
     scan every text.  Candidates are verified with the pattern on the whole text.  A null text has no spans.
-    Rows with one id, null included, share their candidates, and each is verified on its own text.
+    Rows meet their candidates by id and text hash, so null and repeated ids spread over tasks; rows alike in both
+    share candidates.  Every row is verified on its own text.
     An empty table gives no rows; columns named like the results are replaced.
     """
     open_rules = [r[0] for r in rules if trigram_query(r[1]) is None]
@@ -111,8 +112,9 @@ def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", rules=RULES,
         "array<struct<order:int,kind:string,regex:string,least:int>>")
     # A shuffled hash join needs no sort of the texts; per partition it holds the candidates only.
     hits = candidates(docs, id_col, text_col, rules).hint("shuffle_hash")
-    kept = without(docs, "spans", "_id", "_rules")
-    joined = kept.join(hits, kept[id_col].eqNullSafe(hits["_id"]), "left").drop("_id")
+    kept = without(docs, "spans", "_id", "_hash", "_rules")
+    same = kept[id_col].eqNullSafe(hits["_id"]) & (F.xxhash64(text_of(kept[text_col])) == hits["_hash"])
+    joined = kept.join(hits, same, "left").drop("_id", "_hash")
     active = F.concat(F.coalesce("_rules", F.array().cast("array<string>")), F.array(*map(F.lit, open_rules)).cast("array<string>"))
 
     def of(r):

@@ -82,6 +82,26 @@ def test_secrets(documents, make_docs):
     assert scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_index_loses_nothing(make_docs, monkeypatch):
+    """Postings give what scanning every text with every rule gives, for all kinds, with null and repeated ids."""
+    from dqflow.llm import secrets
+
+    a, b = "a1B2" * 16, "Zz9_" * 16
+    texts = HARD + [
+        "ghp_" + a, "github_pat_" + a, "glpat-" + a, "xoxb-" + a, "sk_live_" + a, "AIza" + a[:35], "SG." + b[:22] + "." + b[:43], f"eyJ{b}.eyJ{b}.{b}",
+        "-----BEGIN EC PRIVATE KEY-----", "npm_" + a[:36], "pypi-AgEIcHlwaS5vcmc" + a, "Authorization: Bearer " + a, "postgres://me:hunter22x@host/db"]
+    ids = [F.col("doc_id"), F.lit(None).cast("bigint"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")), F.lit(7).cast("bigint")]
+    frames = [make_docs(texts).withColumn("n", F.col("doc_id")).withColumn("doc_id", i) for i in ids]
+
+    def found():
+        return [{r["n"]: r["spans"] for r in scan_secrets(df).collect()} for df in frames]
+
+    indexed = found()
+    assert {s["kind"] for v in indexed[0].values() for s in v} == {r[0] for r in RULES}
+    monkeypatch.setattr(secrets, "trigram_query", lambda pattern: None)
+    assert indexed == found() and all(x == indexed[0] for x in indexed)
+
+
 def test_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").union(spark.createDataFrame(
         [(i, u) for i, u in enumerate([None, "", "no scheme", "a://", "HTTP://Ex.ORG", "x://B.example.org/en/12?q#f", "s://com/fr/ü", "s://a.com/de/#",
