@@ -42,18 +42,19 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
                 max_epochs=3, seed="mix", rows_per_slice=5_000) -> DataFrame:
     """``docs`` with size, source_size, target and taken; every input row stays.
 
-    Each row gets a hash-random key.  Keys are uniform, so cutting their range into equal slices
+    Each row gets a hash-random key from its id and text, so rows without an id or with one id spread too.  Keys are uniform, so cutting their range into equal slices
     range-partitions every source evenly, hot ones included: one row per (source, slice) carries
     the sum, prefix sums over those rows give each slice its offset, and rows are ordered only within
     their slice.  The cut is exact: whole epochs first, then documents in key order until the budget
     (the target rounded to words) is used; the document at the cut is taken in part.
 
     Null text has size 0, a null source is a source of its own and comes last, a null id counts as an
-    empty one.  Rows with one key are ordered by size.  Repeated rows are mixed as rows of their own.
+    empty one.  Rows alike in id and text share a key.  Repeated rows are mixed as rows of their own.
     An empty table gives no rows.  Other columns pass through; columns named like the results are replaced.
     """
     n_slices = max(1, -(-docs.count() // rows_per_slice))
-    source, key = F.col(source_col), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    source, key = F.col(source_col), F.md5(F.concat(
+        F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text_col).cast("binary"))))
     base = without(
         docs.withColumns({
             "_size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint"),

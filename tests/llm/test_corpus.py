@@ -145,6 +145,18 @@ def test_mix_by_hand(spark, make_docs):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mix_without_ids_takes_whatever_the_hash_says(make_docs):
+    """Rows without ids or with one id are drawn by their text's hash, not by size, and alike on every run."""
+    texts = ["w " * (i % 40 + 1) + f"t{i}" for i in range(400)]
+    for some_id in (F.lit(None).cast("bigint"), F.lit(5).cast("bigint")):
+        df = make_docs(texts).withColumn("doc_id", some_id).withColumn("source", F.lit("a"))
+        runs = [{r["text"]: (r["size"], r["taken"]) for r in mix_sources(df.repartition(n), share=0.5, rows_per_slice=20).collect()} for n in (1, 5)]
+        assert runs[0] == runs[1]
+        taken = [size for size, t in runs[0].values() if t]
+        left = [size for size, t in runs[0].values() if not t]
+        assert 130 < len(taken) < 270 and min(left) < 10 and max(taken) > 32
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
