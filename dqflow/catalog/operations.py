@@ -426,6 +426,42 @@ def bi04(spark, d):
     bills = invoices(spark, d).select("tenant_id", F.col("total_amount").cast("double").alias("last_invoice"))
     return use.join(bills, "tenant_id").select("tenant_id", "event_type", F.round(U.usage_percentage(), 6).alias("usage_percentage"), "last_invoice")
 
+add_view("period_invoices", """
+SELECT tenant_id, period_start, subtotal + round(subtotal * 0.08, 2)::decimal(18,2) AS total_amount, row_number() OVER (PARTITION BY tenant_id ORDER BY period_start DESC) AS position FROM (
+SELECT tenant_id, period_start, (CASE WHEN any_value(billing_period) = 'annual' THEN any_value(fee) * 10.8 ELSE any_value(fee) END)::decimal(18,2) + sum(round(greatest(q - included, 0) * rate, 2)::decimal(18,2)) AS subtotal
+FROM (SELECT u.tenant_id, u.event_type, a.plan_id, a.billing_period, (DATE '2024-01-01' + (date_diff('day', DATE '2024-01-01', u.timestamp::date) // 4 * 4)::int)::date AS period_start, sum(quantity) AS q
+  FROM usage_events u JOIN accounts a USING (tenant_id) GROUP BY 1, 2, 3, 4, 5) JOIN plans USING (plan_id, event_type) GROUP BY 1, 2)""")
+
+
+def billing(spark, d):
+    return U.billing_view(S.usage_events(spark, d), S.accounts(spark, d), 4)
+
+
+@query("bi04_recent_invoices", """
+SELECT tenant_id, position::int AS position, 'inv_' || tenant_id || '_' || strftime(period_start, '%Y%m%d') AS invoice_id, strftime(period_start, '%Y-%m-%d') AS period_start,
+  strftime(period_start + 3, '%Y-%m-%d') AS period_end, total_amount::double AS total_amount FROM period_invoices WHERE position <= 5""")
+def bi04_recent(spark, d):
+    """The five newest invoices of each account, billed every four days."""
+    return billing(spark, d).select("tenant_id", F.inline("recent_invoices")).select(
+        "tenant_id", "position", "invoice_id", F.date_format("period_start", "yyyy-MM-dd").alias("period_start"),
+        F.date_format("period_end", "yyyy-MM-dd").alias("period_end"), F.col("total_amount").cast("double").alias("total_amount"))
+
+
+@query("bi04_account", """
+SELECT a.tenant_id, a.plan_id, a.billing_period, strftime(a.current_period_start, '%Y-%m-%d') AS period_start, strftime(a.current_period_end, '%Y-%m-%d') AS period_end,
+  strftime(a.current_period_end + 1, '%Y-%m-%d') AS next_billing, any_value(f.fee)::double AS fee, b.event_type AS metric, any_value(q)::double AS used, any_value(b.included)::bigint AS included,
+  round(any_value(q)::double / any_value(b.included) * 100, 6) AS percentage, any_value(i.n)::int AS invoices
+FROM accounts a JOIN plans f USING (plan_id) JOIN billed b ON b.tenant_id = a.tenant_id JOIN (SELECT tenant_id, count(*) AS n FROM period_invoices WHERE position <= 5 GROUP BY 1) i ON i.tenant_id = a.tenant_id GROUP BY 1, 2, 3, 4, 5, 6, 8""")
+def bi04_account(spark, d):
+    """Account, period and plan beside each metric's use of its limit."""
+    day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    rows = billing(spark, d).withColumn("invoices", F.size("recent_invoices"))
+    return rows.select("*", F.inline("usage")).select(
+        "tenant_id", "plan_id", "billing_period", day("current_period_start", "period_start"), day("current_period_end", "period_end"),
+        day("next_billing_date", "next_billing"), F.col("base_monthly_fee").cast("double").alias("fee"), "metric",
+        F.col("quantity").cast("double").alias("used"), F.col("included").cast("bigint").alias("included"),
+        F.round("percentage", 6).alias("percentage"), "invoices")
+
 
 @query("tk05_last_five", """
 SELECT pipeline_id, event_id, r::int AS position FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY started_at DESC, event_id DESC) AS r FROM runs) WHERE r <= 5""")

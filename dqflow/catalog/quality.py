@@ -11,7 +11,7 @@ from dqflow.operators import assess as A
 from dqflow.operators import profile as P
 from dqflow.operators import remediate as R
 from dqflow.operators import scores as SC
-from dqflow.operators.rules import Rule, RuleSet, glob_column
+from dqflow.operators.rules import Rule, RuleSet, bind_names, glob_column, registry_state
 
 AS_OF = S.CLAIMS_AS_OF
 FIELDS = (
@@ -97,6 +97,30 @@ def qa01(spark, d):
     return names.select("field", lookup[F.col("field")].alias("l")).select("field", F.col("l.u").alias("unique_rules"), F.col("l.n").alias("null_rule"))
 
 
+_COMMANDS = """SELECT 'rule' || (user_id % 40) AS rule, event_id AS seq,
+  CASE event_id % 7 WHEN 0 THEN 'unregister' WHEN 1 THEN 'disable' WHEN 2 THEN 'enable' ELSE 'register' END AS action,
+  CASE event_id % 5 WHEN 0 THEN '*' WHEN 1 THEN 'SRC' || (user_id % 10) || '*' WHEN 2 THEN '*' || (user_id % 10) WHEN 3 THEN '*c' || (user_id % 4) || '*' ELSE 'src' || (user_id % 20) END AS pattern
+FROM events"""
+
+
+@query("qa01_registry_log", f"""
+WITH c AS ({_COMMANDS}), p AS (SELECT * FROM c WHERE action IN ('register', 'unregister') QUALIFY row_number() OVER (PARTITION BY rule ORDER BY seq DESC) = 1),
+s AS (SELECT * FROM c WHERE action IN ('enable', 'disable') QUALIFY row_number() OVER (PARTITION BY rule ORDER BY seq DESC) = 1),
+r AS (SELECT p.rule, replace(lower(p.pattern), '*', '%') AS g FROM p LEFT JOIN s USING (rule) WHERE p.action = 'register' AND (s.seq IS NULL OR s.seq < p.seq OR s.action = 'enable'))
+SELECT rule, name FROM r JOIN (SELECT DISTINCT source AS name FROM documents) ON lower(name) LIKE g""")
+def qa01_log(spark, d):
+    """A registry folded from a log of commands, one per event, bound to the names found in the documents."""
+    event, user = F.col("event_id"), F.col("user_id")
+    pick = lambda n, *c: F.get(F.array(*c), (event % n).cast("int"))
+    text = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    commands = S.table(spark, d, "events").select(
+        text("rule", (user % 40).cast("string")).alias("rule"), event.alias("at"),
+        F.coalesce(pick(7, F.lit("unregister"), F.lit("disable"), F.lit("enable")), F.lit("register")).alias("action"),
+        pick(5, F.lit("*"), text("SRC", (user % 10).cast("string"), "*"), text("*", (user % 10).cast("string")),
+             text("*c", (user % 4).cast("string"), "*"), text("src", (user % 20).cast("string"))).alias("pattern"))
+    return bind_names(registry_state(commands), S.table(spark, d, "documents").select(F.col("source").alias("name")))
+
+
 @query("qa02_binding", """
 SELECT pattern, count(*) AS documents FROM documents, (VALUES ('*'), ('*1*'), ('*9'), ('src1*'), ('SRC7')) p(pattern)
 WHERE CASE pattern WHEN '*' THEN true WHEN '*1*' THEN contains(source, '1') WHEN '*9' THEN source LIKE '%9'

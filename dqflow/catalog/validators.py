@@ -331,6 +331,19 @@ def va25(spark, d):
     return tally(medicaid, "medicaid").unionByName(tally(medicare, "medicare"))
 
 
+@query("va25_medicare_supplies", f"""
+SELECT claim_id, substr(p, 1, 1) AS category, regexp_replace(errors, '(; )?procedure_code: invalid CPT code', '') = '' AND regexp_matches(p, '^[A-HJ-NP-V][0-9]{{4}}$')
+  AND admission_date IS NOT NULL AND ({_DATE} IS NULL OR admission_date <= {_DATE}) AND discharge_date >= admission_date AS valid
+FROM (SELECT *, chr((65 + procedure_code::int % 26)::int) || right(procedure_code, 4) AS p FROM ({_RECORD_ERRORS.replace("claim_id, provider_npi,", "*,")}))""")
+def va25_supplies(spark, d):
+    """Medicare's eight fields on claims billed by HCPCS code: a letter from the code's number, then four digits."""
+    number = F.col("procedure_code").cast("int")
+    rows = record_input(spark, d).withColumn(
+        "procedure_code", F.concat(F.char(65 + number % 26), F.substring("procedure_code", -4, 4)))
+    return C.validate_records(rows, C.MEDICARE_SCHEMA, AS_OF, MIN).select(
+        "claim_id", "valid", F.substring("procedure_code", 1, 1).alias("category"))
+
+
 _ENTITY_FIELDS = {
     "member": ("member_id", "first_name", "last_name", "date_of_birth", "gender"),
     "claim": ("claim_id", "member_id", "provider_npi", "diagnosis_code", "procedure_code", "date_of_service", "claim_amount"),

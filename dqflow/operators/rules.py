@@ -167,6 +167,46 @@ class RuleSet:
         return [(f.name, r) for f in schema.fields for r in self.for_field(f.name, f.dataType)]
 
 
+def registry_state(commands: DataFrame) -> DataFrame:
+    """rule, pattern, enabled: the rules that a log of commands leaves registered.
+
+    ``commands`` has rule, at (orderable, unique per rule), action (register, unregister, enable, disable) and
+    pattern.  A later registration replaces an earlier one and is enabled; enabling and disabling count
+    only after the newest registration.  One combining aggregate per rule: no rule's log is gathered.
+    """
+    place = F.col("action").isin("register", "unregister")
+    switch = F.col("action").isin("enable", "disable")
+    placed, switched = F.max_by(F.struct("at", "action", "pattern"), F.when(place, F.col("at"))), F.max_by(
+        F.struct("at", "action"), F.when(switch, F.col("at")))
+    state = commands.groupBy("rule").agg(placed.alias("p"), switched.alias("s"))
+    return state.where("p.action = 'register'").select(
+        "rule", F.col("p.pattern").alias("pattern"),
+        F.coalesce((F.col("s.at") < F.col("p.at")) | (F.col("s.action") == "enable"), F.lit(True)).alias("enabled"))
+
+
+def bind_names(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """(rule, name) of every enabled rule whose glob pattern fits a name, where both are data.
+
+    Both meet on equal keys: a name offers itself, its prefixes, suffixes and parts, n (n + 1) / 2 of them for
+    n letters.  Names are those of fields, so n is small whatever the tables hold.
+    """
+    on = rules.where("enabled").select("rule", F.lower("pattern").alias("g"))
+    kind = F.when(F.col("g") == "*", "all").when(F.col("g").rlike(r"^\*.*\*$"), "part").when(F.startswith("g", F.lit("*")), "end").when(
+        F.endswith("g", F.lit("*")), "start").otherwise("whole")
+    on = on.select("rule", kind.alias("kind"), F.regexp_replace("g", r"^\*+|\*+$", "").alias("core"))
+    low = names.select("name", F.lower("name").alias("n")).distinct()
+    size = F.length("n")
+    cuts = F.when(size > 0, F.sequence(F.lit(1), size))
+    offers = low.select("name", F.explode(F.array_distinct(F.concat(
+        F.array(F.struct(F.lit("whole").alias("kind"), F.col("n").alias("core")), F.struct(F.lit("all").alias("kind"), F.lit("").alias("core"))),
+        F.coalesce(F.transform(cuts, lambda i: F.struct(F.lit("start").alias("kind"), F.substring("n", F.lit(1), i).alias("core"))), F.array()),
+        F.coalesce(F.transform(cuts, lambda i: F.struct(F.lit("end").alias("kind"), F.substring("n", size - i + 1, i).alias("core"))), F.array()),
+        F.coalesce(F.flatten(F.transform(cuts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda j: F.struct(
+            F.lit("part").alias("kind"), F.substring("n", i, j).alias("core"))))), F.array()),
+    ))).alias("o")).select("name", "o.kind", "o.core")
+    return on.join(offers, ["kind", "core"]).select("rule", "name")
+
+
 def checked_predicate(df: DataFrame, rule: Rule, column: str) -> Column | None:
     """The bound condition, or None when it does not analyse against ``df``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqflow.operators.skew import join_unique
@@ -188,3 +188,52 @@ def next_period(accounts: DataFrame, as_of: dt.date) -> DataFrame:
             "current_period_end": F.when(F.col("due"), end).otherwise(F.col("current_period_end")),
         }
     ).withColumn("next_billing_date", F.date_add("current_period_end", 1))
+
+
+def invoice_history(events: DataFrame, accounts: DataFrame, days: int) -> DataFrame:
+    """One invoice per account and period of ``days`` days that has usage, periods counted from the account's start.
+
+    Allowance and base fee are those of the plan for each period.  Usage before the account's start is not billed.
+    """
+    begun = F.datediff(F.col("timestamp").cast("date"), "current_period_start")
+    start = F.date_add("current_period_start", (F.floor(begun / days) * days).cast("int"))
+    terms = accounts.select("tenant_id", "plan_id", "billing_period", "current_period_start")
+    # Days first: what meets the accounts has one row per tenant, metric and day, not one per event.
+    daily = events.groupBy("tenant_id", "event_type", F.col("timestamp").cast("date").alias("timestamp")).agg(
+        F.sum("quantity").alias("quantity"))
+    used = (
+        join_unique(daily, terms, "tenant_id", "inner").where(begun >= 0)
+        .groupBy("tenant_id", "plan_id", "billing_period", start.alias("period_start"), "event_type")
+        .agg(F.sum("quantity").alias("quantity"))
+    )
+    over = F.greatest(F.col("quantity") - included(), F.lit(Decimal("0")))
+    cost = F.round(over * overage_rate(), 2).cast("decimal(18,2)")
+    fee = F.when(F.col("billing_period") == "annual", plan_fee() * F.lit(ANNUAL)).otherwise(plan_fee()).cast("decimal(18,2)")
+    sums = used.groupBy("tenant_id", "plan_id", "billing_period", "period_start").agg(F.sum(cost).alias("total_usage_cost"))
+    out = sums.withColumn("subtotal", fee + F.coalesce("total_usage_cost", F.lit(Decimal("0.00"))))
+    return out.select(
+        "tenant_id", "period_start", F.date_add("period_start", days - 1).alias("period_end"),
+        F.concat_ws("_", F.lit("inv"), "tenant_id", F.date_format("period_start", "yyyyMMdd")).alias("invoice_id"),
+        (F.col("subtotal") + F.round(F.col("subtotal") * F.lit(TAX), 2).cast("decimal(18,2)")).alias("total_amount"),
+    )
+
+
+def billing_view(events: DataFrame, accounts: DataFrame, days: int, last: int = 5) -> DataFrame:
+    """One row per account: its terms, usage against limits per metric, and its ``last`` newest invoices, newest first.
+
+    Accounts without usage have empty arrays.  ``last`` bounds what is gathered per account; the rank is
+    filtered per task before the invoices travel.
+    """
+    newest = Window.partitionBy("tenant_id").orderBy(F.desc("period_start"))
+    recent = (
+        invoice_history(events, accounts, days).withColumn("position", F.row_number().over(newest)).where(F.col("position") <= last)
+        .groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct(
+            "position", "invoice_id", "period_start", "period_end", "total_amount"))).alias("recent_invoices"))
+    )
+    use = with_plan(usage_by(events, "tenant_id"), accounts).groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("event_type").alias("metric"), "quantity", included().alias("included"), usage_percentage().alias("percentage")))).alias("usage"))
+    none = lambda c, df: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
+    return accounts.join(use, "tenant_id", "left").join(recent, "tenant_id", "left").select(
+        "tenant_id", "plan_id", "billing_period", "current_period_start", "current_period_end",
+        F.date_add("current_period_end", 1).alias("next_billing_date"), plan_fee().alias("base_monthly_fee"),
+        none("usage", use), none("recent_invoices", recent))

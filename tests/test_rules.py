@@ -90,3 +90,19 @@ def test_settled_documents(spark, sf):
     assert "completeness" in export_document(doc, "json")
     with pytest.raises(ValueError):
         export_document(doc, "xml")
+
+
+def test_registry_folded_from_commands(spark):
+    """Unregistered rules go; a later registration replaces the pattern and is enabled; disabled rules bind nothing."""
+    from dqflow.operators.rules import bind_names, glob_matches, registry_state
+
+    log = spark.createDataFrame(
+        [("a", 1, "register", "x*"), ("a", 2, "disable", None), ("a", 3, "register", "*Y*"), ("b", 1, "register", "*"), ("b", 2, "disable", None),
+         ("c", 1, "register", "*z"), ("c", 2, "unregister", None), ("d", 1, "enable", None), ("e", 1, "register", "xyz"), ("e", 2, "disable", None),
+         ("e", 3, "enable", None), ("f", 1, "register", "XY*")], "rule string, at int, action string, pattern string")
+    state = {r["rule"]: (r["pattern"], r["enabled"]) for r in registry_state(log).collect()}
+    assert state == {"a": ("*Y*", True), "b": ("*", False), "e": ("xyz", True), "f": ("XY*", True)}
+    names = ["xyz", "XY", "y", "yx", "", "zz", "xyz"]
+    got = bind_names(registry_state(log), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    want = {(r, n) for r, (p, on) in state.items() if on for n in names if glob_matches(p, n)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -186,3 +186,23 @@ def test_snapshot_quarantines_the_batch(spark, tmp_path):
     spark.range(2).write.parquet(path)
     registry.react(spark.range(3), path, {"compatibility": "breaking", "status": "x"}, "snapshot", dt.datetime(2024, 1, 1))
     assert spark.read.parquet(path).count() == 2 and spark.read.parquet(f"{path}_quarantine").count() == 3
+
+
+def test_billing_view_keeps_the_newest_invoices(spark):
+    """Seven periods give the five newest, newest first; an account without usage has none; early usage is not billed."""
+    from decimal import Decimal
+
+    from dqflow.operators import usage as U
+
+    acc = spark.createDataFrame(
+        [("t1", "starter", "monthly", dt.date(2024, 1, 1), dt.date(2024, 1, 31)), ("t2", "starter", "monthly", dt.date(2024, 1, 1), dt.date(2024, 1, 31))],
+        "tenant_id string, plan_id string, billing_period string, current_period_start date, current_period_end date")
+    metric = U.METRICS[0]
+    days = [dt.datetime(2023, 12, 30)] + [dt.datetime(2024, 1, 1 + 3 * i + i % 3, 5) for i in range(7)]
+    use = spark.createDataFrame(
+        [("t1", metric, Decimal(1), t) for t in days], "tenant_id string, event_type string, quantity decimal(18,6), timestamp timestamp")
+    rows = {r["tenant_id"]: r for r in U.billing_view(use, acc, 3).collect()}
+    assert [i["period_start"] for i in rows["t1"]["recent_invoices"]] == [dt.date(2024, 1, 1 + 3 * i) for i in (6, 5, 4, 3, 2)]
+    assert rows["t1"]["recent_invoices"][0]["period_end"] == dt.date(2024, 1, 21)
+    assert [u["quantity"] for u in rows["t1"]["usage"]] == [Decimal(8)]
+    assert rows["t2"]["recent_invoices"] == [] and rows["t2"]["usage"] == [] and rows["t2"]["next_billing_date"] == dt.date(2024, 2, 1)
