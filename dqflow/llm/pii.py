@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqflow.llm.common import let, saved, span_text, spans, text_of, without
+from dqflow.llm.common import dropped, let, saved, span_text, spans, text_of, without
+from dqflow.operators.skew import join_unique
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns; possessive quantifiers and look-behinds bound backtracking and match the same places.
@@ -41,20 +44,29 @@ def _good(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """Personal data by kind as listed, then start: array<struct<start, end, order, kind>>."""
+def _found(text: Column, make) -> Column:
+    """``make(order, kind, match)`` of all personal data, by kind as listed, then start."""
     def of(i, kind):
         hint = F.contains(text, F.lit(HINTS[kind])) if len(HINTS[kind]) == 1 else F.rlike(text, F.lit(HINTS[kind]))
-        found = F.transform(
-            F.filter(spans(text, F.lit(PATTERNS[kind])), lambda s: _good(kind, s["hit"])),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("order"), F.lit(kind).alias("kind")))
-        return F.when(hint, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+        hits = F.filter(spans(F.when(hint, text).otherwise(""), F.lit(PATTERNS[kind])), lambda s: _good(kind, s["hit"]))
+        return F.transform(hits, lambda s: make(i, kind, s))
 
     return F.flatten(F.array(*[of(i, k) for i, k in enumerate(KINDS)]))
 
 
-def _kinds_of(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda s: s["kind"]))
+def base_spans(text: Column) -> Column:
+    """Personal data by kind as listed, then start: array<struct<start, end, order, kind>>."""
+    return _found(text, lambda i, kind, s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("order"), F.lit(kind).alias("kind")))
+
+
+def entities(text: Column) -> Column:
+    """The protected entities, told apart by a hash of the address or of the digits: array<struct<kind, value>>."""
+    def entity(_, kind, s):
+        same = {"email": F.lower, "ip": lambda h: h}.get(kind, lambda h: F.regexp_replace(h, "[^0-9]", ""))
+        return F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), same(s["hit"])).alias("value"))
+
+    return F.array_distinct(_found(text, entity))
 
 
 def _outside(text: Column) -> Column:
@@ -68,61 +80,96 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(docs: DataFrame, support=20, generalise=0.5, remove=0.8) -> DataFrame:
-    """term, kind, level: terms whose co-occurrence with a kind of personal data tells too much of it.
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """_hash, _size, _terms, _targets of every different text: a target is an entity, or (kind, 0) for its kind.
 
-    ``docs`` has _text and _kinds.  Over all documents, p(kind | term) and p(kind) give the information
-    that the term carries about the kind, PMI = log2 p(kind | term) - log2 p(kind), out of the kind's own
-    IC = -log2 p(kind).  From ``generalise`` of it a term is generalised, from ``remove`` of it removed.
-    A term counts once per document; fewer than ``support`` joint documents estimate nothing.
+    Copies are no evidence of their own, so equal texts (64-bit hash and length) count once.
     """
-    marked = docs.select(
-        _terms(F.when(F.size("_kinds") > 0, _outside(F.col("_text"))).otherwise(F.col("_text"))).alias("_terms"), "_kinds")
-    flag = {k: F.count_if(F.array_contains("_kinds", k)) for k in KINDS}
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), *[c.alias(f"n_{k}") for k, c in flag.items()]).first()
-    counts = (
-        marked.select(F.explode("_terms").alias("term"), "_kinds").groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), *[c.alias(f"df_{k}") for k, c in flag.items()])
-        .where(F.greatest(*[F.col(f"df_{k}") for k in KINDS]) >= support)
-    )
-    pairs = counts.withColumn("all", F.lit(totals["n"])).select("term", "all", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(f"df_{k}").alias("both"), F.lit(totals[f"n_{k}"]).alias("of_kind"),
-                 F.col("df").alias("of_term")) for k in KINDS])).alias("x")).select("term", "all", "x.*")
-    information = F.log2(F.col("all").cast("double") / F.col("of_kind"))
-    pmi = F.log2(F.col("both").cast("double") * F.col("all") / (F.col("of_kind").cast("double") * F.col("of_term")))
+    rows = docs.select(text_of(text_col).alias("_text")).where("_text <> ''")
+    held = rows.select("_text", F.inline(F.array(F.struct(entities(F.col("_text")).alias("_entities")))))
+    kinds = F.array_distinct(F.transform("_entities", lambda e: F.struct(e["kind"].alias("kind"), F.lit(0).cast("bigint").alias("value"))))
+    return held.select(
+        F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_size"),
+        _terms(F.when(F.size("_entities") > 0, _outside(F.col("_text"))).otherwise(F.col("_text"))).alias("_terms"),
+        F.concat(kinds, "_entities").alias("_targets")).dropDuplicates(["_hash", "_size"])
+
+
+def _held_targets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The targets of two texts or more with their count, and the texts that hold one with their terms and such targets."""
+    long = texts.select("_hash", "_size", F.explode("_targets").alias("t")).select("_hash", "_size", "t.*")
+    targets = saved(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("of_target")).where("of_target >= 2"), "pii-targets")
+    lists = join_unique(long, targets.select("kind", "value"), ["kind", "value"], "inner").groupBy("_hash", "_size").agg(
+        F.collect_list(F.struct("kind", "value")).alias("_held"))
+    return targets, saved(texts.select("_hash", "_size", "_terms").join(lists, ["_hash", "_size"]), "pii-held", "zstd")
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(text, term, target) rows; one generator after the other, so that no task holds a text's pairs."""
+    by_target = held.select("_hash", "_size", "_terms", F.explode("_held").alias("t"))
+    return by_target.select("_hash", "_size", "t.kind", "t.value", F.explode("_terms").alias("term"))
+
+
+def _telling(texts: DataFrame, targets: DataFrame, held: DataFrame, alpha: float, generalise: float, remove: float) -> DataFrame:
+    terms = saved(texts.select(F.explode("_terms").alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("of_term")).where("of_term >= 2"), "pii-df")
+    pairs = saved(_pairs(held).groupBy("term", "kind", "value").agg(F.count(F.lit(1)).alias("both")).where("both >= 2"), "pii-pairs")
+    n, tests = texts.count(), terms.count() * targets.count()
+    of_term, of_target, both = (F.col(c).cast("double") for c in ("of_term", "of_target", "both"))
+    p, seen = of_target / n, both / of_term
+    information, pmi = -F.log(p), F.log(seen / p)
+    # Chernoff's bound on the chance of so many joint texts among independent ones.
+    rest = F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - p))).otherwise(0.0)
+    evidence = of_term * (seen * pmi + rest)
+    known = join_unique(join_unique(pairs, terms, "term", "inner"), targets.where(F.col("of_target") < n), ["kind", "value"], "inner")
     return (
-        pairs.where((F.col("both") >= support) & (F.col("of_kind") < F.col("all")))
-        .withColumn("share", pmi / information).where(F.col("share") >= generalise)
-        .select("term", "kind", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("level"))
+        known.withColumn("share", pmi / information)
+        .where((F.col("share") >= generalise) & (evidence >= math.log(max(tests, 1) / alpha)))
+        .select("term", "kind", "value", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("level"),
+                ((F.col("value") != 0) & (2 * F.col("both") >= F.col("of_term"))).alias("certain"))
     )
 
 
-def find_private(docs: DataFrame, id_col="doc_id", text_col="text", support=20, generalise=0.5, remove=0.8) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col="text", alpha=0.05, generalise=0.5, remove=0.8) -> DataFrame:
+    """term, kind, value, level, certain: terms whose co-occurrence with a protected entity, or a kind, tells too much of it.
+
+    Targets are the entities themselves (``value`` is their hash: one address, one number) and the four kinds
+    (``value`` 0).  Over all different texts, p(target | term) and p(target) give the information that the term
+    carries about the target, PMI = log p(target | term) - log p(target), out of the target's own
+    IC = -log p(target).  From ``generalise`` of it a term is generalised, from ``remove`` of it removed, if the
+    joint texts are significant: Chernoff's bound stays below ``alpha`` divided by the number of (term, target)
+    tests.  A single text shows no co-occurrence.  A term is ``certain`` of an entity that half of its texts hold.
+    """
+    texts = saved(_texts(docs, text_col), "pii-texts", "zstd")
+    return _telling(texts, *_held_targets(texts), alpha, generalise, remove)
+
+
+def find_private(docs: DataFrame, text_col="text", alpha=0.05, generalise=0.5, remove=0.8) -> DataFrame:
     """``docs`` with spans: array<struct<start, end, order, kind>>, base kinds first, then term:generalise and term:remove.
 
-    Terms are sought only in documents that hold the kind they disclose.  Rows with one id, null included, are
-    told apart by their text.  Null and empty texts have no spans; an empty table gives no rows; columns
-    named like the results are replaced.
+    A telling term is marked in every document that holds the entity or kind it tells; a term that is certain
+    of an entity also in all others, where the entity is absent or spelled differently.  A term with several levels
+    takes the stronger one.  Null and empty texts have no spans, whatever their ids; repeated rows get the same
+    spans; an empty table gives no rows; columns named like the results are replaced.
     """
-    kept = without(docs, "spans", "_text", "_base", "_kinds")
-    found = kept.withColumn("_text", text_of(text_col)).select("*", F.inline(F.array(F.struct(base_spans(F.col("_text")).alias("_base")))))
-    found = found.withColumn("_kinds", _kinds_of(F.col("_base")))
-    telling = saved(disclosing_terms(found.select("_text", "_kinds"), support, generalise, remove), "pii-terms")
-    # Only documents with personal data meet the term list, one row per (document, term).
-    private = found.where(F.size("_kinds") > 0).select(
-        F.col(id_col).alias("_id"), F.xxhash64("_text").alias("_hash"), "_kinds",
-        F.explode(_terms(_outside(F.col("_text")))).alias("term"))
-    per_doc = (
-        private.join(telling, "term").where(F.array_contains("_kinds", F.col("kind")))
-        .groupBy("_id", "_hash", "term").agg(F.max("level").alias("level"))
-        .groupBy("_id", "_hash").agg(F.collect_list(F.struct("term", "level")).alias("_telling"))
-    ).hint("shuffle_hash")
-    plain, some = found.where(F.size("_kinds") == 0), found.where(F.size("_kinds") > 0)
-    some = some.withColumn("_hash", F.xxhash64("_text"))
-    joined = some.join(per_doc, some[id_col].eqNullSafe(per_doc["_id"]) & (some["_hash"] == per_doc["_hash"]), "left").drop("_id", "_hash")
+    texts = saved(_texts(docs, text_col), "pii-texts", "zstd")
+    targets, held = _held_targets(texts)
+    telling = saved(_telling(texts, targets, held, alpha, generalise, remove), "pii-terms")
+    certain = telling.where("certain").groupBy("term").agg(F.max("level").alias("level"))
+    words = texts.select("_hash", "_size", F.explode("_terms").alias("term"))
+    marks = join_unique(words, certain, "term", "inner").unionByName(join_unique(
+        _pairs(held), telling.drop("certain"), ["term", "kind", "value"], "inner").drop("kind", "value"))
+    per_text = saved(
+        marks.groupBy("_hash", "_size", "term").agg(F.max("level").alias("level"))
+        .groupBy("_hash", "_size").agg(F.collect_list(F.struct("term", "level")).alias("_telling")), "pii-found")
+    for step in (texts, held):
+        dropped(step)
+    t = text_of(text_col)
+    kept = without(docs, "spans", "_text", "_hash", "_size", "_base", "_telling").withColumns({"_hash": F.xxhash64(t), "_size": F.length(t)})
+    met = join_unique(kept, per_text, ["_hash", "_size"], "left", source=kept.select("_hash", "_size")).drop("_hash", "_size").withColumn("_text", t)
+    found = met.select("*", F.inline(F.array(F.struct(base_spans(F.col("_text")).alias("_base")))))
     levels = F.map_from_entries("_telling")
     inside = lambda s: F.exists("_base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    words = let(F.transform("_telling", lambda t: t["term"]), lambda terms: F.filter(
+    words = let(F.transform("_telling", lambda x: x["term"]), lambda terms: F.filter(
         F.transform(spans(F.col("_text"), F.lit(TERM)), lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lower(s["hit"]).alias("term"))),
         lambda s: F.array_contains(terms, s["term"])))
@@ -134,16 +181,15 @@ def find_private(docs: DataFrame, id_col="doc_id", text_col="text", support=20,
     extra = F.when(F.col("_telling").isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(
         F.array_sort(added, lambda a, b: F.when(a["order"] != b["order"], a["order"] - b["order"]).otherwise(
             F.signum(a["start"] - b["start"]).cast("int"))))
-    out = joined.withColumn("spans", F.concat("_base", extra)).drop("_telling")
-    return out.unionByName(plain.withColumn("spans", F.col("_base"))).drop("_text", "_base", "_kinds")
+    return found.withColumn("spans", F.concat("_base", extra)).drop("_telling", "_text", "_base")
 
 
-def sanitize(docs: DataFrame, id_col="doc_id", text_col="text", **thresholds) -> DataFrame:
+def sanitize(docs: DataFrame, text_col="text", **thresholds) -> DataFrame:
     """``find_private`` and sanitized: base kinds become [EMAIL], [IP], ..., generalised terms [TERM], removed terms go.
 
     Overlapping spans are replaced once, by the first in the text (the longest of those with one start).
     """
-    found = find_private(docs, id_col, text_col, **thresholds)
+    found = find_private(docs, text_col, **thresholds)
     t = text_of(text_col)
     by_place = F.array_sort(F.col("spans"), lambda a, b: F.when(
         a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(b["end"] - a["end"]).cast("int")))
