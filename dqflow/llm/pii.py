@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqflow.llm.common import dropped, let, saved, span_text, spans, text_of, without
+from dqflow.llm.common import dropped, let, released, saved, span_text, spans, text_of, without
 from dqflow.operators.skew import join_unique
 
 KINDS = ("email", "ip", "card", "phone")
@@ -88,10 +88,12 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     rows = docs.select(text_of(text_col).alias("_text")).where("_text <> ''")
     held = rows.select("_text", F.inline(F.array(F.struct(entities(F.col("_text")).alias("_entities")))))
     kinds = F.array_distinct(F.transform("_entities", lambda e: F.struct(e["kind"].alias("kind"), F.lit(0).cast("bigint").alias("value"))))
-    return held.select(
-        F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_size"),
-        _terms(F.when(F.size("_entities") > 0, _outside(F.col("_text"))).otherwise(F.col("_text"))).alias("_terms"),
+    terms = _terms(F.when(F.size("_entities") > 0, _outside(F.col("_text"))).otherwise(F.col("_text")))
+    # Terms hold no blanks: joined to one string they travel in half the space of an array.
+    single = held.select(
+        F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_size"), F.array_join(terms, " ").alias("_terms"),
         F.concat(kinds, "_entities").alias("_targets")).dropDuplicates(["_hash", "_size"])
+    return single.withColumn("_terms", F.when(F.col("_terms") != "", F.split("_terms", " ")).otherwise(F.array().cast("array<string>")))
 
 
 def _held_targets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,6 +154,7 @@ def find_private(docs: DataFrame, text_col="text", alpha=0.05, generalise=0.5, r
     spans; an empty table gives no rows; columns named like the results are replaced.
     """
     texts = saved(_texts(docs, text_col), "pii-texts", "zstd")
+    released(docs.sparkSession)
     targets, held = _held_targets(texts)
     telling = saved(_telling(texts, targets, held, alpha, generalise, remove), "pii-terms")
     certain = telling.where("certain").groupBy("term").agg(F.max("level").alias("level"))
@@ -163,6 +166,7 @@ def find_private(docs: DataFrame, text_col="text", alpha=0.05, generalise=0.5, r
         .groupBy("_hash", "_size").agg(F.collect_list(F.struct("term", "level")).alias("_telling")), "pii-found")
     for step in (texts, held):
         dropped(step)
+    released(docs.sparkSession)
     t = text_of(text_col)
     kept = without(docs, "spans", "_text", "_hash", "_size", "_base", "_telling").withColumns({"_hash": F.xxhash64(t), "_size": F.length(t)})
     met = join_unique(kept, per_text, ["_hash", "_size"], "left", source=kept.select("_hash", "_size")).drop("_hash", "_size").withColumn("_text", t)
