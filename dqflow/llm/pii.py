@@ -102,7 +102,8 @@ def _held_targets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     targets = saved(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("of_target")).where("of_target >= 2"), "pii-targets")
     lists = join_unique(long, targets.select("kind", "value"), ["kind", "value"], "inner").groupBy("_hash", "_size").agg(
         F.collect_list(F.struct("kind", "value")).alias("_held"))
-    return targets, saved(texts.select("_hash", "_size", "_terms").join(lists, ["_hash", "_size"]), "pii-held", "zstd")
+    holders = texts.where(F.size("_targets") > 0).select("_hash", "_size", "_terms")
+    return targets, saved(holders.join(lists, ["_hash", "_size"]), "pii-held", "zstd")
 
 
 def _pairs(held: DataFrame) -> DataFrame:
