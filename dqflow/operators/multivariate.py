@@ -281,35 +281,57 @@ def density_noise(df: DataFrame, fields, eps: float = 0.5, min_samples: int = 5)
     )
 
 
-#: Finer cells per side that settle most pairs of cells without looking at points.
-FINER = 4
+#: A box is cut into so many finer ones per side (a power of two, so that boxes nest exactly), at most so many times.
+FINER, LEVELS = 4, 3
 
 
-def linked_cells(core: DataFrame, g: Density) -> DataFrame:
-    """Pairs (a, b) of numbered core cells that hold core points within ``eps`` of each other.
+def cell_labels(core: DataFrame, g: Density) -> DataFrame:
+    """node, label (the smallest number of its component) of the numbered core cells that are linked to others.
 
-    ``core`` has x0.., c0.. and ``cell``.  Pairs of neighbouring cells are compared by their occupied finer cells (at most
-    ``FINER``^d each): boxes that lie within ``eps`` as a whole link them, boxes further apart are done with.  Only
-    for pairs that are still open do the points of the undecided boxes meet.
+    Two cells are linked when they hold core points within ``eps`` of each other.  ``core`` has x0.., c0.. and ``cell``.
+    Pairs of neighbouring cells are compared by their occupied boxes: boxes that lie within ``eps`` as a whole link
+    them, boxes further apart are done with.  What then is open is looked at through finer boxes, and their points
+    meet in the end, but only between cells that are not in one component yet: no other pair can change a label.
     """
-    finer, side = [f"f{i}" for i in range(len(g.xs))], g.side / FINER
-    core = core.withColumns({f: F.floor(F.col(x) / side).cast("long") for f, x in zip(finer, g.xs)})
+    from dqflow.operators.graph import components
+
     ids = core.select(*g.cells, "cell").distinct()
-    pairs = g.neighbours.join(ids.withColumnRenamed("cell", "a"), g.cells).join(
+    open_pairs = g.neighbours.join(ids.withColumnRenamed("cell", "a"), g.cells).join(
         ids.select(*[F.col(c).alias(f"_{c}") for c in g.cells], F.col("cell").alias("b")), [f"_{c}" for c in g.cells]).where("a < b").select("a", "b")
-    boxes = core.select("cell", *finer).distinct()
-    other = boxes.select(F.col("cell").alias("b"), *[F.col(f).alias(f"_{f}") for f in finer])
-    met = pairs.join(boxes.withColumnRenamed("cell", "a"), "a").join(other, "b")
-    far = [F.abs(F.col(f) - F.col(f"_{f}")) + 1 for f in finer]
-    whole = reduce(lambda p, q: p + q, [x * x for x in far]) * (side * side) <= g.eps * g.eps * (1 - 1e-9)
-    met = stored_layer(met.where(gap_within([F.col(f) for f in finer], [F.col(f"_{f}") for f in finer], g.eps, side)).withColumn("whole", whole), "density-boxes")
-    linked = met.where("whole").select("a", "b").distinct()
-    still = met.join(linked, ["a", "b"], "left_anti").select("a", "b", *finer, *[f"_{f}" for f in finer])
-    mine = core.select(F.col("cell").alias("a"), *finer, *g.xs)
-    theirs = core.select(F.col("cell").alias("b"), *[F.col(f).alias(f"_{f}") for f in finer], *[F.col(x).alias(f"_{x}") for x in g.xs])
+    linked, labels, held = None, None, []
+    for level in range(1, LEVELS + 1):
+        side = g.side / FINER**level
+        boxes = [f"f{level}_{i}" for i in range(len(g.xs))]
+        # The boxes of the level before, by which open pairs are known, and those within them.
+        fine = core.select("cell", *[F.floor(F.col(x) / side).cast("long").alias(f) for f, x in zip(boxes, g.xs)]).distinct()
+        fine = fine.withColumns({h: F.floor(F.col(f) / FINER).cast("long") for h, f in zip(held, boxes)})
+        other = fine.select(F.col("cell").alias("b"), *[F.col(c).alias(f"_{c}") for c in [*held, *boxes]])
+        met = open_pairs.join(fine.withColumnRenamed("cell", "a"), ["a", *held]).join(other, ["b", *[f"_{h}" for h in held]])
+        far = [F.abs(F.col(f) - F.col(f"_{f}")) + 1 for f in boxes]
+        whole = reduce(lambda p, q: p + q, [x * x for x in far]) * (side * side) <= g.eps * g.eps * (1 - 1e-9)
+        near = gap_within([F.col(f) for f in boxes], [F.col(f"_{f}") for f in boxes], g.eps, side)
+        met = stored_layer(met.where(near).select("a", "b", *boxes, *[f"_{f}" for f in boxes], whole.alias("whole")), "density-boxes")
+        found = met.where("whole").select("a", "b").distinct()
+        linked = found if linked is None else linked.unionByName(found)
+        labels = stored_layer(components(linked), "density-labels")
+        held = boxes
+        open_pairs = stored_layer(apart(met.where("NOT whole").drop("whole"), labels), "density-open")
+        if open_pairs.isEmpty():
+            return labels
+    mine = core.select(F.col("cell").alias("a"), *[F.floor(F.col(x) / side).cast("long").alias(f) for f, x in zip(held, g.xs)], *g.xs)
+    theirs = mine.select(F.col("a").alias("b"), *[F.col(c).alias(f"_{c}") for c in [*held, *g.xs]])
     distance = reduce(lambda p, q: p + q, [(F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in g.xs])
-    close = still.join(mine, ["a", *finer]).join(theirs, ["b", *[f"_{f}" for f in finer]]).where(distance <= g.eps * g.eps).select("a", "b").distinct()
-    return linked.unionByName(close)
+    close = open_pairs.join(mine, ["a", *held]).join(theirs, ["b", *[f"_{h}" for h in held]]).where(distance <= g.eps * g.eps)
+    return components(linked.unionByName(close.select("a", "b").distinct()))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) of cells that are not in one component."""
+    out = pairs
+    for end in ("a", "b"):
+        out = out.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_label_{end}")), end, "left")
+    same = F.coalesce("_label_a", "a") == F.coalesce("_label_b", "b")
+    return out.where(~same).select(*pairs.columns)
 
 
 def density_clusters(df: DataFrame, fields, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -319,13 +341,11 @@ def density_clusters(df: DataFrame, fields, eps: float = 0.5, min_samples: int =
     number is the smallest cell number (a hash) of the component.  A point that is no core point belongs to the
     cluster of a core point within ``eps``, the smallest number if there are several.
     """
-    from dqflow.operators.graph import components
-
     g = Density(df, fields, eps, min_samples)
     judged = stored_layer(g.judged.select(*g.xs, *g.cells, "w", "core"), "density-judged")
     core = g.marked.where("NOT sparse").select(*g.xs, *g.cells, "w").unionByName(judged.where("core").drop("core"))
     core = stored_layer(core.withColumn("cell", F.xxhash64(*g.cells)), "density-core")
-    labels = components(linked_cells(core, g)).select(F.col("node").alias("cell"), "label")
+    labels = cell_labels(core, g).select(F.col("node").alias("cell"), "label")
     numbered = join_unique(core, labels, "cell").withColumn("cluster", F.coalesce("label", "cell"))
     border = judged.where("NOT core")
     reached = join_unique(numbered.select(*g.xs, *g.cells, "cluster"), g.around(border), g.cells, "inner").select(

@@ -54,3 +54,28 @@ def test_components_of_paths_and_cycles(spark):
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 200: 200}
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_points_of_one_component_do_not_meet(spark, monkeypatch):
+    """A connected mass is settled by boxes: no pair of its points is left, however dense it is."""
+    rng = np.random.default_rng(6)
+    rows = [tuple(map(float, r)) for r in rng.uniform(0, 1, (4000, 2))]
+    left, stored = [], M.stored_layer
+
+    def counting(df, name):
+        out = stored(df, name)
+        left.extend([out.count()] if name == "density-open" else [])
+        return out
+
+    monkeypatch.setattr(M, "stored_layer", counting)
+    got = M.density_clusters(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
+    assert got.agg(F.count_distinct("cluster")).first()[0] == 1
+    assert left == [0]
+
+
+def test_near_masses_stay_apart_and_touching_ones_join(spark):
+    """Two dense lines a distance of 2 apart (standardised): boxes of every level leave pairs open, the points decide."""
+    df = spark.createDataFrame([(x, y / 400) for x in (0.0, 1.0) for y in range(400)], "a double, b double")
+    for eps, clusters in ((2 / 1.01, 2), (2 / 0.99, 1)):
+        got = M.density_clusters(df, ["a", "b"], eps=eps)
+        assert got.agg(F.count_distinct("cluster")).first()[0] == clusters
