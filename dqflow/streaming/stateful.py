@@ -1,18 +1,19 @@
 """Keyed stream operators whose result does not depend on how a feed is cut into micro-batches.
 
-Rows wait in their key's state until the watermark has passed them, then they
-are handled in event-time order together with the key's memory.  A timer on
-the earliest waiting row wakes the key when no new row arrives, and a second
-use of the same timer drops memory that has expired.  State holds at most the
-rows of one watermark delay per key.
+Rows wait in state until the watermark has passed them, then they are handled in
+event-time order together with their key's memory.  Keys are dealt to buckets by
+hash and a bucket shares one state and one timer, so a call handles many keys at
+once.  The timer on the earliest waiting row wakes a bucket when no new row
+arrives, and otherwise drops memory that has expired.  State holds at most the
+rows of one watermark delay.
 """
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -26,7 +27,9 @@ from dqflow.streaming.windows import event_time
 # Python workers get the functions below by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STATE = "waiting binary, memory string"
+STATE = "waiting binary, memory binary"
+#: Buckets that keys are dealt to.  A checkpoint belongs to one number of buckets.
+BUCKETS = 1024
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
@@ -45,46 +48,61 @@ def _millis(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64") // 1000
 
 
-def _split_at_pauses(rows: pd.DataFrame, ts: str, longest: int) -> list[pd.DataFrame]:
-    group = (_millis(rows[ts]).diff() > longest).cumsum()
-    return [part for _, part in rows.groupby(group.to_numpy(), sort=True)]
+def _in_parts(keys: list, rows: pd.DataFrame, ts: str, order: list, longest: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by key and order, where each part begins, whether it is its key's first one, and every row's part.
+
+    A pause longer than the memory lasts splits the rows of a key, whether or not a timer has come between them.
+    """
+    number = rows.groupby(keys, dropna=False, sort=False).ngroup()
+    rows = rows.assign(_key=number).sort_values(["_key", *order], kind="stable")
+    other = (rows.pop("_key").diff() != 0).to_numpy()
+    new = other | (_millis(rows[ts]).diff() > longest).to_numpy()
+    begins = np.flatnonzero(new)
+    return rows, begins, other[begins], new.cumsum() - 1
 
 
-def in_event_order(stream: DataFrame, keys, ts: str, order: list, delay: str, fold: Callable, output: str, keep_ms: int) -> DataFrame:
-    """``fold(key, memory, rows)`` per key over its rows in order of ``order``, each exactly once.
+def in_event_order(stream: DataFrame, keys, ts: str, order: list, delay: str, fold: Callable, output: str, keep_ms: int,
+                   buckets: int = BUCKETS) -> DataFrame:
+    """``fold(rows, part, memory)`` over the rows of many keys, each row exactly once and in order of ``order`` within its key.
 
-    ``memory`` is a JSON-like dict (empty at first) that ``fold`` returns beside the output rows; it holds ``until``, the
-    event time in milliseconds from which it is no longer needed, set here to the last row's time plus ``keep_ms``.
+    ``part`` numbers the key of every row (rows of a key follow each other; a long pause makes it another part) and
+    ``memory`` has one value or None for each part: what ``fold`` returned for the key before.  It returns the output
+    rows and the values to remember.  These are needed until ``keep_ms`` after the key's last row.
     Rows later than the watermark are dropped by it; rows it has not passed yet stay in state.  Rows with a
     NULL time never become due and are dropped as well.
     """
-    def handle(key, frames, state):
+    keys, columns = list(keys), stream.columns
+
+    def handle(bucket, frames, state):
         mark = state.getCurrentWatermarkMs()
         waiting, memory = state.get if state.exists else (None, None)
-        memory = json.loads(memory) if memory else {}
-        parts = [*([_unpacked(waiting)] if waiting else []), *[f for f in frames if len(f)]]
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+        memory = _unpacked(memory) if memory else pd.DataFrame(columns=[*keys, "value", "until"])
+        parts = [*([_unpacked(waiting)] if waiting else []), *[f[columns] for f in frames if len(f)]]
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
         if len(rows):
             rows = rows[rows[ts].notna()]
             due = _millis(rows[ts]) < mark
-            ready, rows = rows[due].sort_values(order, kind="stable"), rows[~due]
-            # A pause longer than the memory lasts splits the rows, whether or not a timer has come between them.
-            for part in _split_at_pauses(ready, ts, keep_ms) if len(ready) else []:
-                first, last = (int(_millis(part[ts]).iloc[i]) for i in (0, -1))
-                memory, out = fold(key, memory if memory.get("until", first) >= first else {}, part)
-                memory["until"] = last + keep_ms
+            ready, rows = rows[due], rows[~due]
+            if len(ready):
+                ready, begins, first, part = _in_parts(keys, ready, ts, order, keep_ms)
+                times, ends = _millis(ready[ts]).to_numpy(), np.append(begins[1:], len(ready)) - 1
+                owners = ready[keys].iloc[begins].reset_index(drop=True)
+                known = owners.merge(memory.astype({"value": object}), "left", keys) if len(memory) else owners.assign(value=None, until=None)
+                live = first & (pd.to_numeric(known["until"]).to_numpy(dtype=float) >= times[begins])
+                out, values = fold(ready, part, [v if ok else None for v, ok in zip(known["value"], live)])
+                fresh = owners.assign(value=pd.Series(values, dtype=object), until=times[ends] + keep_ms)
+                fresh = fresh[np.append(first[1:], True)]
+                memory = pd.concat([fresh, memory.astype({"value": object})]).drop_duplicates(keys) if len(memory) else fresh
                 yield out
-        if len(rows):
-            state.update((_packed(rows), json.dumps(memory)))
-            state.setTimeoutTimestamp(max(mark, int(_millis(rows[ts]).min())))
-        elif memory.get("until", -1) >= mark:
-            state.update((None, json.dumps(memory)))
-            state.setTimeoutTimestamp(memory["until"])
+        memory = memory[memory["value"].notna() & (memory["until"] >= mark)]
+        if len(rows) or len(memory):
+            state.update((_packed(rows) if len(rows) else None, _packed(memory) if len(memory) else None))
+            state.setTimeoutTimestamp(max(mark, int(_millis(rows[ts]).min())) if len(rows) else int(memory["until"].min()))
         elif state.exists:
             state.remove()
 
-    marked = event_time(stream, ts, delay)
-    return marked.groupBy(*keys).applyInPandasWithState(handle, output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    marked = event_time(stream, ts, delay).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return marked.groupBy("_bucket").applyInPandasWithState(handle, output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def suppress_stream(alerts: DataFrame, keys, ts: str, event: str, delay: str, minutes: int = 60) -> DataFrame:
@@ -95,18 +113,20 @@ def suppress_stream(alerts: DataFrame, keys, ts: str, event: str, delay: str, mi
     keys = list(keys)
     quiet = QUIET
 
-    def fold(key, memory, rows):
+    def fold(rows, part, memory):
         times = rows[ts].astype("datetime64[us]")
-        micros = times.astype("int64")
-        before = micros.shift(1)
-        if "last" in memory:
-            before.iloc[0] = memory["last"]
-        hour = times.dt.hour
+        micros = times.astype("int64").to_numpy()
+        begins = np.flatnonzero(np.diff(part, prepend=-1))
+        known = np.array([m is not None for m in memory])
+        gap = np.diff(micros, prepend=0)
+        gap[begins] = [t - m if m is not None else 0 for t, m in zip(micros[begins], memory)]
+        seen = np.ones(len(rows), bool)
+        seen[begins] = known
+        hour = times.dt.hour.to_numpy()
         out = pd.DataFrame({
             **{k: rows[k].to_numpy() for k in keys}, event: rows[event].to_numpy(), ts: rows[ts].to_numpy(),
-            "suppressed": (micros - before <= minutes * 60_000_000).to_numpy(),
-            "quiet_hours": ((hour >= quiet[0]) | (hour < quiet[1])).to_numpy()})
-        return {"last": int(micros.iloc[-1])}, out
+            "suppressed": seen & (gap <= minutes * 60_000_000), "quiet_hours": (hour >= quiet[0]) | (hour < quiet[1])})
+        return out, micros[np.append(begins[1:], len(rows)) - 1].tolist()
 
     kinds = dict(alerts.dtypes)
     output = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{event} {kinds[event]}", f"{ts} timestamp", "suppressed boolean", "quiet_hours boolean"])
@@ -120,15 +140,20 @@ def lifecycle_stream(events: DataFrame, delay: str, keep_hours: int = 48) -> Dat
     The first trigger opens an alert, the first acknowledgement of an open one and the first resolution follow; all
     other events are illegal and ignored.  An alert without events for ``keep_hours`` leaves the state.
     """
-    def fold(key, memory, rows):
-        status, out = memory.get("status"), []
-        legal = {"trigger": (None,), "acknowledge": ("triggered",), "resolve": ("triggered", "acknowledged")}
-        after = {"trigger": "triggered", "acknowledge": "acknowledged", "resolve": "resolved"}
-        for action, at, number in zip(rows["action"], rows["timestamp"], rows["event_id"]):
-            if action in legal and status in legal[action]:
-                status = after[action]
-                out.append((key[0], status, at, number))
-        return {"status": status}, pd.DataFrame(out, columns=["alert_id", "status", "at", "event_id"])
+    after = {(None, "trigger"): "triggered", ("triggered", "acknowledge"): "acknowledged",
+             ("triggered", "resolve"): "resolved", ("acknowledged", "resolve"): "resolved"}
+
+    def fold(rows, part, memory):
+        status, at, said = list(memory), [], []
+        for i, (p, action) in enumerate(zip(part.tolist(), rows["action"])):
+            reached = after.get((status[p], action))
+            if reached:
+                status[p] = reached
+                at.append(i)
+                said.append(reached)
+        legal = rows.iloc[at]
+        out = pd.DataFrame({"alert_id": legal["alert_id"].to_numpy(), "status": said, "at": legal["timestamp"].to_numpy(), "event_id": legal["event_id"].to_numpy()})
+        return out, status
 
     kinds = dict(events.dtypes)
     slim = events.select("alert_id", "action", "timestamp", "event_id")

@@ -89,3 +89,33 @@ def test_fields_at_every_depth(spark):
     assert registry.observed_fields(df.where("false"), "doc").count() == 0
     nested = T.StructType.fromDDL("a array<map<string, struct<b: int>>>")
     assert [r[0] for r in registry.flatten(nested)] == ["a", "a[]{}.b"]
+
+
+def test_keys_of_a_bucket_share_one_call(spark):
+    """Many keys take a few calls of the fold, and one bucket for all gives what a bucket for each gives."""
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(f"k{i}" if i else None, t(7 * i % 50 + 40 * j + 3000 * (j // 3)), i * 10 + j) for i in range(60) for j in range(6)]
+    path = work_dir(spark, "bucketed")
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, "k string, at timestamp_ntz, n bigint").coalesce(1).write.mode("append").parquet(path)
+
+    def fold(rows, part, memory):
+        import pandas as pd
+
+        total, out = [m or 0 for m in memory], []
+        for p, n in zip(part, rows["n"]):
+            total[p] += 1
+            out.append((n, total[p], len(memory)))
+        return pd.DataFrame(out, columns=["n", "seen", "keys"]), total
+
+    def run(buckets):
+        build = lambda s: stateful.in_event_order(s, ["k"], "at", ["at", "n"], "100 days", fold, "n bigint, seen bigint, keys bigint", 3_600_000, buckets)
+        return feeds.stream_through(spark, path, build)
+
+    # The watermark passes nothing but by a row far ahead.
+    spark.createDataFrame([("end", t(60 * 24 * 300), 10**6)], "k string, at timestamp_ntz, n bigint").coalesce(1).write.mode("append").parquet(path)
+    one, many = run(1).collect(), run(1000).collect()
+    assert {(r["n"], r["seen"]) for r in one} == {(r["n"], r["seen"]) for r in many} and len(one) == len(many) == len(rows)
+    assert max(r["keys"] for r in one) >= 60
+    # A pause of more than an hour forgets what was seen.
+    assert {r["n"]: r["seen"] for r in one}[592] == 3 and {r["n"]: r["seen"] for r in one}[593] == 1
