@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from dqflow.functions.scalars import rate
 from dqflow.operators import scores as S
+from dqflow.operators.skew import first_per_key, hot_keys, look_up
+from dqflow.sources.tables import stored_layer
 
 
 def mean(total, n):
@@ -15,20 +17,42 @@ def mean(total, n):
     return total.cast("double") / n
 
 
-def provider_performance(gold: DataFrame) -> DataFrame:
-    keys = ["provider_npi", "provider_name", "provider_specialty", "claim_year", "claim_month"]
-    out = gold.groupBy(*keys).agg(
+def per_group(rows: DataFrame, by: str, keys: list, aggs: list, distinct: dict, source: DataFrame | None = None) -> DataFrame:
+    """Aggregates and exact distinct counts (name: column) per group of ``keys``, ``by`` among them.
+
+    Rows travel once, as they are: a task then holds one group's values at a time.  That is for keys below
+    their share of rows; groups of hot or NULL ``by`` are counted with partial aggregates.  ``source`` is a cheaper table with
+    the same keys.
+    """
+    hot = [r[0] for r in hot_keys(rows if source is None else source, by).collect()]
+    large = F.col(by).isNull() | F.col(by).isin(hot)
+    values = {n: F.size(F.collect_set(c)).cast("bigint").alias(n) for n, c in distinct.items()}
+    few = rows.where(~large).repartition(*keys).groupBy(*keys).agg(*aggs, *values.values())
+    return few.unionByName(rows.where(large).groupBy(*keys).agg(*aggs, *[F.countDistinct(c).alias(n) for n, c in distinct.items()]))
+
+
+def provider_performance(gold: DataFrame, providers: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Providers by month; claims without provider attributes get them from ``providers`` once they are grouped."""
+    names = ["provider_name", "provider_specialty"]
+    keys = ["provider_npi", *(names if providers is None else []), "claim_year", "claim_month"]
+    aggs = [
         F.count(F.lit(1)).alias("total_claims"),
         F.sum("claim_amount").alias("_amount"),
         F.sum(F.col("_quality_score").cast("decimal(4,1)")).alias("_q"),
         F.sum(F.col("_anomaly_score").cast("decimal(4,1)")).alias("_a"),
-        F.countDistinct("member_id").alias("unique_patients"),
-        F.countDistinct("diagnosis_code").alias("unique_diagnoses"),
-        F.countDistinct("procedure_code").alias("unique_procedures"),
-    )
+    ]
+    distinct = {"unique_patients": "member_id", "unique_diagnoses": "diagnosis_code", "unique_procedures": "procedure_code"}
+    rows = gold.select(*keys, "claim_amount", "_quality_score", "_anomaly_score", *distinct.values())
+    out = per_group(rows, "provider_npi", keys, aggs, distinct, source)
+    if providers is not None:
+        p = first_per_key(providers.select("provider_npi", *names), "provider_npi", names[:1])
+        out = look_up(out, p, "provider_npi", source=out if source is None else source)
     n = F.col("total_claims")
     return out.select(
-        *keys,
+        "provider_npi",
+        *names,
+        "claim_year",
+        "claim_month",
         "total_claims",
         F.col("_amount").cast("double").alias("total_amount"),
         mean(F.col("_amount"), n).alias("avg_claim_amount"),
@@ -41,16 +65,16 @@ def provider_performance(gold: DataFrame) -> DataFrame:
     )
 
 
-def member_utilization(gold: DataFrame) -> DataFrame:
+def member_utilization(gold: DataFrame, source: DataFrame | None = None) -> DataFrame:
     keys = ["member_id", "plan_type", "claim_year", "claim_month"]
-    out = gold.groupBy(*keys).agg(
+    aggs = [
         F.count(F.lit(1)).alias("total_claims"),
         F.sum("claim_amount").alias("_amount"),
-        F.countDistinct("provider_npi").alias("unique_providers"),
-        F.countDistinct("diagnosis_code").alias("unique_conditions"),
-        F.countDistinct("procedure_code").alias("unique_procedures"),
         F.max("date_of_service").alias("last_service_date"),
-    )
+    ]
+    distinct = {"unique_providers": "provider_npi", "unique_conditions": "diagnosis_code", "unique_procedures": "procedure_code"}
+    rows = gold.select(*keys, "claim_amount", "date_of_service", *distinct.values())
+    out = per_group(rows, "member_id", keys, aggs, distinct, source)
     return out.select(
         *keys,
         "total_claims",
@@ -208,6 +232,7 @@ def share_of_total(bad: DataFrame, day) -> DataFrame:
     g = bad.select(F.col(day).alias("day"), F.explode(F.split("failed_expectation", ",")).alias("reason")).groupBy("day", "reason").agg(
         F.count(F.lit(1)).alias("records")
     )
+    g = stored_layer(g, "share-groups")  # few rows, read for the total and the shares
     total = g.agg(F.sum("records")).scalar()
     return g.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "reason", "records",

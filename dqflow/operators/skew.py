@@ -17,10 +17,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqflow.session import work_dir
+from dqflow.sources.tables import files_under
+
 HOT_SHARE = 2
+#: A stored look-up of at most so many rows and bytes of Parquet is sent to every task.
+SMALL_ROWS, SMALL_BYTES = 500_000, 16 << 20
 
 
 def as_list(keys) -> list[str]:
@@ -75,6 +81,58 @@ def join_unique(fact: DataFrame, dim: DataFrame, keys, how="left", source: DataF
     return _probe(fact, hot_dim, dim, keys, extra, how)
 
 
+def stored_lookup(dim: DataFrame) -> tuple[DataFrame, bool]:
+    """The looked-up side written once, and whether it is small enough to be sent to every task."""
+    spark, path = dim.sparkSession, work_dir(dim.sparkSession, "lookup")
+    dim.write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored, sum(f[1] for f in files_under(spark, path)) <= SMALL_BYTES and stored.count() <= SMALL_ROWS
+
+
+def look_up(fact: DataFrame, dim: DataFrame, keys, how="left", source: DataFrame | None = None) -> DataFrame:
+    """``join_unique`` that knows the size of ``dim``: rows travel only if it is not small."""
+    keys = as_list(keys)
+    dim, small = stored_lookup(dim)
+    if not small:
+        return join_unique(fact, dim, keys, how, source)
+    return fact.join(F.broadcast(dim), keys, how).select(*fact.columns, *[c for c in dim.columns if c not in keys])
+
+
+def look_up_and_flag(fact: DataFrame, dim: DataFrame, key: str, finer, order: list, name: str,
+                     source: DataFrame | None = None) -> DataFrame:
+    """Left look-up of ``dim`` (one row per ``key``), and the flag of rows that have a strictly smaller row (by ``order``)
+    of the same ``finer`` key, ``key`` among its columns: the rows travel once for both.
+
+    Rows are dealt by ``key`` and a salt.  Rows of a hot ``key`` look up by broadcast and are salted by ``finer``; a hot
+    ``finer`` key is one of a hot ``key``, so such keys are counted among those rows only and get their smallest
+    row by broadcast.
+    """
+    finer, base = as_list(finer), fact if source is None else source
+    extra = [c for c in dim.columns if c != key]
+    dim, small = stored_lookup(dim)
+    hot = hot_keys(base, key)
+    groups = base.join(F.broadcast(hot), key).where(all_not_null(finer)).groupBy(*finer).agg(
+        F.min(F.struct(*order)).alias("__least"), F.count(F.lit(1)).alias("_rows"))
+    rows = fact.join(F.broadcast(hottest(groups, "_rows").drop("_rows")), finer, "left")
+    rows = rows.join(F.broadcast(hot.withColumn("__is_hot", F.lit(True))), key, "left")
+    alone = F.spark_partition_id().cast("long") + 1
+    together = F.col("__least").isNull() & all_not_null(finer)
+    salt = F.when(F.col(key).isNull() | (F.col("__is_hot") & ~together), alone).when(
+        F.col("__is_hot"), F.pmod(F.xxhash64(*finer), F.lit(1 << 31)) + 1).otherwise(F.lit(0).cast("long"))
+    if small:
+        both = rows.withColumn("__salt", salt).join(F.broadcast(dim.select(key, F.struct(*extra).alias("__pick"))), key, "left")
+    else:
+        hot_dim = dim.join(F.broadcast(hot), key).select(key, F.struct(*extra).alias("__hot"))
+        rows = rows.join(F.broadcast(hot_dim), key, "left").withColumn("__salt", salt)
+        unsalted = F.pmod(F.xxhash64(key), F.lit(1).cast("long")).alias("__salt")
+        both = rows.join(dim.select(key, unsalted, F.struct(*extra).alias("__cold")), [key, "__salt"], "left").withColumn(
+            "__pick", F.coalesce("__hot", "__cold"))
+    mine = F.struct(*order)
+    least = F.coalesce("__least", F.min(mine).over(W.partitionBy(*finer, "__salt")))
+    flag = all_not_null(finer) & F.coalesce(mine > least, F.lit(False))
+    return both.withColumn(name, flag).select(*fact.columns, *[F.col("__pick")[c].alias(c) for c in extra], name)
+
+
 def attach_stats(df: DataFrame, keys, aggs, source: DataFrame | None = None, min_rows=None, group_rows: int = 1) -> DataFrame:
     """Group aggregates joined back onto every row of the group.
 

@@ -15,8 +15,8 @@ from dqflow.functions import codes as C
 from dqflow.functions.scalars import freshness_hours, is_true
 from dqflow.operators import expect as E
 from dqflow.operators import scores as S
-from dqflow.operators.skew import first_per_key, join_unique
-from dqflow.operators.timeline import flag_covered, flag_not_first
+from dqflow.operators.skew import first_per_key, look_up, look_up_and_flag
+from dqflow.operators.timeline import covered, interval_cover
 
 OPEN_END = dt.date(2099, 12, 31)
 DUPLICATE_KEY = ("member_id", "provider_npi", "date_of_service", "procedure_code")
@@ -80,22 +80,31 @@ def silver_claim_rules(as_of: dt.date, minimum: dt.date):
     ]
 
 
-def silver_flags(bronze: DataFrame, eligibility: DataFrame, providers: DataFrame) -> DataFrame:
-    """Eligibility, provider status and duplicate flags for every claim."""
-    rows = flag_not_first(bronze, DUPLICATE_KEY, ["created_date", "claim_id"], "_duplicate")
-    rows = flag_covered(
-        rows, eligibility, "member_id", "date_of_service", "start_date", "end_date", OPEN_END, "_eligible", source=bronze
-    )
+def member_attributes(members: DataFrame) -> DataFrame:
+    """What gold claims take of the members, one row per member, so that no claim can multiply."""
+    m = members.select("member_id", "eligibility_start", "eligibility_end", "plan_type")
+    return first_per_key(m, "member_id", ["eligibility_start"])
+
+
+def silver_flags(bronze: DataFrame, eligibility: DataFrame, providers: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Eligibility, provider status and duplicate flags for every claim; with ``members`` their attributes as well.
+
+    Everything that is known by member comes with one look-up, and claims of one duplicate key share a member.
+    """
+    by_member = interval_cover(eligibility, "member_id", "start_date", "end_date", OPEN_END)
+    if members is not None:
+        by_member = by_member.join(member_attributes(members), "member_id", "full")
+    rows = look_up_and_flag(bronze, by_member, "member_id", DUPLICATE_KEY, ["created_date", "claim_id"], "_duplicate")
+    rows = rows.withColumn("_eligible", covered(F.col("cover"), F.col("date_of_service"))).drop("cover")
     active = providers.groupBy("provider_npi").agg(F.bool_or(F.col("status") == "ACTIVE").alias("_provider_active"))
-    rows = join_unique(rows, active, "provider_npi", source=bronze)
+    rows = look_up(rows, active, "provider_npi", source=bronze)
     return rows.withColumn("_provider_active", is_true(F.col("_provider_active")))
 
 
-def silver_rows(bronze, eligibility, providers, as_of: dt.date) -> DataFrame:
+def silver_rows(bronze, eligibility, providers, as_of: dt.date, members: DataFrame | None = None) -> DataFrame:
     """Every bronze claim with its flags and scores: what the clean claims and the quarantine are cut from."""
-    return silver_flags(bronze, eligibility, providers).withColumns(
-        {"_silver_timestamp": _stamp(as_of), "_quality_score": S.quality_score(), "_anomaly_score": S.anomaly_score()}
-    )
+    scored = bronze.withColumns({"_silver_timestamp": _stamp(as_of), "_quality_score": S.quality_score(), "_anomaly_score": S.anomaly_score()})
+    return silver_flags(scored, eligibility, providers, members)
 
 
 def split_silver(rows: DataFrame, as_of: dt.date, minimum: dt.date) -> tuple[DataFrame, DataFrame]:
@@ -157,18 +166,21 @@ def gold_admission_rules():
     ]
 
 
-def gold_claims(silver: DataFrame, members: DataFrame, providers: DataFrame, as_of) -> DataFrame:
+def gold_claims(silver: DataFrame, members: DataFrame | None, providers: DataFrame | None, as_of, source: DataFrame | None = None) -> DataFrame:
     """Claims with member and provider attributes; the claim count is preserved.
 
     Dimensions are reduced to one row per key first, so that no claim can
-    multiply.
+    multiply.  Without ``members`` the claims have their members' attributes
+    from ``silver_rows``; without ``providers`` they get none of providers.
+    ``source`` is a cheaper table with the same provider keys.
     """
-    m = members.select("member_id", "eligibility_start", "eligibility_end", "plan_type")
-    m = first_per_key(m, "member_id", ["eligibility_start"])
-    p = providers.select("provider_npi", "provider_name", "provider_specialty", "provider_state")
-    p = first_per_key(p, "provider_npi", ["provider_name"])
     rows = silver.where("_quality_score >= 0.7")
-    rows = join_unique(join_unique(rows, m, "member_id", source=silver), p, "provider_npi", source=silver)
+    if members is not None:
+        rows = look_up(rows, member_attributes(members), "member_id", source=silver)
+    if providers is not None:
+        p = providers.select("provider_npi", "provider_name", "provider_specialty", "provider_state")
+        p = first_per_key(p, "provider_npi", ["provider_name"])
+        rows = look_up(rows, p, "provider_npi", source=silver if source is None else source)
     return rows.withColumns(
         {
             "_gold_timestamp": _stamp(as_of),

@@ -79,3 +79,41 @@ def test_flag_member(spark, fact):
     got = skew.flag_member(fact, listed, "k", "hit", min_rows=1)
     assert got.count() == 3000
     assert got.where("hit").count() == fact.where("k IN (7, 8)").count()
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_look_up_and_flag(spark, monkeypatch, small):
+    """Hot members, a hot group, NULL keys and members that are not looked up: as by plain joins."""
+    monkeypatch.setattr(skew, "SMALL_ROWS", small)
+    rows = [(None if i % 11 == 0 else 1 if i % 3 == 0 else 2 if i % 3 == 1 else i % 97, None if i % 13 == 0 else 0 if i % 2 else i % 40, i * 7919 % 500, i) for i in range(4000)]
+    fact = spark.createDataFrame(rows, "k int, g int, t int, id int").repartition(6)
+    dim = spark.createDataFrame([(i, f"m{i}") for i in range(0, 90, 2)], "k int, a string")
+    got = {r["id"]: (r["a"], r["f"]) for r in skew.look_up_and_flag(fact, dim, "k", ["k", "g"], ["t", "id"], "f").collect()}
+    least = {}
+    for k, g, t, i in rows:
+        least[k, g] = min(least.get((k, g), (t, i)), (t, i))
+    names = {i: f"m{i}" for i in range(0, 90, 2)}
+    assert got == {i: (names.get(k), k is not None and g is not None and (t, i) > least[k, g]) for k, g, t, i in rows}
+
+
+def test_look_up_and_flag_deals_the_rows_once(spark, fact, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    rows = fact.withColumns({"g": F.col("id") % 9, "wide": F.lit("x")})
+    dim = spark.range(40).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("a"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew.look_up_and_flag(rows, dim, "k", ["k", "g"], ["id"], "f")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Both sides of the look-up, and none for the flag.
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "__salt" in line]) == 2
+
+
+def test_distinct_counts_of_hot_and_other_groups(spark):
+    from dqflow.operators import marts
+
+    rows = [(None if i % 5 == 0 else 1 if i % 2 else i % 300, i % 3, i % 17, None if i % 4 else i % 23) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, m int, a int, b int")
+    got = marts.per_group(df, "k", ["k", "m"], [F.count(F.lit(1)).alias("n")], {"as": "a", "bs": "b"})
+    want = df.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("as"), F.countDistinct("b").alias("bs"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.dtypes == want.dtypes
