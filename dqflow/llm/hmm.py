@@ -27,9 +27,9 @@ TOKENS_AT_ONCE = 1_000_000
 CHUNK = 1_000_000
 #: Baum-Welch ends when a step raises the log likelihood by less than this share of it.
 TOLERANCE = 2e-3
-#: Tokens of the texts (chosen by hash) on which one task finds the point where Baum-Welch over all texts starts, the
-#: longest text among them, and the tolerance and steps there.
-START_TOKENS, START_LONGEST, START_TOLERANCE, START_STEPS = 500_000, 4_000, 2e-4, 40
+#: Baum-Welch over all texts starts from the counts of neighbouring words of all training texts: the most frequent
+#: words stand for themselves there, all others by shape.  The tolerance and steps of fitting the states to these counts.
+START_WORDS, START_TOLERANCE, START_STEPS = 1_000, 1e-6, 300
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -218,72 +218,82 @@ class Start(NamedTuple):
         return x * c[:, None]
 
 
-def starting_point(coded: DataFrame, vocab: Vocabulary, states: int, seed: int) -> Start:
-    """Baum-Welch on about ``START_TOKENS`` tokens of training texts chosen by hash, in one task, to its own tolerance.
+def neighbours(coded: DataFrame, vocab: Vocabulary, words: int) -> np.ndarray:
+    """How often a class follows another in all training texts; the last row counts the classes that texts begin with.
 
-    Every word of the sample is a symbol; words outside it start with the shares of their shape.  Only the place where
-    the passes over all texts start comes from this sample.
+    Classes are the end and the ``words`` most frequent words, then the shapes: a table of bounded size, whatever the input.
     """
-    first_shape = vocab.size - SHAPES
-    coded_hashes, coded_shapes = vocab.coded_hashes, vocab.coded_shapes
+    own = min(words + 1, vocab.size - SHAPES)
+    classes = own + SHAPES
+    class_of = np.concatenate([np.arange(own), own + vocab.coded_shapes[own:], np.arange(own, classes)]).astype(np.int64)
+    shared = coded.sparkSession.sparkContext.broadcast(class_of)
 
-    def fit(batches):
-        held, shapes, lengths = [], [], []
+    def count(batches):
+        of, sums = shared.value, np.zeros((classes + 1) * classes, np.int64)
         for batch in batches:
-            for x, far in zip(batch.column(0), batch.column(1)):
-                if sum(lengths) < 2 * START_TOKENS:
-                    obs = np.frombuffer(x.as_py(), np.int32)
-                    plain, code = obs >= first_shape, np.minimum(obs, first_shape - 1)
-                    h = coded_hashes[code]
-                    h[plain] = far.values.to_numpy()
-                    held.append(h)
-                    shapes.append(np.where(plain, obs - first_shape, coded_shapes[code]))
-                    lengths.append(len(obs))
-        if not held:
-            return
-        words, first, flat = np.unique(np.concatenate(held), return_index=True, return_inverse=True)
-        shape, sequences = np.concatenate(shapes)[first], np.split(flat, np.cumsum(lengths)[:-1])
-        rng = np.random.default_rng(seed)
-        seen = np.bincount(flat, minlength=len(words))
-        base = seen / seen.sum()
-        emit = (shares_of(words, states, seed) * base[:, None]).T
-        move = rng.dirichlet(np.ones(states), states) + np.eye(states)
-        m = Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-        last = None
-        for _ in range(START_STEPS):
-            parts = [expectations([sequences[i] for i in part], m) for part in batches_by_length(sequences)]
-            start, move, used = (sum(getattr(p[0], f) for p in parts) for f in ("start", "move", "emit"))
-            emit = used + base
-            m = Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-            reached = sum(p[1] for p in parts)
-            if last is not None and reached - last < START_TOLERANCE * abs(last):
-                break
-            last = reached
-        of_shape = np.stack([np.bincount(shape, weights=used[k], minlength=SHAPES) for k in range(states)], axis=1)
-        of_shape = of_shape + (used.sum(axis=1) / used.sum())[None, :]
-        of_shape /= of_shape.sum(axis=1, keepdims=True)
-        shares = used.T + of_shape[shape]
-        shares /= shares.sum(axis=1, keepdims=True)
-        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (m.start, m.move, words, shares, of_shape)],
-                                         names=["start", "move", "hashes", "shares", "of_shape"])
-
-    part = min(1.0, START_TOKENS / max(vocab.tokens, 1))
-    chosen = coded.where(~F.col("held_out") & (F.col("n_tokens") <= START_LONGEST) & (
-        F.pmod(F.xxhash64("_id", "n_tokens"), F.lit(1 << 30)) < int(part * (1 << 30))))
-    found = chosen.select("obs", "far").coalesce(1).mapInArrow(
-        fit, "start binary, move binary, hashes binary, shares binary, of_shape binary").collect()
-    if not found:
-        even = np.full((SHAPES, states), 1 / states)
-        return Start(even[0], np.full((states, states), 1 / states), np.empty(0, np.int64), even[:0], even)
-    start, move, shares, of_shape = (np.frombuffer(found[0][f]).reshape(-1, states) for f in ("start", "move", "shares", "of_shape"))
-    return Start(start[0], move, np.frombuffer(found[0]["hashes"], np.int64), shares, of_shape)
+            sequences = [np.frombuffer(x.as_py(), np.int32) for x in batch.column(0)]
+            if not sequences:
+                continue
+            after = of[np.concatenate(sequences)]
+            before = np.concatenate([[classes], after[:-1]])
+            before[np.cumsum([0, *[len(x) for x in sequences[:-1]]])] = classes
+            sums += np.bincount(before * classes + after, minlength=len(sums))
+        met = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(sums[met])], names=["pair", "c"])
+
+    found = coded.where(~F.col("held_out")).select("obs").mapInArrow(count, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros((classes + 1) * classes)
+    out[found["pair"].to_numpy()] = found["c"].to_numpy()
+    return out.reshape(classes + 1, classes)
+
+
+def starting_point(coded: DataFrame, vocab: Vocabulary, states: int, seed: int) -> Start:
+    """The states fitted to the neighbouring words of all training texts, by expectation and maximisation on their counts.
+
+    A neighbouring pair (u, v) has the probability of the sum of p_k emit_k(u) move_kl emit_l(v); the counts of all pairs are
+    all that the steps need.  Words outside the classes start with the shares of their shape.
+    """
+    counts = neighbours(coded, vocab, START_WORDS)
+    begins, pairs = counts[-1], counts[:-1]
+    classes = len(pairs)
+    own = classes - SHAPES
+    names = np.concatenate([vocab.coded_hashes[:own], np.arange(SHAPES)])
+    base = (begins + pairs.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * classes)
+    rng = np.random.default_rng(seed)
+    move = rng.dirichlet(np.ones(states), states) + np.eye(states)
+    move /= move.sum(1, keepdims=True)
+    emit = (shares_of(names, states, seed) * base[:, None]).T
+    emit /= emit.sum(1, keepdims=True)
+    of, used, last = np.full(states, 1 / states), emit * base, None
+    for _ in range(START_STEPS):
+        if not pairs.any():
+            break
+        first = of[:, None] * emit
+        chance = first.T @ move @ emit
+        ratio = pairs / np.maximum(chance, 1e-300)
+        reached = float((pairs * np.log(np.maximum(chance, 1e-300))).sum())
+        stands = first * ((move @ emit) @ ratio.T)
+        used = stands + emit * ((move.T @ first) @ ratio)
+        moves = move * (first @ ratio @ emit.T)
+        of = (stands.sum(axis=1) + 0.1) / (stands.sum() + 0.1 * states)
+        move = (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)
+        emit = used + base
+        emit /= emit.sum(1, keepdims=True)
+        if last is not None and reached - last < START_TOLERANCE * abs(last):
+            break
+        last = reached
+    likely = of[:, None] * emit
+    start = (likely / likely.sum(axis=0) * begins).sum(axis=1) + 0.1
+    shares = used.T + (used.sum(axis=1) / max(used.sum(), 1e-300))[None, :] * 1e-3 + 1e-12
+    shares /= shares.sum(axis=1, keepdims=True)
+    order = np.argsort(names[:own])
+    return Start(start / start.sum(), move, names[:own][order], shares[:own][order], shares[own:])
 
 
 def first_model(coded: DataFrame, vocab: Vocabulary, states: int, seed: int) -> tuple[Model, np.ndarray, float]:
     """Every word's count dealt to the states by the starting point's shares; also the counts of far words by shape
     and the log10 of how those share them out."""
     begin = starting_point(coded, vocab, states, seed)
-    # At most the words of the bounded sample.
     shared = coded.sparkSession.sparkContext.broadcast(tuple(begin))
     names = ["c", "own", *_names(states)]
 
@@ -529,8 +539,8 @@ def score_texts(docs: DataFrame, id_col="doc_id", text_col="text", states=4, ste
     """_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
 
     The model learns from rows whose crc32(id as text) mod 7 is not 2 (a null id is learned from), until a Baum-Welch
-    step over all of them gains less than ``tolerance`` of the log likelihood (``steps`` steps if given); a bounded
-    sample chosen by hash only gives the point to start from.  Every training word and the end is a symbol with
+    step over all of them gains less than ``tolerance`` of the log likelihood (``steps`` steps if given); it starts from
+    the counts of neighbouring words of all of them.  Every training word and the end is a symbol with
     emissions of its own: those of the ``words`` most frequent are learned in every step and travel with the tasks; all
     others are tied by shape until the last step, which counts for each of them alone, and are joined by hash to be
     scored.  A word outside training has its share of its shape's unseen mass, the same in every state.

@@ -132,3 +132,33 @@ def test_training_ends_by_its_tolerance(make_docs, monkeypatch):
     _, history = hmm.train(coded, vocab, 2, None, 7, tolerance=1e-2)
     gains = [(b - a) / abs(a) for a, b in zip(history, history[1:])]
     assert len(history) > 1 and gains[-1] < 1e-2 and all(g >= 1e-2 for g in gains[:-1])
+
+
+def test_start_counts_the_neighbours_of_all_training_texts(make_docs, monkeypatch):
+    """Every training text counts, however long or many, and no other: the start is not taken from a sample."""
+    monkeypatch.setattr(hmm, "START_WORDS", 2)
+    texts = ["a b a", "a b " * 5_000, "b zz", None, *["c d1 a"] * 300]
+    rows = make_docs(texts).select(F.col("doc_id").alias("_id"), (F.col("doc_id") % 7 == 4).alias("held_out"), F.col("text").alias("_t"))
+    vocab = hmm.vocabulary(hmm.word_counts(rows.where("not held_out"), "_t"), 4000, 1000)
+    got = hmm.neighbours(hmm.encode(rows.repartition(3), "_t", vocab), vocab, 2)
+    place = {h: i for i, h in enumerate(vocab.coded_hashes[:3].tolist())}
+    of = lambda w: place.get(int(hmm._hash([w])[0]), 3 + hmm.shape_of(w))
+    want = np.zeros((3 + hmm.SHAPES + 1, 3 + hmm.SHAPES))
+    for i, t in enumerate(texts):
+        if i % 7 != 4:
+            line = [of(w) for w in hmm.tokens_of(t)]
+            want[-1, line[0]] += 1
+            for a, b in zip(line, line[1:]):
+                want[a, b] += 1
+    assert got.sum() == vocab.tokens and np.array_equal(got, want)
+
+
+def test_start_tells_words_apart_by_their_neighbours(make_docs):
+    """Words that keep to themselves come from different states at the start already."""
+    rows = make_docs(["a b b a a b a b b", "x y y x x y x y y"] * 30).select(
+        F.col("doc_id").alias("_id"), F.lit(False).alias("held_out"), F.col("text").alias("_t"))
+    vocab = hmm.vocabulary(hmm.word_counts(rows, "_t"), 4000, 1000)
+    begin = hmm.starting_point(hmm.encode(rows, "_t", vocab).cache(), vocab, 2, 7)
+    share = dict(zip(begin.hashes.tolist(), begin.shares))
+    a, b, x, y = (share[h].argmax() for h in hmm._hash([b"a", b"b", b"x", b"y"]).tolist())
+    assert a == b != x == y and np.allclose(begin.move.sum(axis=1), 1)
