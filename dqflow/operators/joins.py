@@ -12,6 +12,7 @@ from dqflow.operators.quantiles import exact_percentiles
 from dqflow.operators.skew import attach_stats, first_per_key, flag_member, join_unique
 from dqflow.operators.timeline import (
     flag_covered,
+    flag_covered_by,
     flag_earlier_within,
     flag_not_first,
     trailing_count,
@@ -27,6 +28,12 @@ def eligible(claims: DataFrame, eligibility: DataFrame, active_only=False, name=
     return flag_covered(claims, spans, "member_id", "date_of_service", "start_date", "end_date", OPEN_END, name, **kw)
 
 
+def eligible_and_active(claims: DataFrame, eligibility: DataFrame, **kw) -> DataFrame:
+    """Eligibility by all spans and by the active ones alone, with one look-up of the member."""
+    named = {"eligible": eligibility, "eligible_active": eligibility.where("status = 'ACTIVE'")}
+    return flag_covered_by(claims, named, "member_id", "date_of_service", "start_date", "end_date", OPEN_END, **kw)
+
+
 def provider_active(claims: DataFrame, providers: DataFrame, name="provider_active", **kw) -> DataFrame:
     """Active provider without a termination on or before the service date.
 
@@ -147,7 +154,8 @@ def enrich(claims: DataFrame, lookups, **kw) -> DataFrame:
 def eligibility_lookup(requests: DataFrame, eligibility: DataFrame, network: DataFrame) -> DataFrame:
     """Batch answer for member, day and provider: coverage and network status."""
     spans = eligibility.groupBy("member_id").agg(F.min("start_date").alias("first_start"), F.max(F.coalesce("end_date", F.lit(OPEN_END))).alias("last_end"))
-    out = in_network(eligible(join_unique(requests, spans, "member_id", source=requests), eligibility, source=requests), network, source=requests)
+    rows = flag_covered_by(requests, {"eligible": eligibility}, "member_id", "date_of_service", "start_date", "end_date", OPEN_END, spans)
+    out = in_network(rows, network, source=requests)
     status = (
         F.when(F.col("first_start").isNull(), F.lit("UNKNOWN_MEMBER")).when(F.col("eligible"), F.lit("ELIGIBLE")).otherwise(F.lit("NOT_ELIGIBLE"))
     )

@@ -7,6 +7,8 @@ many rows the key holds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +87,18 @@ def flag_covered(fact: DataFrame, intervals: DataFrame, keys, day, start, end, o
     return out.withColumn(name, covered(F.col("cover"), F.col(day))).drop("cover")
 
 
+def flag_covered_by(fact: DataFrame, named: dict, keys, day, start, end, open_end, facts: DataFrame | None = None, **kw) -> DataFrame:
+    """A boolean per name: some interval of that table's rows of the key contains the row's day.
+
+    ``facts`` (one row per key) comes along: everything known by the key is one look-up, so the rows travel once for all.
+    """
+    keys = as_list(keys)
+    sides = [] if facts is None else [facts]
+    sides += [interval_cover(df, keys, start, end, open_end).withColumnRenamed("cover", f"_cover_{name}") for name, df in named.items()]
+    out = join_unique(fact, reduce(lambda a, b: a.join(b, keys, "full"), sides), keys, "left", **kw)
+    return out.withColumns({name: covered(F.col(f"_cover_{name}"), F.col(day)) for name in named}).drop(*[f"_cover_{name}" for name in named])
+
+
 def flag_earlier_within(df: DataFrame, keys, at: str, days: int, name: str, counts: Column | None = None,
                         ident: str | None = None) -> DataFrame:
     """Is there another row of the same key at most ``days`` earlier?

@@ -117,3 +117,12 @@ def test_distinct_counts_of_hot_and_other_groups(spark):
     got = marts.per_group(df, "k", ["k", "m"], [F.count(F.lit(1)).alias("n")], {"as": "a", "bs": "b"})
     want = df.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("as"), F.countDistinct("b").alias("bs"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.dtypes == want.dtypes
+
+
+def test_what_is_known_by_member_is_one_look_up(spark, sf):
+    """Claims travel by member once, whatever number of facts and covers is looked up there (each look-up has one salt)."""
+    from dqflow.catalog import QUERIES
+
+    for name, lookups in (("jn02_eligibility", 1), ("jn18_eligibility_lookup", 2)):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+        assert plan.lower().count("spark_partition_id()") == lookups
