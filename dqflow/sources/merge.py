@@ -117,9 +117,19 @@ def retained(df: DataFrame, ts: str, kind: str, as_of, days: int | None = None)
     return df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(keep)))
 
 
+#: Rows that one range of a compacted table should hold at most.
+RANGE_ROWS = 1_000_000
+
+
 def compact(df: DataFrame, path: str, cluster_by, partitions: int, partition_by=()) -> None:
-    """Rewrite a table range-clustered and sorted, so row groups can be skipped."""
-    out = df.repartitionByRange(partitions, *partition_by, *cluster_by).sortWithinPartitions(*partition_by, *cluster_by)
+    """Rewrite a table range-clustered and sorted, so row groups can be skipped.
+
+    ``partitions`` is the least number of ranges: it grows with the rows, so a task's share does not.  Rows alike in all
+    cluster columns are cut by a hash of the row, so a frequent value spreads over several ranges too.
+    """
+    partitions = max(partitions, -(-df.count() // RANGE_ROWS))
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    out = df.repartitionByRange(partitions, *partition_by, *cluster_by, F.xxhash64(*plain)).sortWithinPartitions(*partition_by, *cluster_by)
     out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
