@@ -215,13 +215,8 @@ SELECT check_name, round(s, 6) AS score, s >= 95 AS compliant FROM (SELECT 100.0
   100.0::double * count(*) FILTER (WHERE claim_amount BETWEEN 0 AND 1000000) / count(*) AS g FROM claims c),
 LATERAL (VALUES ('audit_trail', a), ('coding_accuracy', b), ('member_eligibility', e), ('provider_status', f), ('claim_amounts', g), ('overall', (a + b + e + f + g) / 5)) v(check_name, s)""")
 def qa21(spark, d):
-    from dqflow.operators import joins as J
-    from dqflow.operators.skew import flag_member
-
-    base = S.claims(spark, d)
-    rows = J.eligible(base, S.eligibility(spark, d))
-    rows = flag_member(rows, S.providers(spark, d).where("status = 'ACTIVE'"), "provider_npi", "active", source=base)
-    return R.compliance(rows, R.claim_checks()).withColumn("score", F.round("score", 6))
+    rows = R.claims_with_flags(S.claims(spark, d), S.eligibility(spark, d), S.providers(spark, d))
+    return R.compliance(rows, {k: F.col(k) for k in R.claim_checks()}).withColumn("score", F.round("score", 6))
 
 
 @query("rp01_executive_summary", """

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from dqflow.functions import codes as C
 from dqflow.operators import assess as A
 from dqflow.operators.drift import drift_alerts, windowed_drift
+from dqflow.operators.joins import eligible
 from dqflow.operators.marts import history
 from dqflow.operators.privacy import audit_complete
 from dqflow.operators.profile import union_all
+from dqflow.operators.skew import known
 from dqflow.sources.tables import stored_layer
 
 COMPLIANT = 95.0
@@ -28,6 +30,19 @@ def claim_checks() -> dict[str, Column]:
     }
 
 
+def claims_with_flags(claims: DataFrame, eligibility: DataFrame, providers: DataFrame) -> DataFrame:
+    """Every claim as the outcomes of ``claim_checks``.
+
+    What a claim tells by itself is settled before it travels, and the claims are stored in this form: only member, day
+    and outcomes meet the eligibility of their member.
+    """
+    checks = claim_checks()
+    own = [c.alias(k) for k, c in checks.items() if k not in ("member_eligibility", "provider_status")]
+    rows = stored_layer(claims.select("member_id", "provider_npi", "date_of_service", *own), "compliance")
+    rows = known(rows, providers.where("status = 'ACTIVE'"), "provider_npi", "provider_status")
+    return eligible(rows.drop("provider_npi"), eligibility, name="member_eligibility", source=rows)
+
+
 def compliance(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Score per check from the data and their mean, against the 95 percent mark."""
     n = F.count(F.lit(1))

@@ -133,18 +133,23 @@ def look_up_and_flag(fact: DataFrame, dim: DataFrame, key: str, finer, order: li
     return both.withColumn(name, flag).select(*fact.columns, *[F.col("__pick")[c].alias(c) for c in extra], name)
 
 
-def attach_stats(df: DataFrame, keys, aggs, source: DataFrame | None = None, min_rows=None, group_rows: int = 1) -> DataFrame:
+def attach_stats(df: DataFrame, keys, aggs, source: DataFrame | None = None, min_rows=None, group_rows: int = 1, few: bool = False) -> DataFrame:
     """Group aggregates joined back onto every row of the group.
 
     The aggregation combines map-side, so a hot group reaches the reducer as
     one partial row per task; the hottest groups of that same aggregate are the
     ones joined back by broadcast.  ``aggs`` are aliased aggregate columns.
     Groups of fewer than ``group_rows`` rows are not joined back: their rows get NULL.
+    With ``few`` the aggregates are stored first and, if they are few, sent to every task: then no row travels.
     """
     keys = as_list(keys)
     base = df if source is None else source
     stats = base.where(all_not_null(keys)).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"))
     extra = [c for c in stats.columns if c not in keys and c != "_rows"]
+    if few:
+        stats, small = stored_lookup(stats)
+        if small:
+            return df.join(F.broadcast(stats.drop("_rows")), keys, "left").select(*df.columns, *extra)
     # The filter keeps the count in use so that both sides share one aggregation.
     return _probe(df, hottest(stats, "_rows", min_rows), stats.where(F.col("_rows") >= group_rows), keys, extra, "left")
 
@@ -156,6 +161,13 @@ def flag_member(fact: DataFrame, keys_df: DataFrame, keys, name: str, **kw) -> D
     return join_unique(fact, dim, keys, "left", **kw).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
+def known(fact: DataFrame, keys_df: DataFrame, keys, name: str, source: DataFrame | None = None) -> DataFrame:
+    """``flag_member`` that knows the number of keys: rows travel only if they are not few."""
+    keys = as_list(keys)
+    dim = keys_df.select(*keys).where(all_not_null(keys)).distinct().withColumn(name, F.lit(True))
+    return look_up(fact, dim, keys, source=source).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
 def first_per_key(df: DataFrame, keys, order: list) -> DataFrame:
     """One row per key, the smallest by ``order``, as a combining aggregate.
 
