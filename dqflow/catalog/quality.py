@@ -340,12 +340,13 @@ SELECT dimension, name, round(100.0 * ok / n, 6) AS score FROM (SELECT count(*):
 LATERAL (VALUES ('consistency', 'member_exists', a), ('accuracy', 'provider_active', b), ('consistency', 'discharge_after_admission', c), ('timeliness', 'submitted_in_time', e)) v(dimension, name, ok)""")
 def qa19(spark, d):
     """Rules fed by other tables enter the assessment as flag columns."""
-    from dqflow.operators.skew import flag_member
+    from dqflow.operators.skew import flag_member, known
+    from dqflow.sources.tables import stored_layer
 
-    base = S.claims(spark, d)
-    rows = flag_member(base, S.eligibility(spark, d), "member_id", "member_exists")
-    active = S.providers(spark, d).where("status = 'ACTIVE'")
-    rows = flag_member(rows, active, "provider_npi", "provider_active", source=base)
+    days = ("discharge_date", "admission_date", "submission_date", "date_of_service")
+    base = stored_layer(S.claims(spark, d).select("member_id", "provider_npi", *days), "cross-table")
+    rows = known(base, S.providers(spark, d).where("status = 'ACTIVE'"), "provider_npi", "provider_active").drop("provider_npi")
+    rows = flag_member(rows, S.eligibility(spark, d), "member_id", "member_exists", source=base)
     rs = RuleSet(
         {
             r.name: r
