@@ -195,7 +195,7 @@ def high_amount(df: DataFrame, table: str, limit: float = 1.0, sigmas: float = 3
     x = F.col("claim_amount").cast("double")
     rows = attach_stats(
         df.select("procedure_code", "claim_amount"), "procedure_code",
-        [F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.count("claim_amount").alias("c")],
+        [F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.count("claim_amount").alias("c")], few=True,
     )
     high = (F.col("c") >= min_claims) & (F.col("s") > 0) & (x > F.col("m") + sigmas * F.col("s"))
     agg = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(high).alias("k"))

@@ -103,7 +103,7 @@ def over_group_sigma(claims: DataFrame, by="procedure_code", value="claim_amount
     x = F.col(value).cast("double")
     rows = attach_stats(
         claims, by,
-        [F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), F.count(F.col(value)).alias("_cnt")],
+        [F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), F.count(F.col(value)).alias("_cnt")], few=True,
     )
     high = (F.col("_cnt") >= min_rows) & (F.col("_sd") > 0) & (x > F.col("_mean") + sigmas * F.col("_sd"))
     return rows.withColumn("over_limit", is_true(high)).drop("_mean", "_sd", "_cnt")
