@@ -90,7 +90,7 @@ def recent_duplicate(claims: DataFrame, days: int = 30, name="duplicate") -> Dat
     """Another paid or open claim on the wider key submitted in the days before."""
     live = ~F.col("claim_status").isin("DENIED", "VOIDED")
     return flag_earlier_within(
-        claims, [*DUPLICATE_KEY, "diagnosis_code"], "submission_date", days, name, counts=live, ident="claim_id"
+        claims, [*DUPLICATE_KEY, "diagnosis_code"], "submission_date", days, name, counts=live, ident="claim_id", coarse="date_of_service"
     )
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dqflow.operators.skew import as_list, attach_stats, join_unique
+from dqflow.operators.skew import HOT_SHARE, all_not_null, as_list, attach_stats, hot_keys, join_unique
+from dqflow.sources.tables import stored_layer
 
 
 def trailing_count(df: DataFrame, keys, day: str, days: int, name: str) -> DataFrame:
@@ -99,16 +100,58 @@ def flag_covered_by(fact: DataFrame, named: dict, keys, day, start, end, open_en
     return out.withColumns({name: covered(F.col(f"_cover_{name}"), F.col(day)) for name in named}).drop(*[f"_cover_{name}" for name in named])
 
 
+def hot_groups(df: DataFrame, keys, coarse: str) -> DataFrame | None:
+    """Keys with more than their share of the rows (see ``skew``), or None.
+
+    A hot key is one of a hot value of its column ``coarse``, so whole keys are counted among the rows of such values only.
+    """
+    hot = stored_layer(hot_keys(df, coarse), "hot-values")
+    if hot.isEmpty():
+        return None
+    counts = df.join(F.broadcast(hot), coarse, "left_semi").where(all_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    limit = df.select(F.count(F.lit(1))).scalar() / (HOT_SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = stored_layer(counts.where(F.col("_rows") > limit).select(*keys), "hot-groups")
+    return None if found.isEmpty() else found
+
+
 def flag_earlier_within(df: DataFrame, keys, at: str, days: int, name: str, counts: Column | None = None,
-                        ident: str | None = None) -> DataFrame:
+                        ident: str | None = None, coarse: str | None = None) -> DataFrame:
     """Is there another row of the same key at most ``days`` earlier?
 
     ``at`` is a date.  Only rows satisfying ``counts`` are looked for.  Rows on
     the same day see each other when they carry a different ``ident``; without
-    ``ident`` only strictly earlier days count.  Works on one row per key and
-    day, joined back on key and day.
+    ``ident`` only strictly earlier days count.  Rows travel once, by key; rows of hot keys are folded to one row
+    per key and day instead.  ``coarse`` is a key column with few values (the first one by default) that tells where to look for hot keys.
     """
     keys = as_list(keys)
+    hot = hot_groups(df, keys, coarse or keys[0])
+    if hot is None:
+        return _earlier_by_window(df, keys, at, days, name, counts, ident)
+    few = _earlier_by_window(df.join(F.broadcast(hot), keys, "left_anti").select(*df.columns), keys, at, days, name, counts, ident)
+    many = df.join(F.broadcast(hot), keys, "left_semi").select(*df.columns)
+    return few.unionByName(_earlier_by_day(many, keys, at, days, name, counts, ident))
+
+
+def _earlier_by_window(df, keys, at, days, name, counts, ident):
+    """Running maximum of the days before and extremes of the day itself: one shuffle and one sort by key and day."""
+    whole = all_not_null([*keys, at])
+    rows = df.withColumns({
+        # Rows without a whole key meet nobody and are spread.
+        "__salt": F.when(whole, F.lit(0).cast("long")).otherwise(F.spark_partition_id().cast("long") + 1),
+        "__day": F.unix_date(at), "__live": F.lit(True) if counts is None else counts})
+    group = W.partitionBy("__salt", *keys)
+    before = group.orderBy("__day").rangeBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__prev", F.max(F.when(F.col("__live"), F.col("__day"))).over(before))
+    found = F.coalesce(F.col("__day") - F.col("__prev") <= days, F.lit(False))
+    if ident:
+        same_day, shown = W.partitionBy("__salt", *keys, "__day"), F.when(F.col("__live"), F.col(ident))
+        rows = rows.withColumns({"__lo": F.min(shown).over(same_day), "__hi": F.max(shown).over(same_day)})
+        found = found | (F.col("__lo") != F.col(ident)) | (F.col("__hi") != F.col(ident))
+    return rows.withColumn(name, (F.col("__salt") == 0) & F.coalesce(found, F.lit(False))).select(*df.columns, name)
+
+
+def _earlier_by_day(df, keys, at, days, name, counts, ident):
+    """One row per key and day, joined back on key and day: no key is ever gathered."""
     who = F.col(ident) if ident else F.lit(0)
     shown = who if counts is None else F.when(counts, who)
     daily = df.groupBy(*keys, at).agg(F.min(shown).alias("_lo"), F.max(shown).alias("_hi"))
