@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqflow.functions.scalars import is_true
-from dqflow.operators.quantiles import exact_percentiles
-from dqflow.operators.skew import attach_stats, first_per_key, flag_member, join_unique
+from dqflow.operators.quantiles import exact_percentiles, histogram, histogram_percentiles
+from dqflow.operators.skew import attach_stats, first_per_key, flag_member, join_unique, look_up
 from dqflow.operators.timeline import (
     flag_covered,
     flag_covered_by,
@@ -115,10 +115,18 @@ def over_percentile(claims: DataFrame, p=0.99, by=None, value="claim_amount", na
         limit = exact_percentiles(claims, [], value, {"_p": p}).select("_p").scalar()
         return claims.withColumn(name, is_true(F.col(value) > limit))
     limits = exact_percentiles(claims, by, value, {"_p": p}).drop("_n")
-    out = join_unique(claims, limits, by)
+    out = look_up(claims, limits, by)
     return out.withColumn(name, is_true(F.col(value) > F.col("_p"))).drop("_p")
 
 
+def over_both_percentiles(claims: DataFrame, p=0.99, by="procedure_code", value="claim_amount", name="over_p99", group_name="over_group_p99") -> DataFrame:
+    """``over_percentile`` of the table and of the group, both from one histogram of the groups."""
+    hist = histogram(claims, by, value)
+    whole = exact_percentiles(hist, [], "_v", {"_p": p}, weight="_c").select("_p").scalar()
+    out = look_up(claims, histogram_percentiles(hist, by, {"_p": p}).drop("_n"), by)
+    return out.withColumns({name: is_true(F.col(value) > whole), group_name: is_true(F.col(value) > F.col("_p"))}).drop("_p")
+
+
 def billing_spike(claims: DataFrame, key="provider_npi", day="date_of_service", factor=3.0) -> DataFrame:
     """Days on which the trailing week exceeds a multiple of the mean weekly count."""
     weekly = claims.where(F.col(day).isNotNull()).groupBy(key, F.date_trunc("week", day).alias("_w")).agg(F.count(F.lit(1)).alias("_n"))

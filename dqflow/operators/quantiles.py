@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dqflow.operators.skew import as_list
+from dqflow.operators.skew import as_list, stored_lookup
+from dqflow.sources.tables import stored_layer
 
 HALVINGS = 12  # up to 4096 slices
 
@@ -24,9 +25,7 @@ def _cuts(hist: DataFrame) -> DataFrame:
     n = 2**HALVINGS
     # One text literal instead of thousands of number literals: plans stay small.
     steps = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
-    # The filter keeps the count in use, so that the histogram here is the very
-    # aggregation the ranks are taken from and is computed once.
-    return hist.where("_c > 0").agg(F.array_distinct(F.percentile_approx("_v", steps, n)))
+    return hist.agg(F.array_distinct(F.percentile_approx("_v", steps, n)))
 
 
 def _slice_of(cuts: Column, v: Column) -> Column:
@@ -40,19 +39,25 @@ def _slice_of(cuts: Column, v: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, weight: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, by, value: str, weight: str | None = None) -> DataFrame:
+    """How often (``_c``) each value (``_v``) occurs per group, written once for all that is read from it."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c) for c in as_list(by)], F.col(value).cast("double").alias("_v"))
+    return stored_layer(hist.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")), "histogram")
+
+
+def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, weight: str | None = None, interpolate: bool = True) -> DataFrame:
     """One row per group with a double column per entry of ``wanted``.
 
     ``wanted`` maps an output name to a fraction; ranks between two values are
-    interpolated linearly.  NULL values are ignored.  ``_n`` holds the number of
+    interpolated linearly, or taken as the upper of the two.  NULL values are ignored.  ``_n`` holds the number of
     values.  With ``weight`` a row stands for that many equal values.
     """
+    return histogram_percentiles(histogram(df, by, value, weight), by, wanted, interpolate)
+
+
+def histogram_percentiles(hist: DataFrame, by, wanted: dict, interpolate: bool = True) -> DataFrame:
+    """``exact_percentiles`` of a stored ``histogram``: values travel only in slices that hold a rank."""
     by = as_list(by)
-    hist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
-    )
     cut = hist.withColumn("_cuts", _cuts(hist).scalar())
     sliced = cut.withColumn("_slice", _slice_of(F.col("_cuts"), F.col("_v"))).drop("_cuts")
     counts = sliced.groupBy(*by, "_slice").agg(F.sum("_c").alias("_sc"))
@@ -75,8 +80,9 @@ def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, weight: str |
         any_rank = any_rank | holds(lo, F.col("_start"), F.col("_end")) | holds(hi, F.col("_start"), F.col("_end"))
     targets = located.where(any_rank).select(*by, "_slice", "_start", "_n")
     inner = W.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    targets, small = stored_lookup(targets)
     picked = (
-        sliced.join(targets, [*by, "_slice"])
+        sliced.join(F.broadcast(targets) if small else targets, [*by, "_slice"])
         .withColumn("_stop", F.col("_start") + F.sum("_c").over(inner))
         .withColumn("_begin", F.col("_stop") - F.col("_c"))
     )
@@ -84,5 +90,5 @@ def exact_percentiles(df: DataFrame, by, value: str, wanted: dict, weight: str |
     for name, lo, hi, frac in ranks:
         low = F.max(F.when(holds(lo, F.col("_begin"), F.col("_stop")), F.col("_v")))
         high = F.max(F.when(holds(hi, F.col("_begin"), F.col("_stop")), F.col("_v")))
-        aggs.append((low + (high - low) * F.max(frac)).alias(name))
+        aggs.append((low + (high - low) * F.max(frac) if interpolate else high).alias(name))
     return picked.groupBy(*by).agg(*aggs)
