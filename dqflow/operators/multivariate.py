@@ -23,14 +23,15 @@ TREES = 100
 MIN_ROWS = 100
 
 
-def complete_points(df: DataFrame, fields) -> DataFrame:
-    """Distinct feature vectors without NULLs and how often each occurs.
+def complete_points(df: DataFrame, fields, sums=()) -> DataFrame:
+    """Distinct feature vectors without NULLs and how often each occurs, with the sums of the columns ``sums``.
 
     Everything below depends on a row through its vector only, so copies are
     folded first, map-side.
     """
-    rows = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(fields)]).dropna()
-    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w"))
+    xs = [f"x{i}" for i in range(len(fields))]
+    rows = df.select(*[F.col(f).cast("double").alias(x) for f, x in zip(fields, xs)], *sums).dropna(subset=xs)
+    return rows.groupBy(*xs).agg(F.count(F.lit(1)).alias("w"), *[F.sum(c).alias(c) for c in sums])
 
 
 # -- isolation forest ------------------------------------------------------
@@ -105,6 +106,42 @@ def grow_forest(points: DataFrame, dims: int, trees=TREES, size=SAMPLE, seed=42)
     return sample.groupBy("tree").applyInPandas(_grow(dims, limit, seed), NODE)
 
 
+def _path_lengths(x, tree, limit: int):
+    feature, cut, extra, _ = tree
+    node, row = np.ones(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(limit):
+        f = feature[node]
+        step = 2 * node + (x[row, np.maximum(f, 0)] > cut[node])
+        node = np.where(f >= 0, step, node)
+    return np.floor(np.log2(node)) + extra[node]
+
+
+#: Most boxes (of all trees together) that are worked out beforehand.
+BOXES = 4_000_000
+
+
+def _boxes(tables, dims: int, limit: int):
+    """Path lengths by box: a tree's cuts divide the space into boxes that share a leaf, so a point needs its box only.
+
+    Returns the sorted cuts of all trees per feature and, per tree, for each feature the tree's interval (times its
+    stride) by place among all cuts, and the path length by box.  None if the boxes are too many, as for
+    many features: then points walk down the trees.
+    """
+    own = [[np.unique(t[1][t[0] == d]) for d in range(dims)] for t in tables]
+    if sum(math.prod(len(c) + 1 for c in cuts) for cuts in own) > BOXES:
+        return None, None
+    every = [np.unique(np.concatenate([cuts[d] for cuts in own])) if own else np.zeros(0) for d in range(dims)]
+    boxes = []
+    for tree, cuts in zip(tables, own):
+        shape = [len(c) + 1 for c in cuts]
+        # A cut is the last point of the interval before it.
+        corners = np.meshgrid(*[np.append(c, np.inf) for c in cuts], indexing="ij")
+        path = _path_lengths(np.column_stack([g.ravel() for g in corners]), tree, limit)
+        steps = [np.append(0, np.searchsorted(c, e, side="right")) * math.prod(shape[d + 1:]) for d, (c, e) in enumerate(zip(cuts, every))]
+        boxes.append(([s.astype(np.int32) for s in steps], path))
+    return every, boxes
+
+
 def score_points(points: DataFrame, dims: int, forest: DataFrame, size=SAMPLE) -> DataFrame:
     """Add ``score`` in (0, 1); the model is at most ``trees * 2 * size`` nodes."""
     limit = int(math.ceil(math.log2(size)))
@@ -118,20 +155,23 @@ def score_points(points: DataFrame, dims: int, forest: DataFrame, size=SAMPLE) -
         tables.append((feature, cut, _mean_path(rows), float(rows[1])))
     # Trees of one row or none tell nothing: every score is then 0.5, never NULL.
     expected = max(float(np.mean([_mean_path(t[3]) for t in tables])) if tables else 0.0, 1e-9)
+    cuts, boxes = _boxes(tables, dims, limit)
 
     @F.pandas_udf("double")
     def path_score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        total, row = np.zeros(len(x)), np.arange(len(x))
-        for feature, cut, extra, _ in tables:
-            node = np.ones(len(x), dtype=np.int64)
-            for _ in range(limit):
-                f = feature[node]
-                inner = f >= 0
-                step = 2 * node + (x[row, np.maximum(f, 0)] > cut[node])
-                node = np.where(inner, step, node)
-            depth = np.floor(np.log2(node))
-            total += depth + extra[node]
+        xs = [c.to_numpy(dtype=float) for c in cols]
+        total = np.zeros(len(xs[0]))
+        if boxes is not None:
+            places = [np.searchsorted(c, x) for c, x in zip(cuts, xs)]
+            for steps, path in boxes:
+                at = steps[0].take(places[0])
+                for s, p in zip(steps[1:], places[1:]):
+                    at += s.take(p)
+                total += path.take(at)
+        else:
+            x = np.column_stack(xs)
+            for tree in tables:
+                total += _path_lengths(x, tree, limit)
         if expected <= 1e-9:
             return pd.Series(np.full(len(x), 0.5))
         return pd.Series(np.exp2(-(total / len(tables)) / expected))
@@ -139,13 +179,13 @@ def score_points(points: DataFrame, dims: int, forest: DataFrame, size=SAMPLE) -
     return points.withColumn("score", path_score(*[f"x{i}" for i in range(dims)]))
 
 
-def isolation_scores(df: DataFrame, fields, trees=TREES, size=SAMPLE, seed=42) -> DataFrame:
-    """Distinct vectors with their weight and isolation score.
+def isolation_scores(df: DataFrame, fields, trees=TREES, size=SAMPLE, seed=42, sums=()) -> DataFrame:
+    """Distinct vectors with their weight, the sums of the columns ``sums`` and isolation score.
 
     Splits are drawn between the sample's own extremes, so scaling a feature
     changes nothing and no standardisation pass is needed.
     """
-    points = stored_layer(complete_points(df, fields), "forest-points")  # read for the total, the draw and the scores
+    points = stored_layer(complete_points(df, fields, sums), "forest-points")  # read for the total, the draw and the scores
     return score_points(points, len(fields), grow_forest(points, len(fields), trees, size, seed), size)
 
 
@@ -153,7 +193,8 @@ def forest_summary(df: DataFrame, fields, contamination=0.1, **kw) -> DataFrame:
     """One row: records, records above the score threshold and the threshold."""
     scored = isolation_scores(df, fields, **kw).groupBy("score").agg(F.sum("w").alias("w"))
     scored = stored_layer(scored, "forest-scores")  # the model runs once, the threshold reads this
-    limit = exact_percentiles(scored, [], "score", {"_limit": 1 - contamination}, weight="w").select("_limit")
+    # The upper of two ranks: no more than the contamination lies above it, at any number of rows.
+    limit = exact_percentiles(scored, [], "score", {"_limit": 1 - contamination}, weight="w", interpolate=False).select("_limit")
     s = scored.withColumn("_limit", limit.scalar())
     out = F.col("score") > F.col("_limit")
     return s.agg(
