@@ -138,15 +138,16 @@ def an10_spikes(spark, d):
     """Checkable facts of the forest: amounts of every hundredth order's first line are raised twentyfold."""
     spike = (F.col("l_orderkey") % 100 == 0) & (F.col("l_linenumber") == 1)
     rows = S.table(spark, d, "lineitem").select(
-        spike.alias("spike"), F.col("l_quantity").cast("double").alias("x0"),
+        spike.cast("long").alias("spikes"), F.col("l_quantity").cast("double").alias("x0"),
         (F.col("l_extendedprice").cast("double") * F.when(spike, 20).otherwise(1)).alias("x1"))
-    scored = MV.isolation_scores(rows, ["x0", "x1"])
-    limit = MV.exact_percentiles(scored.groupBy("score").agg(F.sum("w").alias("w")), [], "score", {"_limit": 0.95}, weight="w").select("_limit").scalar()
-    both = rows.join(scored, ["x0", "x1"]).withColumn("out", F.col("score") > limit)
-    share = F.avg(F.when(F.col("spike"), F.col("out").cast("int"))), F.avg(F.when(~F.col("spike"), F.col("out").cast("int")))
-    return both.agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_if("spike").alias("spikes"),
-        (F.count_if("out") <= F.count(F.lit(1)) * 0.05).alias("within_contamination"), (share[0] > 5 * share[1]).alias("spikes_stand_out"))
+    scored = MV.isolation_scores(rows, ["x0", "x1"], sums=["spikes"]).groupBy("score").agg(F.sum("w").alias("w"), F.sum("spikes").alias("spikes"))
+    scored = MV.stored_layer(scored, "spike-scores")  # the model runs once
+    limit = MV.exact_percentiles(scored, [], "score", {"_limit": 0.95}, weight="w", interpolate=False).select("_limit").scalar()
+    out, w, s = F.col("score") > F.col("_limit"), F.col("w"), F.col("spikes")
+    share = F.sum(F.when(out, s)) / F.sum(s), F.sum(F.when(out, w - s)) / F.sum(w - s)
+    return scored.withColumn("_limit", limit).agg(
+        F.coalesce(F.sum(w), F.lit(0)).alias("total_records"), F.coalesce(F.sum(s), F.lit(0)).alias("spikes"),
+        (F.sum(F.when(out, w).otherwise(0)) <= F.sum(w) * 0.05).alias("within_contamination"), (share[0] > 5 * share[1]).alias("spikes_stand_out"))
 
 
 # Distinct standardised points; neighbours by an equi-join of grid cells of side 0.5.
