@@ -224,6 +224,10 @@ def cut_points(df: DataFrame, columns) -> dict[str, list]:
     return out
 
 
+def _further(cuts: Column, value: Column):
+    return lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at)
+
+
 def morton(df: DataFrame, columns) -> Column:
     """Interleaved bits of the columns' ranks among their cut points; NULL ranks first."""
     points = cut_points(df, columns)
@@ -231,14 +235,13 @@ def morton(df: DataFrame, columns) -> Column:
     for i, c in enumerate(columns):
         kind = df.schema[c].dataType
         value = F.col(c) if isinstance(kind, T.StringType) else (F.unix_date(c) if isinstance(kind, T.DateType) else F.col(c)).cast("double")
-        cuts = F.array(*[F.lit(v) for v in points[c]]) if points[c] else F.array().cast("array<double>")
-        rank = F.coalesce(F.size(F.filter(cuts, lambda p: p <= value)), F.lit(0)) if points[c] else F.lit(0)
-        # Few distinct values have few cut points: their ranks are spread over all bits.
-        spread = F.floor(rank * ((2**BITS - 1) / max(1, len(points[c]))))
-        rank = F.when(value.isNull(), 0).otherwise(spread).cast("bigint")
-        for b in range(BITS):
-            bit = F.shiftright(rank, b).bitwiseAND(F.lit(1).cast("bigint"))
-            out = out.bitwiseOR(F.shiftleft(bit, b * len(columns) + i))
+        # The number of cut points up to the value, by halving.
+        strides, cuts = F.array(*[F.lit(2**b) for b in reversed(range(BITS))]), F.array(*[F.lit(v) for v in points[c]])
+        rank = F.aggregate(strides, F.lit(0), _further(cuts, value)) if points[c] else F.lit(0)
+        # Few distinct values have few cut points: their ranks are spread over all bits, and each rank's bits over the curve's.
+        spread = [math.floor(r * ((2**BITS - 1) / max(1, len(points[c])))) for r in range(len(points[c]) + 1)]
+        placed = F.array(*[F.lit(sum(((r >> b) & 1) << (b * len(columns) + i) for b in range(BITS))).cast("bigint") for r in spread])
+        out = out.bitwiseOR(F.when(value.isNull(), F.lit(0).cast("bigint")).otherwise(F.get(placed, rank)))
     return out
 
 
@@ -251,7 +254,8 @@ def z_order(df: DataFrame, path: str, columns, files: int, at) -> int:
     """
     bits = min(BITS * len(columns), max(0, math.ceil(math.log2(files))))
     cell = F.shiftright("_z", BITS * len(columns) - bits)
-    rows = stored_layer(df.withColumn("_z", morton(df, columns)), "z-curve")
+    rows = stored_layer(df, "z-rows")  # read for the cut points of every column, the ranges and the cells
+    rows = rows.withColumn("_z", morton(rows, columns))
     # More ranges than cells: every cell is a range of its own.
     ordered = rows.repartitionByRange(4 * 2**bits, cell).sortWithinPartitions("_z").drop("_z")
     return commit(df.sparkSession, path, "z_order", ordered, None, list(columns), at, max_rows=max(1, 3 * rows.count() // 2**bits))
