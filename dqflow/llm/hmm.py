@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ TOLERANCE = 2e-3
 #: Baum-Welch over all texts starts from the counts of neighbouring words of all training texts: the most frequent
 #: words stand for themselves there, all others by shape.  The tolerance and steps of fitting the states to these counts.
 START_WORDS, START_TOLERANCE, START_STEPS = 1_000, 1e-6, 300
+#: The texts learned from are scored in so many parts, one after the other.
+SCORED_IN = 2
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -46,19 +50,45 @@ def _hash(words) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64).view(np.int64)
 
 
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a batch of texts, as ``tokens_of`` has them, without a Python object for each: hashes and shapes of the
+    different ones, then the number of every token, text by text, and where the texts begin and end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    pieces = lists.flatten().dictionary_encode()
+    words = pieces.dictionary.cast(pa.large_binary())
+    # A blank at either side of a text leaves an empty piece: none of them is a word, so the end takes their number.
+    void = pc.index(words, pa.scalar(b"", words.type)).as_py()
+    places, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset:][:len(words) + 1].tolist(), words.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    named = [data[a:b] for a, b in zip(places, places[1:])]
+    end = len(named) if void < 0 else void
+    named[end:end + 1] = [END]
+    number = pieces.indices.to_numpy(zero_copy_only=False)
+    kept = number != end
+    ends = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])]
+    flat = np.full(int(ends[-1]) + len(texts), end, np.int32)
+    # A word stands as many places further on as texts end before it.
+    flat[np.arange(ends[-1]) + np.repeat(np.arange(len(texts)), np.diff(ends))] = number[kept]
+    return _hash(named), _shapes(named), flat, ends + np.arange(len(ends))
+
+
+def _shapes(words: list[bytes]) -> np.ndarray:
+    """``shape_of`` of many words."""
+    own = pa.array(words, pa.binary())
+    length = np.minimum(pc.binary_length(own).to_numpy(), 16)
+    own = own.cast(pa.string())
+    plain, letters, either = (f(own).to_numpy(zero_copy_only=False) for f in (pc.string_is_ascii, pc.ascii_is_alpha, pc.ascii_is_alnum))
+    return (length - 1) * 4 + np.where(~plain, 3, np.where(letters, 0, np.where(either, 1, 2)))
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """h, shape, c: how often each distinct token occurs; words travel as 64-bit hashes with their shape."""
     def count(batches):
-        from collections import Counter
-
         for batch in batches:
-            seen: Counter = Counter()
-            for t in batch.column(0):
-                seen.update(tokens_of(t.as_py()))
-            words = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_hash(words)), pa.array([shape_of(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())],
-                names=["h", "shape", "c"])
+            if batch.num_rows:
+                h, shape, flat, _ = numbered(batch.column(0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(shape, pa.int32()), pa.array(np.bincount(flat, minlength=len(h)), pa.int64())], names=["h", "shape", "c"])
 
     return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "h bigint, shape int, c bigint").groupBy("h", "shape").agg(F.sum("c").alias("c"))
 
@@ -130,20 +160,15 @@ def encode(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
     def code(batches):
         (hashes, counts, codes), row = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            place_of: dict = {}
-            number, flat, ends = place_of.setdefault, [], [0]
-            for t in batch.column(place):
-                flat.extend([number(w, len(place_of)) for w in tokens_of(t.as_py())])
-                ends.append(len(flat))
-            words = list(place_of)
-            h = _hash(words)
+            if not batch.num_rows:
+                continue
+            h, shape, flat, ends = numbered(batch.column(place))
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[at] == h
             count, named = np.where(hit, counts[at], -1), np.where(hit, codes[at], UNKNOWN)
-            shape = np.array([shape_of(w) for w in words])
             obs_of = np.where(named == UNKNOWN, first_shape + shape, named).astype(np.int32)
             log_of = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-            flat, starts = np.array(flat), np.array(ends[:-1])
+            starts = ends[:-1]
             obs, far = obs_of[flat], count[flat] < 0
             rare_h, rare_ends = h[flat[far]], np.concatenate([[0], np.cumsum(far)])[ends]
             plain = obs >= first_shape
@@ -387,23 +412,27 @@ def _lay_out(sequences: list[np.ndarray]):
 
 
 def forward(sequences: list[np.ndarray], m: Model, keep=False):
-    """log10 likelihood of each sequence (longest first) by the scaled forward recursion; with ``keep`` all scaled alphas too."""
+    """log10 likelihood of each sequence (longest first) by the scaled forward recursion; with ``keep`` all scaled alphas too.
+
+    States are rows and sequences columns, so that every operation runs along many sequences.
+    """
     flat, begin, active, where = _lay_out(sequences)
     obs = np.empty(len(flat), np.intp)
     obs[where] = flat
-    emit = np.ascontiguousarray(m.emit.T)
-    alphas = np.empty((len(flat), len(m.start))) if keep else None
-    scales = np.empty(len(flat))
-    a = m.start * emit[obs[: begin[1]]]
+    # ``take`` would copy emissions that lie in any other order at every step.
+    emit, onward = np.ascontiguousarray(m.emit), np.ascontiguousarray(m.move.T)
+    alphas, scales = np.empty((len(m.start), len(flat))) if keep else None, np.empty(len(flat))
+    a = m.start[:, None] * emit.take(obs[: begin[1]], axis=1)
     for t in range(len(active)):
         lo, hi = begin[t], begin[t + 1]
         if t:
-            a = (a[: active[t]] @ m.move) * emit[obs[lo:hi]]
-        s = a.sum(axis=1)
-        a /= s[:, None]
+            a = onward @ a[:, : active[t]]
+            a *= emit.take(obs[lo:hi], axis=1)
+        s = a.sum(axis=0)
+        a /= s
         scales[lo:hi] = s
         if keep:
-            alphas[lo:hi] = a
+            alphas[:, lo:hi] = a
     lengths = [len(s) for s in sequences]
     total = np.add.reduceat(np.log10(scales)[where], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
     return total, (obs, begin, active, alphas, scales)
@@ -412,19 +441,19 @@ def forward(sequences: list[np.ndarray], m: Model, keep=False):
 def expectations(sequences: list[np.ndarray], m: Model) -> tuple[Model, float]:
     """Expected counts of starts, moves and emissions, and the log10 likelihood."""
     total, (obs, begin, active, gamma, scales) = forward(sequences, m, keep=True)
-    emit = np.ascontiguousarray(m.emit.T)
-    move = np.zeros_like(m.move)
-    beta, back = np.ones((active[-1], len(m.start))), np.ascontiguousarray(m.move.T)
+    emit, move, beta = np.ascontiguousarray(m.emit), np.zeros_like(m.move), np.ones((len(m.start), active[-1]))
     for t in range(len(active) - 2, -1, -1):
         lo, hi, n = begin[t], begin[t + 1], active[t + 1]
-        after = emit[obs[hi:begin[t + 2]]] * beta / scales[hi:begin[t + 2], None]
-        move += gamma[lo:lo + n].T @ after
-        gamma[hi:begin[t + 2]] *= beta
-        beta = np.ones((active[t], len(m.start)))
-        beta[:n] = after @ back
-    gamma[: begin[1]] *= beta
-    counts = np.stack([np.bincount(obs, weights=gamma[:, k], minlength=m.emit.shape[1]) for k in range(len(m.start))])
-    return Model(gamma[: begin[1]].sum(axis=0), move * m.move, counts), float(total.sum())
+        after = emit.take(obs[hi:begin[t + 2]], axis=1)
+        after *= beta
+        after /= scales[hi:begin[t + 2]]
+        move += gamma[:, lo:lo + n] @ after.T
+        gamma[:, hi:begin[t + 2]] *= beta
+        beta = np.ones((len(m.start), active[t]))
+        np.matmul(m.move, after, out=beta[:, :n])
+    gamma[:, : begin[1]] *= beta
+    counts = np.stack([np.bincount(obs, weights=g, minlength=emit.shape[1]) for g in gamma])
+    return Model(gamma[:, : begin[1]].sum(axis=1), move * m.move, counts), float(total.sum())
 
 
 def train(coded: DataFrame, vocab: Vocabulary, states: int, steps: int | None, seed: int, tolerance=TOLERANCE,
@@ -572,10 +601,11 @@ def score_texts(docs: DataFrame, id_col="doc_id", text_col="text", states=4, ste
     dropped(counts)
     released(docs.sparkSession)
     model, _ = train(learned, vocab, states, steps, seed, tolerance, learned, first)
-    # Chunk numbers are unique among the texts learned from and among the others, not over both.
-    scored = []
-    for part in (others, learned):
+    # Chunk numbers are unique among the texts learned from and among the others, not over both.  The texts learned from
+    # are scored part by part: only one part's far words lie in shuffle files at a time.
+    slice_of, scored = F.pmod(F.xxhash64("chunk"), F.lit(SCORED_IN)), []
+    for part in (others, *[learned.where(slice_of == i) for i in range(SCORED_IN)]):
         released(docs.sparkSession)
         scored.append(saved(likelihoods(part, model, vocab), "scores"))
-    return own.join(scored[0].unionByName(scored[1]), F.col("_row") == F.col("_at")).select(
+    return own.join(reduce(DataFrame.unionByName, scored), F.col("_row") == F.col("_at")).select(
         "_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

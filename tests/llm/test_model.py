@@ -162,3 +162,33 @@ def test_start_tells_words_apart_by_their_neighbours(make_docs):
     share = dict(zip(begin.hashes.tolist(), begin.shares))
     a, b, x, y = (share[h].argmax() for h in hmm._hash([b"a", b"b", b"x", b"y"]).tolist())
     assert a == b != x == y and np.allclose(begin.move.sum(axis=1), 1)
+
+
+def test_batches_of_texts_are_tokenised_as_single_texts():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a", " a  B ", "É A\x0bb\x0cc\x1cd\x85e\xa0f\x00g", "x1 \t y-2 日本 a1_ " * 40, "\n", "Zz İ K", "w" * 40]
+    for some in (texts, [""], [None], ["a b"], texts[::-1]):
+        for rows in (pa.array(some, pa.string()), pa.array(some, pa.large_string()), pa.array(["q", *some, "r"]).slice(1, len(some))):
+            h, shape, flat, ends = hmm.numbered(rows)
+            assert len(set(h.tolist())) == len(h) == len(set(flat.tolist()))
+            for i, t in enumerate(some):
+                own = flat[ends[i]:ends[i + 1]]
+                assert h[own].tolist() == hmm._hash(hmm.tokens_of(t)).tolist()
+                assert shape[own].tolist() == [hmm.shape_of(w) for w in hmm.tokens_of(t)]
+
+
+def test_texts_learned_from_are_scored_in_parts(make_docs, monkeypatch):
+    """No scoring pass joins the far words of all learned texts at once, and every text is scored in one of them."""
+    monkeypatch.setattr(hmm, "CHUNK", 40)
+    texts = [f"a b w{i} a v{i} b" for i in range(150)]
+    scored, plain = [], hmm.likelihoods
+    monkeypatch.setattr(hmm, "likelihoods", lambda chunks, *more: scored.append(sorted(r["words"] for r in chunks.collect())) or plain(chunks, *more))
+    got = sorted((r["_id"], r["score"]) for r in hmm.score_texts(make_docs(texts), words=2, steps=1).collect())
+    whole, parts = sum(map(len, scored[1:])), scored[1:]
+    assert max(map(len, parts)) < whole and len(got) == len(texts) and len({i for i, _ in got}) == len(texts)
+    words = [w for part in scored for chunk in part for w in chunk]
+    assert len(words) == len(set(words)) == 2 * len(texts)
+    monkeypatch.setattr(hmm, "SCORED_IN", 1)
+    again = sorted((r["_id"], r["score"]) for r in hmm.score_texts(make_docs(texts), words=2, steps=1).collect())
+    assert [i for i, _ in got] == [i for i, _ in again] and np.allclose([s for _, s in got], [s for _, s in again])
