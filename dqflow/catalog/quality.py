@@ -284,10 +284,10 @@ def qa16(spark, d):
     return S.raw_claims(spark, d).select("claim_id", SC.anomaly_score().cast("double").alias("anomaly_score"))
 
 
-def scored(spark, d):
+def scored(spark, d, of_members=None):
     from dqflow.functions.scalars import freshness_hours
 
-    return S.raw_claims(spark, d).withColumns(
+    return S.raw_claims(spark, d, of_members).withColumns(
         {
             "_quality_score": SC.quality_score(),
             "_anomaly_score": SC.anomaly_score().cast("double"),

@@ -171,7 +171,7 @@ def gold_claims(silver: DataFrame, members: DataFrame | None, providers: DataFra
 
     Dimensions are reduced to one row per key first, so that no claim can
     multiply.  Without ``members`` the claims have their members' attributes
-    from ``silver_rows``; without ``providers`` they get none of providers.
+    from ``silver_rows`` or their source; without ``providers`` they get none of providers.
     ``source`` is a cheaper table with the same provider keys.
     """
     rows = silver.where("_quality_score >= 0.7")
